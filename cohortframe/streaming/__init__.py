@@ -1,0 +1,4 @@
+"""Panels are finite survey tables: the workload has no streams, watermarks or state.
+
+Nothing is defined here on purpose; every operator is a batch ``DataFrame`` step.
+"""
