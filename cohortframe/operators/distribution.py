@@ -32,11 +32,12 @@ def _same_group(keys: Sequence[str]) -> list[str]:
     return [f"__g{i}" for i in range(len(keys))]
 
 
-def ordered_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values with their count, bucket, and the group's size.
+def bucketed_counts(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct values with count and bucket, and the table of buckets.
 
-    Output: ``keys, value, __cnt, __bucket, __n, __bucket_before`` where ``__bucket_before`` is
-    the number of values of the group in earlier buckets. NULL values are skipped.
+    The first frame is ``keys, value, __cnt, __bucket``; the second, with at most
+    ``2**SPLIT_BITS`` rows per group, ``keys, __bucket, __total, __before, __n`` where
+    ``__before`` counts the group's values in earlier buckets. NULL values are skipped.
     """
     keys = list(keys)
     n_splits = (1 << SPLIT_BITS) - 1
@@ -47,18 +48,19 @@ def ordered_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("__cnt"))
     )
-    splits = counted.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, 20_000).alias("__splits"), F.sum("__cnt").alias("__n")
-    )
+    splits = counted.groupBy(*keys).agg(F.percentile_approx(value, probs, 5_000).alias("__splits"))
     located = _bisect(
         F.col(value), "__splits", "__bucket", _join_groups(counted, splits, keys, spread=value)
     ).drop("__splits")
-    totals = located.groupBy(*keys, "__bucket").agg(F.sum("__cnt").alias("__total"))
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__bucket_before")
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (
+        located.groupBy(*keys, "__bucket")
+        .agg(F.sum("__cnt").alias("__total"))
+        .withColumn("__before", F.coalesce(F.sum("__total").over(earlier), F.lit(0)))
+        .withColumn("__n", F.sum("__total").over(group))
     )
-    return _join_groups(located, offsets, [*keys, "__bucket"])
+    return located, buckets
 
 
 def _join_groups(
@@ -68,7 +70,7 @@ def _join_groups(
 
     The strategy is left to the planner and AQE, which broadcast ``right`` when its measured size
     allows. Otherwise a group holding a large share of the rows would land in one task: ``spread``
-    names a column whose hash splits every group over ``SALTS`` tasks.
+    names a column whose hash (a power of two of salts, never NULL) splits every group over ``SALTS`` tasks.
     """
     if not keys:
         return left.crossJoin(F.broadcast(right))  # right is one row: an aggregate without keys
@@ -76,7 +78,7 @@ def _join_groups(
     renamed = right.withColumnsRenamed(dict(zip(keys, names)))
     condition = F.lit(True)
     if spread is not None:
-        left = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+        left = left.withColumn("__salt", F.xxhash64(spread).bitwiseAND(F.lit(SALTS - 1)).cast("int"))
         renamed = renamed.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         condition = F.col("__salt") == F.col("__rsalt")
     for key, name in zip(keys, names):
@@ -84,16 +86,20 @@ def _join_groups(
     return left.join(renamed, condition).drop(*names, "__salt", "__rsalt")
 
 
+def _running_count(keys: Sequence[str], value: str) -> Column:
+    """Values of the group strictly below this one, from the bucket's offset on."""
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return F.col("__before") + F.coalesce(F.sum("__cnt").over(inside), F.lit(0))
+
+
 def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values with ``cnt``, ``cum_before`` (values strictly below) and group size ``n``."""
-    inside = (
-        Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return ordered_counts(df, keys, value).select(
+    located, buckets = bucketed_counts(df, keys, value)
+    return _join_groups(located, buckets, [*keys, "__bucket"]).select(
         *keys,
         value,
         F.col("__cnt").alias("cnt"),
-        (F.col("__bucket_before") + F.coalesce(F.sum("__cnt").over(inside), F.lit(0))).alias("cum_before"),
+        _running_count(keys, value).alias("cum_before"),
         F.col("__n").alias("n"),
     )
 
@@ -104,25 +110,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     Only the buckets that contain a wanted rank are sorted.
     """
     keys = list(keys)
-    located = ordered_counts(df, keys, value)
-    totals = Window.partitionBy(*keys, "__bucket")
-    n, before = F.col("__n"), F.col("__bucket_before")
+    located, buckets = bucketed_counts(df, keys, value)
+    n = F.col("__n")
     lows = [F.floor((n - 1) * F.lit(float(p))) for p in probs]
     wanted = F.array(*[x for lo in lows for x in (lo, F.least(lo + 1, n - 1))])
-    bucket_hits = (
-        located.groupBy(*keys, "__bucket")
-        .agg(
-            F.sum("__cnt").alias("__total"),
-            F.first("__bucket_before").alias("__start"),
-            F.first("__n").alias("__n"),
-        )
-        .filter(F.exists(wanted, lambda k: (k >= F.col("__start")) & (k < F.col("__start") + F.col("__total"))))
-        .select(*keys, "__bucket")
-    )
-    inside = totals.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = _join_groups(located, bucket_hits, [*keys, "__bucket"]).withColumn(
-        "__start", before + F.coalesce(F.sum("__cnt").over(inside), F.lit(0))
-    )
+    first, last = F.col("__before"), F.col("__before") + F.col("__total")
+    hit = buckets.filter(F.exists(wanted, lambda k: (k >= first) & (k < last)))
+    ranked = _join_groups(located, hit, [*keys, "__bucket"]).withColumn("__start", _running_count(keys, value))
     end = F.col("__start") + F.col("__cnt")
 
     def at(k: Column) -> Column:

@@ -99,6 +99,8 @@ def line_censuses(spark: SparkSession, sf_dir: str) -> DataFrame:
             half_year_census("l_shipdate").alias("CENSUS_NUM"),
             "l_quantity",
             "l_extendedprice",
+            "l_discount",
+            "l_tax",
             "l_returnflag",
         )
         .groupBy("IND_ID", "CENSUS_NUM")
@@ -107,13 +109,18 @@ def line_censuses(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum((F.col("l_returnflag") == "R").cast("int")).alias("N_R"),
             F.sum((F.col("l_returnflag") == "A").cast("int")).alias("N_A"),
             F.sum("l_quantity").alias("__size"),
-            (F.avg("l_extendedprice") / 1000).alias("DAH_RAW"),
+            (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / F.count(F.lit(1)) / 100_000).alias(
+                "DAH_RAW"
+            ),
+            (F.avg("l_discount") * 1000).alias("WD1_RAW"),
+            (F.avg("l_tax") * 1000).alias("WD2_RAW"),
         )
         .join(part_sites(spark, sf_dir), "IND_ID")
     )
     to_date = Window.partitionBy("IND_ID").orderBy("CENSUS_NUM").rowsBetween(Window.unboundedPreceding, 0)
     observed = per_census.withColumn("HT_RAW", F.lit(10.0) + F.sum("__size").over(to_date)).drop("__size")
-    filled = fill_censuses(observed, LINE_CENSUSES, ["N_OBS", "N_R", "N_A", "HT_RAW", "DAH_RAW"])
+    values = ["N_OBS", "N_R", "N_A", "HT_RAW", "DAH_RAW", "WD1_RAW", "WD2_RAW"]
+    filled = fill_censuses(observed, LINE_CENSUSES, values)
     n, all_r = F.col("N_OBS"), F.col("N_R") == F.col("N_OBS")
     return filled.withColumn(
         "STAT_RAW",
@@ -139,7 +146,82 @@ def line_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "STAT",
         mask_size("HT_RAW", "STAT").alias("HT"),
         mask_size("DAH_RAW", "STAT").alias("DAH"),
+        F.nullif(mask_size("WD1_RAW", "STAT"), F.lit(0.0)).alias("WD1"),
+        F.nullif(mask_size("WD2_RAW", "STAT"), F.lit(0.0)).alias("WD2"),
+        mask_size("N_R", "STAT").cast("double").alias("CONE_New"),
         mask_size(F.coalesce(F.col("N_A"), F.lit(0)), "STAT").cast("double").alias("CONE_Mature"),
+        serotiny_class().alias("SEROTINY"),
+    )
+
+
+def serotiny_class() -> Column:
+    """Cone-opening class of the last two censuses, from the counts of the census."""
+    seen = F.col("N_A") % 4
+    return F.when(
+        (F.col("CENSUS_NUM") >= LINE_CENSUSES - 1) & (F.col("STAT") == 1) & F.col("N_A").isNotNull(),
+        F.when(seen == 0, "").when(seen == 1, "S").when(seen == 2, "O").otherwise("SO"),
+    )
+
+
+def dirty_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw census as a field workbook would hold it: one row per part, text readings.
+
+    Known spelling errors, censored heights, odd status codes and millimetre columns are planted
+    by fixed rules on the key. The pivot lists its censuses, and the rows of a part already
+    share a partition, so it adds no exchange.
+    """
+    census, key = F.col("CENSUS_NUM"), F.col("IND_ID")
+
+    def at(k: int, value) -> Column:
+        return F.max(F.when(census == k, value))
+
+    def text(name: str) -> Column:
+        return F.col(name).cast("bigint").cast("string")
+
+    last = LINE_CENSUSES
+    out = [at(k, F.col("STAT_RAW").cast("string")).alias(f"STAT{k}") for k in range(1, last)]
+    odd = F.when(key % 3 == 0, "?").when(key % 3 == 1, "3").otherwise("2")
+    last_code = F.when(F.col("STAT_RAW") == 2, odd).otherwise(F.col("STAT_RAW").cast("string"))
+    out.append(at(last, last_code).alias(f"STAT{last}"))
+    for k in range(1, last + 1):
+        height = text("HT_RAW")
+        if k == 12:
+            height = F.when(key % 97 == 0, "28..4").otherwise(height)
+        if k == last:
+            height = F.when(key % 89 == 0, ">450").when(key % 89 == 1, ">490").otherwise(height)
+        out.append(at(k, F.when(F.col("HT_RAW").isNotNull(), height)).alias(f"HTB{k}"))
+    out.append(at(last, F.col("HT_RAW") + 1).alias(f"{last}W/subs"))
+    out.append(at(9, F.col("HT_RAW") - 2).alias("HTN9"))
+    out += [at(k, F.col("DAH_RAW") * 10).alias(f"DIAM{k}") for k in range(1, 8)]
+    out += [at(k, F.col("DAH_RAW")).alias(f"DAH{k}") for k in range(8, last)]
+    slashed = F.when(key % 83 == 0, "1.36/ 1.72").otherwise(F.col("DAH_RAW").cast("string"))
+    out.append(at(last, F.when(F.col("DAH_RAW").isNotNull(), slashed)).alias(f"DAH{last}"))
+    for axis in ("WD1", "WD2"):
+        out += [
+            at(k, F.col(f"{axis}_RAW") * (10 if k == 12 else 1)).alias(f"{axis}_{k}") for k in range(11, last + 1)
+        ]
+    out += [at(k, F.col("N_A").cast("double")).alias(f"CONE{k}_>1YR") for k in (12, 13)]
+    out.append(at(last, F.nullif(F.col("N_A"), F.lit(0)).cast("double")).alias(f"CONE{last}_GOLD"))
+    out.append(at(last, F.nullif(F.col("N_R"), F.lit(0)).cast("double")).alias(f"CONE{last}_GRAY"))
+    out += [
+        at(12, F.col("N_R").cast("string")).alias("CONE12_BABY"),
+        at(13, F.col("N_R").cast("double")).alias("CONE13_NEW"),
+        at(last, F.col("N_R").cast("double")).alias(f"CONE{last}"),
+    ]
+    spelled = F.element_at(
+        F.array(*[F.lit(x) for x in ("s", "n", "ns", "non-serot", "S", "O", "6")]), (F.col("N_OBS") % 7 + 1).cast("int")
+    )
+    out += [at(k, spelled).alias(f"SEROTINY{k}") for k in (last - 1, last)]
+    return (
+        line_censuses(spark, sf_dir)
+        .groupBy("IND_ID", "PLOTCODE", "COHORT")
+        .agg(*out)
+        .withColumn("PLOTCODE", F.when(key % 211 != 0, F.col("PLOTCODE")))
+        .withColumn("COHORT", F.when(key % 223 != 0, F.col("COHORT")))
+        .withColumn("TAG", F.concat(F.lit("T"), key.cast("string")))
+        .withColumn("Cohort_1", (F.col("COHORT") == 1).cast("int"))
+        .withColumn("NOTES1", F.lit(None).cast("string"))
+        .drop("IND_ID")
     )
 
 
