@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from ..operators.distribution import break_table, bin_by_breaks, cumulative_counts, exact_quantiles, quantile_columns
+from ..operators.distribution import cumulative_counts, exact_quantiles, quantile_bins, quantile_columns
 
 TAUS = {"q05": 0.05, "q10": 0.10, "q25": 0.25, "q50": 0.50, "q75": 0.75, "q90": 0.90, "q95": 0.95}
 
@@ -26,7 +26,7 @@ def quantile_curves(df: DataFrame, fitted: str, residual: str, bins: int = 20) -
     The two columns are read by five passes, so they are materialised once, on shared storage.
     """
     df = cut_lineage(df.select(fitted, residual))
-    binned = bin_by_breaks(df, fitted, break_table(df, fitted, bins), "bin").drop("breaks")
+    binned, _ = quantile_bins(df, fitted, bins)
     centre = binned.groupBy("bin").agg(F.avg(fitted).alias("fitted_mean"), F.count(F.lit(1)).alias("n"))
     return quantile_columns(binned, ["bin"], residual, TAUS).join(centre, "bin")
 

@@ -41,14 +41,16 @@ def bucketed_counts(df: DataFrame, keys: Sequence[str], value: str) -> tuple[Dat
     """
     keys = list(keys)
     n_splits = (1 << SPLIT_BITS) - 1
-    probs = [(i + 1) / (n_splits + 1) for i in range(n_splits)]
+    probs = ", ".join(f"{(i + 1) / (n_splits + 1)!r}D" for i in range(n_splits))
     counted = (
         df.filter(F.col(value).isNotNull())
         .select(*keys, F.col(value).cast("double").alias(value))
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("__cnt"))
     )
-    splits = counted.groupBy(*keys).agg(F.percentile_approx(value, probs, 5_000).alias("__splits"))
+    splits = counted.groupBy(*keys).agg(
+        F.expr(f"percentile_approx(`{value}`, array({probs}), 5000)").alias("__splits")
+    )
     located = _bisect(
         F.col(value), "__splits", "__bucket", _join_groups(counted, splits, keys, spread=value)
     ).drop("__splits")
