@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaning, modelling, panels  # noqa: F401  (registration on import)
+from . import cleaning, fitting, modelling, panels  # noqa: F401  (registration on import)
 from .registry import QUERIES, SQL
 
 

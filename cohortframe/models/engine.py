@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import level_ordinal
 from ..functions.terms import Design
 from ..session import cut_lineage
-from .families import FAMILIES, SHAPE
+from ..evaluation.metrics import LOGLOSS_EPSILON
+from .families import FAMILIES, LINK_MEAN, SHAPE
 
 # Batch functions travel with their code, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
@@ -33,6 +34,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 ROWS_PER_TASK = 250_000
 BROADCAST_CELLS = 2_000_000
 SHAPE_STEP = 0.15
+MASK_BITS = 62
 MODE_STEPS = 8
 
 
@@ -100,20 +102,19 @@ def prepare(
     offset: Column | None = None,
     z: Column | None = None,
     train_sets: Sequence[Column] = (),
+    test_sets: Sequence[Column] = (),
     plot: str | None = None,
     ind: str | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> Rows:
     """Keep complete rows and the columns the fits need; persisted for the passes to come."""
     factors = {k: tuple(v) for k, v in (factors or {}).items()}
-    mask = F.lit(0).cast("long")
-    for i, condition in enumerate(train_sets or [F.lit(True)]):
-        mask = mask + F.when(condition, F.lit(1 << i)).otherwise(F.lit(0))
     chosen = df.select(
         y.cast("double").alias("__y"),
         (F.lit(0.0) if offset is None else offset).cast("double").alias("__o"),
         (F.lit(0.0) if z is None else z).cast("double").alias("__z"),
-        mask.cast("long").alias("__m"),
+        set_mask(train_sets or [F.lit(True)]).alias("__m"),
+        set_mask(test_sets or [F.lit(True)]).alias("__t"),
         (F.lit("") if plot is None else F.col(plot).cast("string")).alias("__plot"),
         (F.xxhash64(y, *numeric) if ind is None else F.col(ind)).cast("long").alias("__ind"),
         *[F.col(c).cast("double").alias(c) for c in numeric],
@@ -131,6 +132,16 @@ def prepare(
     return Rows(chosen.persist(), tuple(numeric), factors, n_plots)
 
 
+def set_mask(conditions: Sequence[Column]) -> Column:
+    """One bit per row set; callers split longer lists over several calls."""
+    if len(conditions) > MASK_BITS:
+        raise ValueError(f"at most {MASK_BITS} row sets per pass, got {len(conditions)}")
+    mask = F.lit(0).cast("long")
+    for i, condition in enumerate(conditions):
+        mask = mask + F.when(condition, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    return mask
+
+
 def cluster(df: DataFrame) -> DataFrame:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, "__plot", "__salt").sortWithinPartitions("__plot", "__ind")
@@ -412,6 +423,57 @@ def fit_fixed(rows: Rows, fits: Sequence[Fit], max_iter: int = 25, tol: float =
     return fits
 
 
+def score_sets(rows: Rows, tasks: Sequence[tuple[Fit, int]], kind: str) -> list[dict]:
+    """Out-of-sample scores of every (fit, test set) pair in one pass.
+
+    ``kind="binary"`` gives Brier and LogLoss, ``kind="size"`` MSE, MAE and the variance of the
+    response in the test set.
+    """
+    numeric, factors = rows.numeric, rows.factors
+    usable = [(i, f, t) for i, (f, t) in enumerate(tasks) if f.error is None]
+
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            data = {c: pdf[c].to_numpy(dtype=float) for c in numeric}
+            data |= {c: Coded(pdf[c].to_numpy(), levels) for c, levels in factors.items()}
+            y, o, mask = pdf["__y"].to_numpy(dtype=float), pdf["__o"].to_numpy(dtype=float), pdf["__t"].to_numpy()
+            matrices: dict[int, np.ndarray] = {}
+            for i, fit, test in usable:
+                inside = (mask >> test) & 1 == 1
+                if not inside.any():
+                    continue
+                x = matrices.get(id(fit.design))
+                if x is None:
+                    x = matrices[id(fit.design)] = fit.design.matrix(data, len(pdf))
+                pred, obs = LINK_MEAN[fit.family](x[inside] @ fit.beta + o[inside]), y[inside]
+                if kind == "binary":
+                    p = np.clip(pred, LOGLOSS_EPSILON, 1 - LOGLOSS_EPSILON)
+                    losses = ((obs - pred) ** 2).sum(), -(obs * np.log(p) + (1 - obs) * np.log1p(-p)).sum()
+                else:
+                    losses = ((obs - pred) ** 2).sum(), np.abs(obs - pred).sum()
+                vec = np.array([len(obs), *losses, obs.sum(), (obs * obs).sum()])
+                totals[i] = totals[i] + vec if i in totals else vec
+        if totals:
+            yield pd.DataFrame([(i, v) for i, v in totals.items()], columns=["fit", "stats"])
+
+    sums = _add_vectors(rows.df.mapInPandas(partials, "fit int, stats array<double>"), "stats")
+    names = ("Brier", "LogLoss") if kind == "binary" else ("MSE", "MAE")
+    out = []
+    for i in range(len(tasks)):
+        if i not in sums:
+            out.append({})
+            continue
+        n, first, second, total, squares = sums[i]
+        scores = {names[0]: first / n, names[1]: second / n}
+        if kind == "size" and n > 1:
+            scores["PseudoR2"] = 1 - scores["MSE"] / max((squares - total * total / n) / (n - 1), 1e-300)
+        out.append(scores)
+    return out
+
+
 def fit_effects(
     rows: Rows, fits: Sequence[Fit], max_iter: int = 8, tol: float = 1e-6
 ) -> tuple[list[Fit], DataFrame]:

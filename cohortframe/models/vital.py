@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.terms import AREA, GROWTH_MODELS, SURVIVAL_MODELS, TIME, Design, Term
 from ..operators.distribution import exact_quantiles
-from .engine import Fit, Rows, fit_effects, fit_fixed, prepare
+from .engine import Fit, Rows, fit_effects, fit_fixed, prepare, set_mask
 
 Z95 = 1.959963984540054
 SPLINE_PROBS = (0.0, 1 / 3, 2 / 3, 1.0)
@@ -24,6 +24,26 @@ def spline_knots(df: DataFrame, value: str = "HT") -> list[float]:
     return [float(r["quantile"]) for r in rows]
 
 
+def knots_by_set(df: DataFrame, train_sets: Sequence[Column], value: str = "HT") -> list[tuple[float, ...]]:
+    """Spline knots of every training set in one job.
+
+    Values are counted per set membership first, so the copies made per set are of distinct
+    values, not of rows.
+    """
+    counted = df.select(value, set_mask(train_sets).alias("__m")).groupBy(value, "__m").agg(
+        F.count(F.lit(1)).alias("__w")
+    )
+    member = F.array(*[F.when(F.col("__m").bitwiseAND(F.lit(1 << i)) != 0, i) for i in range(len(train_sets))])
+    per_set = counted.select(value, "__w", F.explode(F.array_compact(member)).alias("__set"))
+    knots: dict[int, dict[float, float]] = {}
+    for r in exact_quantiles(per_set, ["__set"], value, SPLINE_PROBS, weight="__w").collect():
+        knots.setdefault(r["__set"], {})[r["prob"]] = r["quantile"]
+    empty = tuple(knots[next(iter(knots))][p] for p in SPLINE_PROBS)
+    return [
+        tuple(knots[i][p] for p in SPLINE_PROBS) if i in knots else empty for i in range(len(train_sets))
+    ]
+
+
 def start(design: Design, family: str, y_mean: float, aux: dict | None = None) -> np.ndarray:
     """Zero slopes and, where the design has an intercept, the link of the mean response."""
     names = design.names()
@@ -177,7 +197,9 @@ def fit_random(
 # --- survival ---------------------------------------------------------------------------
 
 
-def survival_rows(pairs: DataFrame, levels: Sequence[str], random: bool = False, train_sets=()) -> Rows:
+def survival_rows(
+    pairs: DataFrame, levels: Sequence[str], random: bool = False, train_sets=(), test_sets=()
+) -> Rows:
     return prepare(
         pairs,
         F.col("Dead_next"),
@@ -185,6 +207,7 @@ def survival_rows(pairs: DataFrame, levels: Sequence[str], random: bool = False,
         {AREA: levels},
         offset=F.log("CensusInterval"),
         train_sets=train_sets,
+        test_sets=test_sets,
         plot="PLOTCODE" if random else None,
         ind="IND_ID" if random else None,
     )
@@ -249,7 +272,9 @@ def height_bin_hazard(pairs: DataFrame, levels: Sequence[str], steps: int = 20)
 # --- growth -----------------------------------------------------------------------------
 
 
-def growth_rows(pairs: DataFrame, levels: Sequence[str], random: bool = False, train_sets=()) -> Rows:
+def growth_rows(
+    pairs: DataFrame, levels: Sequence[str], random: bool = False, train_sets=(), test_sets=()
+) -> Rows:
     return prepare(
         pairs,
         F.log("HT_next"),
@@ -257,6 +282,7 @@ def growth_rows(pairs: DataFrame, levels: Sequence[str], random: bool = False, t
         {AREA: levels},
         z=F.log("HT"),
         train_sets=train_sets,
+        test_sets=test_sets,
         plot="PLOTCODE" if random else None,
         ind="IND_ID" if random else None,
     )

@@ -32,21 +32,24 @@ def _same_group(keys: Sequence[str]) -> list[str]:
     return [f"__g{i}" for i in range(len(keys))]
 
 
-def bucketed_counts(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+def bucketed_counts(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Distinct values with count and bucket, and the table of buckets.
 
     The first frame is ``keys, value, __cnt, __bucket``; the second, with at most
     ``2**SPLIT_BITS`` rows per group, ``keys, __bucket, __total, __before, __n`` where
-    ``__before`` counts the group's values in earlier buckets. NULL values are skipped.
+    ``__before`` counts the group's values in earlier buckets. NULL values are skipped. With
+    ``weight`` a row stands for that many equal values.
     """
     keys = list(keys)
     n_splits = (1 << SPLIT_BITS) - 1
     probs = ", ".join(f"{(i + 1) / (n_splits + 1)!r}D" for i in range(n_splits))
     counted = (
         df.filter(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias(value))
+        .select(*keys, F.col(value).cast("double").alias(value), *([weight] if weight else []))
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("__cnt"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__cnt"))
     )
     splits = counted.groupBy(*keys).agg(
         F.expr(f"percentile_approx(`{value}`, array({probs}), 5000)").alias("__splits")
@@ -106,13 +109,15 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
     )
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None
+) -> DataFrame:
     """Type-7 (linear interpolation) quantiles: ``keys, prob, quantile``, one row per prob.
 
     Only the buckets that contain a wanted rank are sorted.
     """
     keys = list(keys)
-    located, buckets = bucketed_counts(df, keys, value)
+    located, buckets = bucketed_counts(df, keys, value, weight)
     n = F.col("__n")
     lows = [F.floor((n - 1) * F.lit(float(p))) for p in probs]
     wanted = F.array(*[x for lo in lows for x in (lo, F.least(lo + 1, n - 1))])
