@@ -13,6 +13,8 @@ from .registry import PANEL, query, r6, rounded
 # Repairs of the planted misspellings of the derived wide census.
 PANEL_REPAIRS = (("HTB12", "28..4", 28.4), ("DAH14", "1.36/ 1.72", 0.79))
 
+SEROTINY = R.SEROTINY_SPELLINGS | R.SEROTINY_INVALID
+
 LAYOUT = CensusLayout(
     last=D.LINE_CENSUSES,
     repairs=PANEL_REPAIRS,
@@ -20,6 +22,7 @@ LAYOUT = CensusLayout(
     mature_mask=(13, 14),
     mature_fill=(12, 13, 14),
     corrected_height="14W/subs",
+    serotiny={"SEROTINY13": SEROTINY, "SEROTINY14": SEROTINY},
 )
 
 # The raw wide census in long form: one row per individual and census, text repaired by rule.
@@ -107,7 +110,7 @@ def _(spark, sf):
 
 @query("recode_serotiny", DIRTY + "SELECT TAG, SER_D AS SEROTINY14 FROM dirty WHERE CENSUS_NUM = 14")
 def _(spark, sf):
-    return D.dirty_wide(spark, sf).select("TAG", X.recode("SEROTINY14", R.SEROTINY_CODES).alias("SEROTINY14"))
+    return D.dirty_wide(spark, sf).select("TAG", X.recode("SEROTINY14", SEROTINY).alias("SEROTINY14"))
 
 
 @query(

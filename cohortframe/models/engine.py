@@ -33,7 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
 ROWS_PER_TASK = 250_000
 BROADCAST_CELLS = 2_000_000
-SHAPE_STEP = 0.15
+SHAPE_STEP = 0.02
 MASK_BITS = 62
 MODE_STEPS = 8
 
@@ -223,7 +223,8 @@ def batch_sums(fit: Fit, x: np.ndarray, y, offset, z, v, ind_start) -> np.ndarra
         for shift in (-SHAPE_STEP, SHAPE_STEP):
             moved = {**fit.aux, name: fit.aux[name] * np.exp(shift)}
             other = family(y, eta, moved, z)[0]
-            parts.append([float(other.sum()) - total if np.isfinite(other).all() else 0.0])
+            gain = other - ll  # row by row, so that large sums do not cancel
+            parts.append([float(gain.sum()) if np.isfinite(gain).all() else 0.0])
     if fit.family == "student":
         nu, s2 = fit.aux["nu"], np.exp(2 * (fit.aux["gamma"][0] + fit.aux["gamma"][1] * z))
         r2 = (y - eta) ** 2

@@ -7,8 +7,8 @@ exchange on the individual. The treatment filter runs before the explode.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,6 +36,7 @@ class CensusLayout:
     duplicate_measures: Sequence[str] = ("HTN9",)
     corrected_height: str | None = "15W/subs"
     treatment: str | None = "NONE"
+    serotiny: Mapping[str, Mapping] = field(default_factory=lambda: SEROTINY_CODES)
 
 
 RENAMES = (
@@ -65,7 +66,7 @@ def standardise(raw: DataFrame, layout: CensusLayout = CensusLayout()) -> DataFr
     df = df.withColumns(
         {c: X.recode(c, MISSING_STATUS_TEXT).try_cast("int") for c in C.columns_matching(df, "STAT[0-9]+")}
     )
-    df = df.withColumns({c: X.recode(c, SEROTINY_CODES) for c in C.columns_matching(df, "SEROTINY[0-9]+")})
+    df = df.withColumns({c: X.recode(c, codes) for c, codes in layout.serotiny.items() if c in df.columns})
     numeric = C.columns_matching(df, r"(HTB?|DIAM|DAH|DBH)[0-9]+|WD[12]_[0-9]+|CONE[0-9]+.*")
     df = repair_numbers(df, numeric, layout.repairs)
     df = C.scale_columns(df, C.columns_matching(df, layout.millimetre_pattern), 10)

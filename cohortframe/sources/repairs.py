@@ -19,8 +19,10 @@ CENSORED_HEIGHTS = (">450", ">490")
 # Status codes read as missing.
 MISSING_STATUS_TEXT = {"3": "2", "?": "2"}
 
-# Serotiny spellings and their standard code; None removes the reading.
-SEROTINY_CODES = {"6": None, "non-serot": "O", "ns": "O", "n": "O", "s": "S"}
+# Serotiny spellings and their standard code, per column; None removes the reading.
+SEROTINY_SPELLINGS = {"non-serot": "O", "ns": "O", "n": "O", "s": "S"}
+SEROTINY_INVALID = {"6": None}
+SEROTINY_CODES = {"SEROTINY14": SEROTINY_SPELLINGS, "SEROTINY15": SEROTINY_INVALID}
 
 
 def repaired_number(column: str, repairs: Sequence[tuple[str, str, float]] = KNOWN_REPAIRS) -> Column:
