@@ -159,6 +159,19 @@ def _(spark, sf):
     return wide.select("TAG", *C.measures(wide, "HT").values())
 
 
+@query(
+    "column_range",
+    DIRTY
+    + """SELECT TAG, max(STAT_RAW) FILTER (WHERE CENSUS_NUM = 1) AS STAT1, max(STAT_RAW) FILTER (WHERE CENSUS_NUM = 2) AS STAT2,
+    max(STAT_RAW) FILTER (WHERE CENSUS_NUM = 3) AS STAT3 FROM dirty GROUP BY 1""",
+)
+def _(spark, sf):
+    """Columns by position, without the bookkeeping columns dropped by name."""
+    named = C.drop_matching(D.dirty_wide(spark, sf), "Cohort_|NOTES|REC|MEAS|DATE")
+    kept = C.keep_range(named, "STAT1", "STAT3", ["TAG"])
+    return kept.withColumns({f"STAT{k}": F.col(f"STAT{k}").try_cast("int") for k in (1, 2, 3)})
+
+
 @query(
     "alive_mask",
     PANEL
@@ -315,10 +328,11 @@ GEO = """WITH geo AS (
     "geo_decimal",
     GEO
     + """SELECT SITE, PLOTCODE, round(LAT, 6) AS LAT, round(LONG, 6) AS LONG,
-    '<b>Site:</b> ' || SITE || '<br><b>Plot:</b> ' || PLOTCODE AS label FROM geo""",
+    '<b>Site:</b> ' || SITE || '<br><b>Plot:</b> ' || PLOTCODE || '<br><b>Latitude:</b> ' || printf('%.6f', LAT)
+    || '<br><b>Longitude:</b> ' || printf('%.6f', LONG) AS label FROM geo""",
 )
 def _(spark, sf):
-    label = F.format_string("<b>Site:</b> %s<br><b>Plot:</b> %s", "SITE", "PLOTCODE")
+    label = X.popup_text("SITE", "PLOTCODE", "LAT", "LONG")
     return gps(spark, sf).select("SITE", "PLOTCODE", r6("LAT"), r6("LONG"), label.alias("label"))
 
 

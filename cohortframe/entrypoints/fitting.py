@@ -124,6 +124,13 @@ def _(spark, sf):
     return rounded(select_survival(survival(spark, sf), LEVELS).ranking)
 
 
+@query("fit_status")
+def _(spark, sf):
+    """Likelihood, convergence and error of every (model, training set) pair of the hazard models."""
+    fits = select_survival(survival(spark, sf), LEVELS).fits
+    return rounded(fits.select("model", "fold", "n", "loglik", "aic", "singular", "converged", "error"))
+
+
 @query("growth_selection")
 def _(spark, sf):
     """Nine growth models with the same three fold schemes, the best four."""

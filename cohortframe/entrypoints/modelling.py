@@ -393,6 +393,60 @@ def _(spark, sf):
     return rounded(M.to_wide(long, [("expanding", f.fold, "Brier") for f in folds]))
 
 
+FOLD_BRIER = (
+    SCORED
+    + """, f AS (SELECT CAST(range AS INTEGER) AS fold FROM range(1, 4)),
+long AS (SELECT 'linear' AS model, fold, avg(pow(Dead_next - pred_linear, 2)) AS value FROM scored, f
+  WHERE CENSUS_NUM BETWEEN 8 + fold AND 11 + fold GROUP BY 2
+  UNION ALL SELECT 'log', fold, avg(pow(Dead_next - pred_log, 2)) FROM scored, f
+  WHERE CENSUS_NUM BETWEEN 8 + fold AND 11 + fold GROUP BY 2)
+"""
+)
+
+
+def fold_brier(spark, sf):
+    """Long metric table of two scored models over the expanding folds, in one pass."""
+    folds = V.expanding([3, 5, 7, 9, 11, 12, 13, 14])
+    aggs = [
+        M.brier(F.when(f.test(), F.col(f"pred_{m}")), F.when(f.test(), F.col("Dead_next"))).alias(f"{m}_{f.fold}")
+        for f in folds
+        for m in ("linear", "log")
+    ]
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(m).alias("model"),
+                F.lit(f.scheme).alias("scheme"),
+                F.lit(f.fold).alias("fold"),
+                F.lit("Brier").alias("metric"),
+                F.col(f"{m}_{f.fold}").alias("value"),
+            )
+            for f in folds
+            for m in ("linear", "log")
+        ]
+    )
+    return scored(spark, sf).agg(*aggs).select(F.explode(cells).alias("c")).select("c.*")
+
+
+@query(
+    "metric_means",
+    FOLD_BRIER + "SELECT model, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM long GROUP BY 1",
+)
+def _(spark, sf):
+    return rounded(M.mean_over_folds(fold_brier(spark, sf), ["model"]))
+
+
+@query(
+    "best_model",
+    FOLD_BRIER
+    + """, m AS (SELECT model, avg(value) AS Brier FROM long GROUP BY 1)
+SELECT arg_min(model, Brier) AS model, round(min(Brier), 6) AS Brier FROM m""",
+)
+def _(spark, sf):
+    means = M.mean_over_folds(fold_brier(spark, sf), ["model"]).withColumnRenamed("mean", "Brier")
+    return rounded(M.best(means, "Brier"))
+
+
 @query(
     "rank_sum",
     SCORED + """, m AS (SELECT CAST(CENSUS_NUM AS VARCHAR) AS model, round(avg(pow(Dead_next - pred_linear, 2)), 3) AS a,

@@ -318,7 +318,7 @@ def fit_growth(
 ) -> tuple[Fit, DataFrame]:
     """One growth model: t errors, log-linear scale, random intercepts of plot and individual."""
     rows = growth_rows(pairs, levels, random=True)
-    fixed = fit_fixed(rows, start_growth(rows, [model], levels, [(0, "full")]), max_iter=30)[0]
+    fixed = fit_fixed(rows, start_growth(rows, [model], levels, [(0, "full")]), max_iter=30, tol=1e-3)[0]
     out = fit_random(rows, fixed, individual, first=0.1)
     rows.release()
     return out

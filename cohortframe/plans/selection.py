@@ -150,7 +150,7 @@ def select_growth(
             pairs, levels, train_sets=[f.train() for f in sets], test_sets=[f.test() for f in block]
         )
         starts = start_growth(rows, models, levels, [(t, _label(f)) for t, f in enumerate(sets)])
-        fits = fit_fixed(rows, starts, max_iter=30)
+        fits = fit_fixed(rows, starts, max_iter=30, tol=1e-3)
         by_key = {(f.model, f.train): f for f in fits}
         tasks = [(by_key[m, use[k]], k) for m in models for k in range(len(block))]
         scores = score_sets(rows, tasks, "size")
