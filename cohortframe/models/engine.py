@@ -70,11 +70,12 @@ class Fit:
     converged: bool = False
     error: str | None = None
     iterations: int = 0
+    flat_scale: bool = False  # t family: one scale instead of a scale changing with z
 
     @property
     def parameters(self) -> int:
         shape = 1 if self.family in SHAPE else 0
-        scale = 2 if self.family == "student" else 1 if self.family == "gaussian" else 0
+        scale = 2 - self.flat_scale if self.family == "student" else 1 if self.family == "gaussian" else 0
         return len(self.beta) + shape + scale + (self.sd_plot > 0) + (self.sd_ind > 0)
 
     @property
@@ -199,6 +200,8 @@ def _individual_modes(fit: Fit, family, y, eta0, z, group, n_groups):
 def batch_sums(fit: Fit, x: np.ndarray, y, offset, z, v, ind_start) -> np.ndarray:
     """The fit's vector for rows of one plot: see ``unpack`` for the layout."""
     family = FAMILIES[fit.family]
+    if fit.flat_scale:
+        z = np.zeros(len(y))
     eta0 = x @ fit.beta + offset + v
     n, p = x.shape
     a = np.column_stack([np.ones(n), x])
@@ -354,6 +357,29 @@ def _solve(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return inverse @ g, inverse
 
 
+def _scale_and_shape(nu, extra, slope, bend, move) -> tuple[np.ndarray, float]:
+    """Joint scoring step of the t scale (two terms) and log nu.
+
+    Scale and tail weight trade off against each other; stepping in turn would crawl along that
+    ridge. The cross term is the expected information of the t law.
+    """
+    score, info = extra[:2], np.array([[extra[2], extra[3]], [extra[3], extra[4]]])
+    if np.linalg.matrix_rank(info) < 2:  # constant z: a single scale
+        info, score = info[:1, :1], score[:1]
+    k = len(score)
+    if bend < 0:
+        cross = -2 * nu / ((nu + 1) * (nu + 3)) / (2 * nu / (nu + 3)) * np.array([extra[2], extra[3]])[:k]
+        joint = np.block([[info, cross[:, None]], [cross[None, :], np.array([[-bend]])]])
+        if np.linalg.eigvalsh(joint)[0] > 0:
+            step = np.linalg.solve(joint, np.append(score, slope))
+            score_move, move = step[:k], float(np.clip(step[k], -1.0, 1.0))
+        else:
+            score_move = np.linalg.solve(info, score)
+    else:
+        score_move = np.linalg.solve(info, score)
+    return np.append(np.clip(score_move, -0.7, 0.7), np.zeros(2 - k)), move
+
+
 def _tune(fit: Fit, extra: np.ndarray, n: float) -> tuple[dict, float]:
     """Next family scalars and the likelihood gain expected from the move.
 
@@ -366,25 +392,31 @@ def _tune(fit: Fit, extra: np.ndarray, n: float) -> tuple[dict, float]:
         down, up = extra[0], extra[1]
         slope, bend = (up - down) / (2 * SHAPE_STEP), (up + down) / SHAPE_STEP**2
         move = float(np.clip(-slope / bend, -1.0, 1.0)) if bend < 0 else float(np.sign(slope)) * 0.5
+        if fit.family == "student":
+            scale, move = _scale_and_shape(fit.aux["nu"], extra[2:], slope, bend, move)
+            gain += float(abs(extra[2:4] @ scale))
+            aux["gamma"] = tuple(float(c) for c in np.asarray(aux["gamma"]) + scale)
         new = float(np.exp(np.clip(np.log(aux[name]) + move, lo, hi)))
         if new != aux[name]:  # at a bound nothing more is to be gained
             gain += abs(slope * move)
         aux[name] = new
-        extra = extra[2:]
-    if fit.family == "student":
-        info = np.array([[extra[2], extra[3]], [extra[3], extra[4]]])
-        if np.linalg.matrix_rank(info) < 2:  # constant z: a single scale
-            move = np.array([extra[0] / extra[2], 0.0])
-        else:
-            move = np.linalg.solve(info, extra[:2])
-        gain += float(abs(extra[:2] @ move))
-        aux["gamma"] = tuple(float(c) for c in np.asarray(aux["gamma"]) + np.clip(move, -0.7, 0.7))
     if fit.family == "gaussian":
         aux["sigma"] = float(np.sqrt(max(extra[0], 1e-300) / n))
         gain += 2 * n * math.log(aux["sigma"] / fit.aux["sigma"]) ** 2
     return aux, gain
 
 
+def _between(old: dict, new: dict, t: float) -> dict:
+    """Family scalars a share ``t`` of the way from old to new."""
+    out = {}
+    for k in old:
+        if k == "gamma":
+            out[k] = tuple(float(a + t * (b - a)) for a, b in zip(old[k], new[k]))
+        else:
+            out[k] = float(old[k] * (new[k] / old[k]) ** t)
+    return out
+
+
 def fit_fixed(rows: Rows, fits: Sequence[Fit], max_iter: int = 25, tol: float = 1e-6) -> list[Fit]:
     """Fisher scoring of many fits; a fit whose likelihood falls goes back and halves its step.
 
@@ -413,7 +445,7 @@ def fit_fixed(rows: Rows, fits: Sequence[Fit], max_iter: int = 25, tol: float =
                 fits[i] = replace(
                     fit,
                     beta=beta + t * delta,
-                    aux=new_aux if t > 0.2 else aux,
+                    aux=_between(aux, new_aux, t),
                     iterations=iteration,
                     converged=t < 1e-4,
                 )

@@ -275,12 +275,13 @@ def height_bin_hazard(pairs: DataFrame, levels: Sequence[str], steps: int = 20)
 def growth_rows(
     pairs: DataFrame, levels: Sequence[str], random: bool = False, train_sets=(), test_sets=()
 ) -> Rows:
+    middle = pairs.agg(F.avg(F.log("HT"))).first()[0]  # centring keeps the two scale terms apart
     return prepare(
         pairs,
         F.log("HT_next"),
         ["HT", TIME, "CensusInterval"],
         {AREA: levels},
-        z=F.log("HT"),
+        z=F.log("HT") - F.lit(middle),
         train_sets=train_sets,
         test_sets=test_sets,
         plot="PLOTCODE" if random else None,
@@ -306,6 +307,7 @@ def start_growth(rows: Rows, models: Sequence[str], levels: Sequence[str], train
             f,
             family="student",
             aux={"nu": 5.0, "gamma": (math.log(max(0.8 * f.aux["sigma"], 1e-6)), 0.0)},
+            flat_scale=f.model == "baseline",
             converged=False,
             error=f.error,
         )
