@@ -130,6 +130,9 @@ def prepare(
         chosen = cluster(
             chosen.join(sizes, "__plot").withColumn("__salt", F.pmod(F.xxhash64("__ind"), "__salts")).drop("__salts")
         )
+    else:
+        # Passes are bound by computation, not by bytes: keep them from being coalesced.
+        chosen = chosen.repartition(task_count(chosen), "__ind")
     chosen = chosen.persist()
     if plot is not None:
         n_plots = chosen.select("__plot").distinct().count()
@@ -146,9 +149,13 @@ def set_mask(conditions: Sequence[Column]) -> Column:
     return mask
 
 
+def task_count(df: DataFrame) -> int:
+    session = df.sparkSession
+    return max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+
+
 def cluster(df: DataFrame) -> DataFrame:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, "__plot", "__salt").sortWithinPartitions("__plot", "__ind")
+    return df.repartition(task_count(df), "__plot", "__salt").sortWithinPartitions("__plot", "__ind")
 
 
 # --- inside a task ----------------------------------------------------------------------
@@ -197,14 +204,19 @@ def _individual_modes(fit: Fit, family, y, eta0, z, group, n_groups):
     return u, s, ll, g, w
 
 
-def batch_sums(fit: Fit, x: np.ndarray, y, offset, z, v, ind_start) -> np.ndarray:
-    """The fit's vector for rows of one plot: see ``unpack`` for the layout."""
+def batch_sums(fit: Fit, a: np.ndarray, y, offset, z, v, ind_start, keep=None) -> np.ndarray:
+    """The fit's vector for rows of one plot: see ``unpack`` for the layout.
+
+    ``a`` is the design with a leading column of ones. ``keep`` masks rows out by weight, which
+    is cheaper than copying the others when most rows stay.
+    """
     family = FAMILIES[fit.family]
     if fit.flat_scale:
         z = np.zeros(len(y))
-    eta0 = x @ fit.beta + offset + v
-    n, p = x.shape
-    a = np.column_stack([np.ones(n), x])
+    eta0 = a[:, 1:] @ fit.beta + offset + v
+    p = a.shape[1] - 1
+    k = 1.0 if keep is None else keep.astype(float)
+    n = len(y) if keep is None else int(keep.sum())
     ind_stat = laplace = 0.0
     if fit.sd_ind > 0:
         group = np.zeros(n, dtype=int)
@@ -221,6 +233,8 @@ def batch_sums(fit: Fit, x: np.ndarray, y, offset, z, v, ind_start) -> np.ndarra
     else:
         eta = eta0
         ll, g, w = family(y, eta, fit.aux, z)
+        if keep is not None:
+            ll, g, w = np.where(keep, ll, 0.0), g * k, w * k
         h = a.T @ (a * w[:, None])
     total = float(ll.sum()) if np.isfinite(ll).all() else -1e300
     parts = [[n, total + laplace, ind_stat], g @ a, h[np.triu_indices(p + 1)]]
@@ -229,16 +243,17 @@ def batch_sums(fit: Fit, x: np.ndarray, y, offset, z, v, ind_start) -> np.ndarra
         for shift in (-SHAPE_STEP, SHAPE_STEP):
             moved = {**fit.aux, name: fit.aux[name] * np.exp(shift)}
             other = family(y, eta, moved, z)[0]
+            other = other if keep is None else np.where(keep, other, 0.0)
             gain = other - ll  # row by row, so that large sums do not cancel
             parts.append([float(gain.sum()) if np.isfinite(gain).all() else 0.0])
     if fit.family == "student":
         nu, s2 = fit.aux["nu"], np.exp(2 * (fit.aux["gamma"][0] + fit.aux["gamma"][1] * z))
         r2 = (y - eta) ** 2
-        pull = (nu + 1) * r2 / (nu * s2 + r2) - 1
-        info = 2 * nu / (nu + 3)
-        parts.append([pull.sum(), (pull * z).sum(), info * n, info * z.sum(), info * (z * z).sum()])
+        pull = ((nu + 1) * r2 / (nu * s2 + r2) - 1) * k
+        info, zk = 2 * nu / (nu + 3), z * k
+        parts.append([pull.sum(), (pull * z).sum(), info * n, info * zk.sum(), info * (zk * z).sum()])
     if fit.family == "gaussian":
-        parts.append([((y - eta) ** 2).sum()])
+        parts.append([((y - eta) ** 2 * k).sum()])
     return np.concatenate([np.atleast_1d(np.asarray(q, dtype=float)) for q in parts])
 
 
@@ -270,16 +285,21 @@ def _make_partials(fits: Sequence[Fit], rows: Rows, by_plot: bool):
             matrices: dict[int, np.ndarray] = {}
             out = []
             for i, fit in enumerate(fits):
-                x = matrices.get(id(fit.design))
-                if x is None:
-                    x = matrices[id(fit.design)] = fit.design.matrix(data, len(pdf))
+                a = matrices.get(id(fit.design))
+                if a is None:
+                    x = fit.design.matrix(data, len(pdf))
+                    a = matrices[id(fit.design)] = np.column_stack([np.ones(len(pdf)), x])
                 inside = (mask >> fit.train) & 1 == 1
+                if not by_plot and inside.mean() > 0.6:
+                    vec = batch_sums(fit, a, y, o, z, 0.0, None, None if inside.all() else inside)
+                    totals[i] = totals[i] + vec if i in totals else vec
+                    continue
                 for lo, hi in zip(cuts, cuts[1:]):
                     pick = np.flatnonzero(inside[lo:hi]) + lo
                     if len(pick) == 0:
                         continue
                     v = 0.0 if effects is None or effects[lo] is None else float(effects[lo][i])
-                    vec = batch_sums(fit, x[pick], y[pick], o[pick], z[pick], v, _starts(ind[pick]))
+                    vec = batch_sums(fit, a[pick], y[pick], o[pick], z[pick], v, _starts(ind[pick]))
                     if by_plot:
                         out.append((i, plot[lo], vec))
                     else:
@@ -549,8 +569,7 @@ def fit_effects(
         )
         if effects is not None:
             partial = partial.join(packed.withColumnsRenamed({"__plot": "plot", "__v": "v"}), "plot", "left")
-        partitions = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        partial = partial.repartition(partitions, "plot").sortWithinPartitions("plot")
+        partial = partial.repartition(task_count(partial), "plot").sortWithinPartitions("plot")
         step = cut_lineage(
             partial.mapInPandas(
                 _make_plot_step(fits, effects is not None),
