@@ -287,7 +287,7 @@ def _(spark, sf):
     + """, agg AS (
   SELECT p.PLOTCODE, AREA, SITEAREA, SDLAREA, count(*) FILTER (WHERE COHORT = CENSUS_NUM) AS NumRecruits
   FROM panel p LEFT JOIN plots ON OLDCODE = p.PLOTCODE WHERE CENSUS_NUM IN (1, 2) GROUP BY ALL)
-SELECT a.*, CONES1, round(PLTAREA, 6) AS PLTAREA, CASE WHEN a.SDLAREA = 4 THEN 1.0 ELSE 0.0 END AS SmallPlot
+SELECT a.*, CONES1, round(PLTAREA, 6) AS PLTAREA, CAST(CASE WHEN a.SDLAREA = 4 THEN 1 ELSE 0 END AS DOUBLE) AS SmallPlot
 FROM agg a LEFT JOIN plots ON OLDCODE = a.PLOTCODE""",
 )
 def _(spark, sf):

@@ -56,7 +56,7 @@ panel AS (
   FROM st),
 plots AS (
   SELECT p_brand || '-' || (p_size % 5) AS OLDCODE,
-         CASE WHEN p_size % 5 = 0 THEN 4.0 ELSE 10.0 END AS SDLAREA,
+         CAST(CASE WHEN p_size % 5 = 0 THEN 4 ELSE 10 END AS DOUBLE) AS SDLAREA,
          CASE WHEN p_size % 5 = 4 AND CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS INTEGER) % 5 = 0
               THEN 'BURN' ELSE 'NONE' END AS TMT,
          avg(p_size) * 4 AS PLTAREA,
