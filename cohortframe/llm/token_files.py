@@ -35,7 +35,7 @@ from .tokens import PieceEncoder
 
 BLOCK = 65_536
 MAGIC = b"IDPLANE1"
-_TRAILER = struct.Struct("<QQQQ8s")
+_TRAILER = "<QQQQ8s"
 
 
 def to_planes(ids: np.ndarray, width: int, planes: str) -> list[bytes]:
@@ -100,7 +100,7 @@ class ShardWriter:
         known = np.array([0 if d is None else d for d in self.doc_ids], np.int64)
         table = self._put(self.pack(np.concatenate([known, null, np.array(self.counts, np.int64)]).tobytes()))
         index = self._put(json.dumps({"planes": self.planes, "block": BLOCK, "blocks": self.blocks}).encode())
-        self._put(_TRAILER.pack(*table, *index, MAGIC))
+        self._put(struct.pack(_TRAILER, *table, *index, MAGIC))
         return self.at
 
 
@@ -110,8 +110,8 @@ class ShardReader:
 
         self.source, self.unpack = source, zstandard.ZstdDecompressor()
         size = source.size()
-        table_at, table_size, index_at, index_size, magic = _TRAILER.unpack(
-            self._get(size - _TRAILER.size, _TRAILER.size)
+        table_at, table_size, index_at, index_size, magic = struct.unpack(
+            _TRAILER, self._get(size - struct.calcsize(_TRAILER), struct.calcsize(_TRAILER))
         )
         if magic != MAGIC:
             raise ValueError("not a plane file")
