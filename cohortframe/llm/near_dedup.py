@@ -261,14 +261,26 @@ def _sized(members: DataFrame) -> DataFrame:
     return members.join(stored(groups.where("x <> y").select("key", "n"), "buckets"), "key")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
+def _cross_pairs(members: DataFrame, once: bool = False) -> DataFrame:
     """Pairs of members of a group with different components that the signatures do not exclude.
 
-    Rows (key, side, id, c, sig) come sorted by key; side 0 is compared with 0 and 1, side 1 only with 0
-    where side 2 marks a group compared within itself.
+    Rows (key, side, id, c, sig) come sorted by key. Side 2 marks a group compared within itself; otherwise
+    side 0 is compared with side 1. ``once``: the groups are all buckets of all bands, so a pair is left to
+    the first band in which its members meet.
     """
+    order = _orders()
+    band = (np.arange(BANDS, dtype=np.uint64) + _ONE) * _GOLD
+
+    def here(key: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether the first band in which the signatures agree is the one of this key."""
+        x = np.ascontiguousarray(p[:, order]).view(np.uint64)
+        y = np.ascontiguousarray(q[:, order]).view(np.uint64)
+        first = (x == y).argmax(1)
+        with np.errstate(over="ignore"):
+            own = mix(mix(x[np.arange(len(x)), first]) + band[first])
+        return own.view(np.int64) == key
 
-    def group(side, ids, comp, sig):
+    def group(key, side, ids, comp, sig):
         left = np.flatnonzero(side != 1)
         right = np.flatnonzero(side != 0)
         out = []
@@ -281,7 +293,11 @@ def _cross_pairs(members: DataFrame) -> DataFrame:
             for j in range(0, len(a), 20_000):
                 p, q = a[j : j + 20_000], b[j : j + 20_000]
                 near = (sig[p] == sig[q]).mean(1) >= CUT
-                p, q = ids[p[near]], ids[q[near]]
+                p, q = p[near], q[near]
+                if once:
+                    first = here(key, sig[p], sig[q])
+                    p, q = p[first], q[first]
+                p, q = ids[p], ids[q]
                 out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
         return out
 
@@ -296,7 +312,7 @@ def _cross_pairs(members: DataFrame) -> DataFrame:
             edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             found = []
             for b, e in zip(edge.tolist(), [*edge[1:].tolist(), len(key)]):
-                found += group(side[b:e], ids[b:e], comp[b:e], sig[b:e])
+                found += group(key[b], side[b:e], ids[b:e], comp[b:e], sig[b:e])
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -367,10 +383,11 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = None
     for depth in range(3):
         small = level.where(F.col("n") <= BLOCK).select("key", F.lit(2).cast("long").alias("side"), "id", "c", "sig")
-        pairs = _cross_pairs(small)
-        found = pairs if found is None else found.union(pairs)
         large = level.where(F.col("n") > BLOCK)
-        if large.isEmpty():
+        none_large = large.isEmpty()
+        pairs = _cross_pairs(small, once=depth == 0 and none_large)
+        found = pairs if found is None else found.union(pairs)
+        if none_large:
             break
         if depth == 2:
             found = found.union(_cross_pairs(_blocks(large)))
