@@ -38,6 +38,7 @@ from .buffers import byte_slices, mix, powers, ranges, span_hashes, words
 from .shared import stored
 
 MIN_WORDS = 10
+FILTER_BITS = 1 << 24
 _LAST = 2**63 - 1
 _TAG = np.uint64(0x632BE59BD9B4E019)
 
@@ -131,23 +132,32 @@ def _line_table(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, h1 long, h2 long, k1 long, k2 long, k3 long, k4 long")
 
 
-def _near_lines(docs: DataFrame) -> DataFrame:
-    """The wanted lines (``wanted``: their h1) of each document with their word hashes."""
+def _line_filter(wanted: DataFrame) -> np.ndarray:
+    """A bit for each hash bucket that holds a wanted line; FILTER_BITS bits, whatever the size of the table."""
+    slot = F.pmod("h1", F.lit(FILTER_BITS))
+    words_of = wanted.select(F.shiftright(slot, 6).cast("int").alias("w"), (slot % 64).cast("int").alias("b"))
+    rows = words_of.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    if rows:
+        out[[r[0] for r in rows]] = [r[1] for r in rows]
+    return out.view(np.uint64)
+
+
+def _near_lines(docs: DataFrame, bits: np.ndarray, min_words: int) -> DataFrame:
+    """Lines of enough words that pass the filter, with their word hashes."""
+    shared_bits = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids = np.asarray(batch.column(0))
             for first, data, offsets in byte_slices(batch.column(1)):
                 lines = _Lines(data, offsets)
-                wanted = batch.column(2).slice(first, len(offsets) - 1)
-                flat = np.asarray(wanted.flatten()).view(np.uint64)
-                sizes = np.asarray(wanted.value_lengths().fill_null(0))
-                pairs = mix(flat ^ mix(np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64) + _TAG))
-                own = mix(lines.one ^ mix(lines.row.astype(np.uint64) + _TAG))
-                at = np.flatnonzero(np.isin(own, pairs) & lines.first_in_row())
+                slot = np.mod(lines.one.view(np.int64), FILTER_BITS).astype(np.uint64)
+                hit = (shared_bits.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
+                at = np.flatnonzero((hit > 0) & (lines.size >= min_words) & lines.first_in_row())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([ids[first + r] for r in lines.row[at].tolist()], pa.int64()),
+                        pa.array(ids[first + lines.row[at]]),
                         _signed(lines.one[at]),
                         _signed(lines.two[at]),
                         pa.array([lines.word[b:e].tobytes() for b, e in zip(lines.begin[at], lines.end[at])], pa.binary()),
@@ -159,7 +169,7 @@ def _near_lines(docs: DataFrame) -> DataFrame:
 
 
 def _variants(near: DataFrame) -> DataFrame:
-    """(v, place, doc, h1, h2): the line itself at place -1, and each variant that lacks the word at place >= 0."""
+    """(v, place, doc, h1): the line itself at place -1, and each variant that lacks the word at place >= 0."""
 
     def emit(part: pa.RecordBatch) -> pa.RecordBatch:
         raw = part.column(3)
@@ -179,9 +189,9 @@ def _variants(near: DataFrame) -> DataFrame:
             [
                 _signed(np.concatenate([whole, lacking])),
                 pa.array(np.concatenate([np.full(len(size), -1), place - begin[line]])),
-                *[part.column(k).take(pa.array(which)) for k in range(3)],
+                *[part.column(k).take(pa.array(which)) for k in range(2)],
             ],
-            names=["v", "place", "doc", "h1", "h2"],
+            names=["v", "place", "doc", "h1"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +199,7 @@ def _variants(near: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 500):
                 yield emit(batch.slice(k, 500))
 
-    return near.mapInArrow(run, "v long, place long, doc long, h1 long, h2 long")
+    return near.mapInArrow(run, "v long, place long, doc long, h1 long")
 
 
 def _poly_shifted(running: np.ndarray, begin: np.ndarray, end: np.ndarray, origin: np.ndarray) -> np.ndarray:
@@ -224,7 +234,7 @@ def _verified(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "h1 long, h2 long")
 
 
-def near_dropped(docs: DataFrame, first: DataFrame) -> DataFrame:
+def near_dropped(docs: DataFrame, first: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(h1, h2) of distinct lines that an earlier document has with one word edited.
 
     ``docs``: doc, low (lower-cased text); ``first``: distinct lines with the document that has them first.
@@ -235,13 +245,13 @@ def near_dropped(docs: DataFrame, first: DataFrame) -> DataFrame:
     shared = stored(
         keyed.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key"), "halves"
     )
-    wanted = keyed.join(shared, "key").groupBy("first").agg(F.collect_set("h1").alias("wanted"))
-    near = stored(
-        _near_lines(docs.join(wanted, F.col("doc") == F.col("first")).select("doc", "low", "wanted")).dropDuplicates(["h1", "h2"]),
-        "near-lines",
-    )
+    wanted = stored(keyed.join(shared, "key").select("first", "h1", "h2").distinct(), "wanted-lines")
+    # A filter of fixed size keeps most other lines out of the join; the join decides.
+    passed = _near_lines(docs, _line_filter(wanted), min_words)
+    own = wanted.withColumnRenamed("first", "doc")
+    near = stored(passed.join(own, ["doc", "h1", "h2"]).dropDuplicates(["h1", "h2"]), "near-lines")
     variants = _variants(near)
-    line = F.struct("doc", "h1", "h2")
+    line = F.struct("doc", "h1")
     # The earliest line of each (variant, place); then, for each variant, the earliest as itself and by leaving a word out.
     by_place = stored(
         variants.groupBy("v", "place").agg(F.min(line).alias("best"), F.max(line).alias("worst")), "variants"
@@ -258,18 +268,18 @@ def near_dropped(docs: DataFrame, first: DataFrame) -> DataFrame:
     rows = _variants(near)
     same = (
         rows.join(by_place.where("place >= 0 and best < worst").select("v", "place", "best"), ["v", "place"])
-        .select("doc", "h1", "h2", "best")
+        .select("doc", "h1", "best")
     )
     cross = rows.join(crossing, "v").select(
-        "doc", "h1", "h2", F.when(F.col("place") < 0, F.col("lacking")).otherwise(F.col("itself")).alias("best")
+        "doc", "h1", F.when(F.col("place") < 0, F.col("lacking")).otherwise(F.col("itself")).alias("best")
     )
     links = (
-        same.union(cross).where("best.doc < doc").groupBy("h1", "h2").agg(F.min("best").alias("best"))
-        .select("h1", "h2", F.col("best.h1").alias("p1"), F.col("best.h2").alias("p2"))
+        same.union(cross).where("best.doc < doc").groupBy("h1").agg(F.min("best").alias("best"))
+        .select("h1", F.col("best.h1").alias("p1"))
     )
     left = near.select("h1", "h2", F.col("words").alias("a"))
-    right = near.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("words").alias("b"))
-    return _verified(stored(links, "line-links").join(left, ["h1", "h2"]).join(right, ["p1", "p2"]).select("h1", "h2", "a", "b"))
+    right = near.select(F.col("h1").alias("p1"), F.col("words").alias("b"))
+    return _verified(stored(links, "line-links").join(left, "h1").join(right, "p1").select("h1", "h2", "a", "b"))
 
 
 def _rebuild(joined: DataFrame, columns: list[str], schema) -> DataFrame:
@@ -319,7 +329,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ),
         "distinct-lines",
     )
-    near = stored(near_dropped(narrow, first).distinct(), "near-dropped")
+    near = stored(near_dropped(narrow, first, min_words).distinct(), "near-dropped")
     gone = stored(
         first.select("h1", "h2", "first", "last").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
         .where("near or first < last").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")),
