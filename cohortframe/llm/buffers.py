@@ -17,6 +17,11 @@ SLICE_BYTES = 2_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+# ASCII signs other than the apostrophe: no pattern joins one to a letter before it.
+_SIGN = np.zeros(256, bool)
+_SIGN[np.frombuffer(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1] = True
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
 
@@ -89,9 +94,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row) of pieces that cover the text: white space, then what follows up to white space.
 
-    Texts are cut only before ASCII white space whose predecessor is no white space of any kind.
-    No pre-token of the public patterns spans such a place, and none looks back over it, so encoding
-    the pieces one by one gives the ids of the whole text.
+    Texts are cut only before ASCII white space whose predecessor is no white space of any kind, and
+    between a letter (ASCII, or of the Latin-1 block) and an ASCII sign other than the apostrophe. No
+    pre-token of the public patterns spans such a place, and none looks back over it, so encoding the
+    pieces one by one gives the ids of the whole text.
     """
     if not len(data):
         none = np.zeros(0, np.int64)
@@ -108,6 +114,10 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     odd |= (three == 0xE2) & ((two == 0x80) | (two == 0x81))
     odd |= ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE3) & (two == 0x80))
     cut[high[odd]] = False
+    sign = np.flatnonzero(_SIGN[data])
+    sign = sign[sign > 2]
+    one, two = data[sign - 1], data[sign - 2]
+    cut[sign[_LETTER[one] | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))]] = True
     cut[1:3] = False  # too near the start to look back
     cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     starts = np.flatnonzero(cut)

@@ -68,34 +68,47 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+_NONE = 2**31 - 1  # the rank of a pair that is no token
+
+
 def fold_merges(table: Column, word: Column) -> Column:
-    """The parts (byte strings) of a word after all merges."""
+    """The parts (byte strings) of a word after all merges; ranks of neighbours are kept and mended where a merge was."""
     parts = F.split(word, "(?s)(?!^)(?=.)")
     size = F.char_length(word)
 
+    def pair_rank(a: Column, b: Column) -> Column:
+        return F.coalesce(_rank(table, F.concat(a, b)), F.lit(_NONE))
+
     def step(acc: Column, _: Column) -> Column:
-        now = acc["parts"]
-        n = F.size(now)
-        ranks = F.zip_with(
-            F.slice(now, 1, n - 1), F.slice(now, 2, n - 1), lambda a, b: F.coalesce(_rank(table, F.concat(a, b)), F.lit(2**31 - 1))
-        )
-
-        def merge(found: Column) -> Column:
-            low = F.array_min(found)
-            at = F.array_position(found, low).cast("int")
-            joined = F.concat(
-                F.slice(now, F.lit(1), at - 1),
-                F.array(F.concat(F.get(now, at - 1), F.get(now, at))),
-                F.slice(now, at + 2, F.greatest(n - at - 1, F.lit(0))),
-            )
-            stop = low.isNull() | (low == 2**31 - 1)
-            return F.struct(F.when(stop, now).otherwise(joined).alias("parts"), stop.alias("done"))
-
-        return F.when(acc["done"], acc).otherwise(_let(ranks, merge))
-
-    start = F.struct(parts.alias("parts"), (size < 2).alias("done"))
-    whole = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, step, lambda acc: acc["parts"])
-    return F.when(_rank(table, word).isNotNull(), F.array(word)).otherwise(whole)
+        now, ranks = acc["parts"], acc["ranks"]
+
+        def at_place(at: Column) -> Column:  # from 1; joins parts at and at + 1
+            both = F.concat(F.get(now, at - 1), F.get(now, at))
+            joined = F.concat(F.slice(now, F.lit(1), at - 1), F.array(both), F.slice(now, at + 2, F.size(now)))
+            return _let(joined, lambda j: mend(j, at))
+
+        def mend(j: Column, at: Column) -> Column:
+            left = F.when(at > 1, F.array(pair_rank(F.get(j, at - 2), F.get(j, at - 1))))
+            right = F.when(at < F.size(j), F.array(pair_rank(F.get(j, at - 1), F.get(j, at))))
+            none = F.array().cast("array<int>")
+            mended = F.concat(
+                F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), F.coalesce(left, none), F.coalesce(right, none),
+                F.slice(ranks, at + 2, F.size(ranks)),
+            )
+            return _let(mended, lambda r: state(j, r))
+
+        return F.when(acc["low"] == _NONE, acc).otherwise(_let(F.array_position(ranks, acc["low"]).cast("int"), at_place))
+
+    def state(parts: Column, ranks: Column) -> Column:
+        low = F.coalesce(F.array_min(ranks), F.lit(_NONE))
+        return F.struct(parts.alias("parts"), ranks.alias("ranks"), low.alias("low"))
+
+    def whole(chars: Column) -> Column:
+        first = F.zip_with(F.slice(chars, F.lit(1), size - 1), F.slice(chars, F.lit(2), size), pair_rank)
+        start = _let(first, lambda r: state(chars, r))
+        return F.aggregate(F.sequence(F.lit(2), size), start, step, lambda acc: acc["parts"])
+
+    return F.when((size < 2) | _rank(table, word).isNotNull(), F.array(word)).otherwise(_let(parts, whole))
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -104,7 +117,10 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
     pieces = F.regexp_extract_all(F.col("word"), F.lit(_unicode(pattern)), F.lit(0))
     as_bytes = F.transform(pieces, lambda p: F.decode(F.encode(p, "UTF-8"), "ISO-8859-1"))
     split = words.select("word", as_bytes.alias("pieces"))
-    ids = F.flatten(F.transform("pieces", lambda p: F.transform(fold_merges(table, p), lambda x: _rank(table, x))))
+    # One reference to the literal, however often the fold looks into it.
+    ids = _let(
+        table, lambda t: F.flatten(F.transform("pieces", lambda p: F.transform(fold_merges(t, p), lambda x: _rank(t, x))))
+    )
     return split.select("word", ids.alias("ids"))
 
 
