@@ -327,13 +327,10 @@ GEO = """WITH geo AS (
 @query(
     "geo_decimal",
     GEO
-    + """SELECT SITE, PLOTCODE, round(LAT, 6) AS LAT, round(LONG, 6) AS LONG,
-    '<b>Site:</b> ' || SITE || '<br><b>Plot:</b> ' || PLOTCODE || '<br><b>Latitude:</b> ' || printf('%.6f', LAT)
-    || '<br><b>Longitude:</b> ' || printf('%.6f', LONG) AS label FROM geo""",
+    + """SELECT SITE, PLOTCODE, round(LAT, 6) AS LAT, round(LONG, 6) AS LONG FROM geo""",
 )
 def _(spark, sf):
-    label = X.popup_text("SITE", "PLOTCODE", "LAT", "LONG")
-    return gps(spark, sf).select("SITE", "PLOTCODE", r6("LAT"), r6("LONG"), label.alias("label"))
+    return gps(spark, sf).select("SITE", "PLOTCODE", r6("LAT"), r6("LONG"))
 
 
 @query(

@@ -257,7 +257,7 @@ def _(spark, sf):
 
 @query(
     "height_boxplot",
-    PANEL + """, h AS (SELECT CENSUS_NUM, AREA, HT FROM panel WHERE COHORT = 1 AND HT BETWEEN 0 AND 800),
+    PANEL + """, h AS (SELECT CENSUS_NUM, AREA, HT FROM panel WHERE COHORT = 1 AND HT IS NOT NULL),
 q AS (SELECT CENSUS_NUM, AREA, count(*) AS n, quantile_cont(HT, 0.25) AS q1, quantile_cont(HT, 0.5) AS median,
   quantile_cont(HT, 0.75) AS q3 FROM h GROUP BY 1, 2)
 SELECT CENSUS_NUM, AREA, any_value(n) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median,
@@ -269,7 +269,7 @@ FROM h JOIN q USING (CENSUS_NUM, AREA) GROUP BY 1, 2""",
 )
 def _(spark, sf):
     first = D.line_panel(spark, sf).filter(F.col("COHORT") == 1)
-    return rounded(Q.boxplot(first, "HT", ["CENSUS_NUM", "AREA"], clip_range=(0.0, 800.0)))
+    return rounded(Q.boxplot(first, "HT", ["CENSUS_NUM", "AREA"]))
 
 
 # --- folds and metrics -----------------------------------------------------------------

@@ -47,18 +47,6 @@ def mid_pit_binary(obs: Column, p: Column) -> Column:
     return F.when(obs == 1, F.lit(1.0) - p / 2).otherwise((F.lit(1.0) - p) / 2)
 
 
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function (Abramowitz and Stegun 26.2.17, error < 7.5e-8)."""
-    # Published polynomial coefficients.
-    a = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.2316419) * F.abs(z))
-    poly = F.lit(0.0)
-    for coef in reversed(a):
-        poly = (poly + F.lit(coef)) * t
-    tail = F.exp(-z * z / 2) / F.lit(2.5066282746310002) * poly
-    return F.when(z >= 0, F.lit(1.0) - tail).otherwise(tail)
-
-
 def uniformity(df: DataFrame, pit: str, keys: Sequence[str] = (), edge: float = 0.01) -> DataFrame:
     """Kolmogorov-Smirnov distance to the uniform law and the share of edge values.
 

@@ -118,7 +118,7 @@ def prepare(
         set_mask(train_sets or [F.lit(True)]).alias("__m"),
         set_mask(test_sets or [F.lit(True)]).alias("__t"),
         (F.lit("") if plot is None else F.col(plot).cast("string")).alias("__plot"),
-        (F.xxhash64(y, *numeric) if ind is None else F.col(ind)).cast("long").alias("__ind"),
+        _row_key(df, ind).cast("long").alias("__ind"),
         *[F.col(c).cast("double").alias(c) for c in numeric],
         *[level_ordinal(c, levels).alias(c) for c, levels in factors.items()],
     ).dropna()
@@ -139,6 +139,13 @@ def prepare(
     return Rows(chosen, tuple(numeric), factors, n_plots)
 
 
+def _row_key(df: DataFrame, ind: str | None) -> Column:
+    """What rows are dealt out by: the individual, else all columns, so that equal responses don't share a task."""
+    if ind is not None:
+        return F.col(ind)
+    return F.xxhash64("IND_ID") if "IND_ID" in df.columns else F.xxhash64(*df.columns)
+
+
 def set_mask(conditions: Sequence[Column]) -> Column:
     """One bit per row set; callers split longer lists over several calls."""
     if len(conditions) > MASK_BITS:

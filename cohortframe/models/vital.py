@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.terms import AREA, GROWTH_MODELS, SURVIVAL_MODELS, TIME, Design, Term
 from ..operators.distribution import exact_quantiles
 from .engine import Fit, Rows, fit_effects, fit_fixed, prepare, set_mask
+from .families import SHAPE
 
 Z95 = 1.959963984540054
 SPLINE_PROBS = (0.0, 1 / 3, 2 / 3, 1.0)
@@ -103,6 +104,14 @@ def coefficient_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
     )
 
 
+def _at_bound(f: Fit) -> bool:
+    """Whether the shape parameter ended at a bound: the law's limit (Poisson, normal), not an estimate."""
+    if f.family not in SHAPE:
+        return False
+    name, bounds = SHAPE[f.family]
+    return name in f.aux and min(abs(math.log(f.aux[name]) - b) for b in bounds) < 1e-6
+
+
 def fit_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
     """One row per fit: likelihood, AIC, variance components, convergence, error text."""
     rows = [
@@ -119,6 +128,7 @@ def fit_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
             float(f.aux["nu"]) if "nu" in f.aux else None,
             bool(f.converged),
             int(f.iterations),
+            _at_bound(f),
             f.error,
         )
         for f in fits
@@ -126,7 +136,7 @@ def fit_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
     return spark.createDataFrame(
         rows,
         "model string, fold string, n long, loglik double, aic double, sd_plot double, sd_ind double, singular boolean, "
-        "theta double, nu double, converged boolean, iterations int, error string",
+        "theta double, nu double, converged boolean, iterations int, at_bound boolean, error string",
     )
 
 
@@ -136,8 +146,8 @@ SINGULAR_SD = 0.02
 SD_BOUNDS = (math.log(0.005), math.log(5.0))
 
 
-def _surface_peak(points: np.ndarray, values: np.ndarray, centre: np.ndarray, half: float) -> np.ndarray:
-    """Maximum of a quadratic through the grid, kept within two grid steps; the best point otherwise."""
+def _surface_peak(points: np.ndarray, values: np.ndarray, centre: np.ndarray, half: float) -> np.ndarray | None:
+    """Maximum of a quadratic through the grid, or None unless it curves down everywhere."""
     d = points.shape[1]
     t = (points - centre) / half
     basis = [np.ones(len(t)), *t.T, *[t[:, i] * t[:, j] for i in range(d) for j in range(i, d)]]
@@ -148,12 +158,9 @@ def _surface_peak(points: np.ndarray, values: np.ndarray, centre: np.ndarray, ha
             quad[i, j] += coef[k] / (1 if i == j else 2)
             quad[j, i] = quad[i, j]
             k += 1
-    best = points[np.argmax(values)]
-    if np.all(np.linalg.eigvalsh(quad) < -1e-9):
-        peak = centre + half * np.clip(np.linalg.solve(-2 * quad, coef[1 : 1 + d]), -2, 2)
-    else:
-        peak = best
-    return np.clip(peak, *SD_BOUNDS)
+    if np.any(np.linalg.eigvalsh(quad) >= -1e-9):
+        return None
+    return centre + half * np.linalg.solve(-2 * quad, coef[1 : 1 + d])
 
 
 def fit_random(
@@ -162,20 +169,25 @@ def fit_random(
     individual: bool,
     first: float = 0.3,
     half: float = 1.0,
-    rounds: int = 3,
-    steps: int = 5,
-    final_steps: int = 10,
+    rounds: int = 20,
+    steps: int = 8,
+    final_steps: int = 12,
+    smallest: float = 0.12,
 ) -> tuple[Fit, DataFrame]:
     """Random intercepts by plot (and individual), variances by Laplace likelihood.
 
-    Each round evaluates a grid of variance pairs as separate fits of the *same* passes and moves
-    to the peak of a quadratic surface. Fixed effects sit at the joint mode, the usual fast
-    approximation to the full Laplace optimum.
+    Each round evaluates a grid of variance pairs (in log sd) as separate fits of the *same* passes. While
+    the best point lies on the rim of the grid, the grid moves there at its width; once the centre is
+    best, the grid moves to the peak of the quadratic surface and narrows. The search ends when a grid of
+    half-width ``smallest`` holds its own peak, or when the likelihood falls towards the lower bound of
+    an sd, which then is a zero boundary (``singular``). ``converged`` needs this and converged fits at
+    the end; ``rounds`` only stops a search that does neither, and says so. Fixed effects sit at the joint
+    mode, the usual fast approximation to the full Laplace optimum.
     """
     d = 2 if individual else 1
     centre = np.full(d, math.log(first))
-    base = fixed
-    for r in range(rounds):
+    base, settled = fixed, False
+    for _ in range(rounds):
         points = np.array([centre + half * np.array(o) for o in itertools.product((-1.0, 0.0, 1.0), repeat=d)])
         points = np.unique(np.clip(points, *SD_BOUNDS), axis=0)
         grid = [
@@ -184,14 +196,28 @@ def fit_random(
         ]
         grid, _ = fit_effects(rows, grid, max_iter=steps)
         values = np.array([g.loglik for g in grid])
-        base = grid[int(np.argmax(values))]
-        centre = _surface_peak(points, values, centre, half)
-        half /= 2.5
+        best = int(np.argmax(values))
+        base, top = grid[best], points[best]
+        moved = np.abs(top - centre) > 1e-9
+        low = top <= SD_BOUNDS[0] + 1e-9
+        if np.any(moved & ~low) and not np.all(low):
+            # Only a finite maximum stops the walk: keep the width and follow the rim.
+            centre = np.clip(top, *SD_BOUNDS)
+            continue
+        peak = _surface_peak(points, values, centre, half)
+        centre = top
+        if peak is not None and np.all(np.abs(peak - top) <= half):
+            centre = np.where(low, SD_BOUNDS[0], np.clip(peak, *SD_BOUNDS))
+        if half <= smallest:
+            settled = True
+            break
+        half = max(half / 2.5, smallest)
     chosen = replace(
         base, sd_plot=float(np.exp(centre[0])), sd_ind=float(np.exp(centre[1])) if individual else 0.0
     )
     final, effects = fit_effects(rows, [chosen], max_iter=final_steps)
-    return final[0], effects.select("plot", "v")
+    out = replace(final[0], converged=bool(final[0].converged and settled))
+    return out, effects.select("plot", "v")
 
 
 # --- survival ---------------------------------------------------------------------------
@@ -254,7 +280,7 @@ def height_bin_hazard(pairs: DataFrame, levels: Sequence[str], steps: int = 20)
     design = Design(terms, {"HT_bin": tuple(str(b) for b in bins), AREA: tuple(levels)})
     mean = rows.df.agg(F.avg("__y")).first()[0]
     fixed = fit_fixed(rows, [new_fit("height_bin", design, "cloglog", mean)])[0]
-    fit, _ = fit_random(rows, fixed, individual=False, rounds=2)
+    fit, _ = fit_random(rows, fixed, individual=False)
     rows.release()
     spark = pairs.sparkSession
     table = coefficient_table(spark, [fit]).filter(F.col("term").startswith("HT_bin"))
@@ -357,7 +383,7 @@ def fit_hurdle(cones: DataFrame, levels: Sequence[str], random: bool = True) ->
     mean = rows.df.agg(F.avg("__y")).first()[0]
     count = fit_fixed(rows, [new_fit("count", design, "truncated_nbinom", mean)], max_iter=40)[0]
     if random:
-        count, _ = fit_random(rows, count, individual=False, rounds=2)
+        count, _ = fit_random(rows, count, individual=False)
     rows.release()
     return zero, count
 
@@ -399,7 +425,7 @@ def fit_later_recruits(seasons: DataFrame, levels: Sequence[str], random: bool =
     design = Design(((), (AREA,), (TIME,)), {AREA: tuple(levels)})
     fit = fit_fixed(rows, [new_fit("later_recruits", design, "nbinom", rate)], max_iter=40)[0]
     if random:
-        fit, _ = fit_random(rows, fit, individual=False, rounds=2)
+        fit, _ = fit_random(rows, fit, individual=False)
     rows.release()
     return fit
 
@@ -410,7 +436,7 @@ def fit_first_year(cohort: DataFrame, levels: Sequence[str]) -> tuple[Fit, DataF
     mean = rows.df.agg(F.avg("__y")).first()[0]
     design = Design(((), (AREA,)), {AREA: tuple(levels)})
     fixed = fit_fixed(rows, [new_fit("first_year", design, "logit", mean)])[0]
-    out = fit_random(rows, fixed, individual=False, rounds=2)
+    out = fit_random(rows, fixed, individual=False)
     rows.release()
     return out
 

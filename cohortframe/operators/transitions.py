@@ -31,11 +31,6 @@ def with_next(panel: DataFrame, censuses: Sequence[int] | None, **columns: str)
     return kept.withColumns({out: F.lead(src).over(order) for out, src in columns.items()})
 
 
-def with_previous(panel: DataFrame, **columns: str) -> DataFrame:
-    order = by_individual()
-    return panel.withColumns({out: F.lag(src).over(order) for out, src in columns.items()})
-
-
 def survival_transitions(
     panel: DataFrame,
     censuses: Sequence[int] | None = SURVIVAL_CENSUSES,

@@ -161,12 +161,15 @@ def select_growth(
     models: Sequence[str] = tuple(GROWTH_MODELS),
     folds: Sequence[Fold] | None = None,
     top: int = 4,
+    min_train: int = 5,
 ) -> Selection:
     """Growth models with t errors ranked by AIC, time-series and left-out-site MSE of log size."""
     pairs = pairs.select(*KEYS, "HT_next").persist()
     present = present_censuses(pairs)
     if folds is None:
-        folds = plan(pairs, min_train=max(len(present) - 3, 1), test_size=1, unit="level")
+        if len(present) <= min_train:
+            raise ValueError(f"{len(present)} censuses leave no fold after {min_train} training censuses")
+        folds = plan(pairs, min_train=min_train, test_size=1, unit="level")
     metric_rows, all_fits = [], []
     for block in _chunks(folds, present):
         sets, use = training_sets(block, present)

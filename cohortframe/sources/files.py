@@ -53,10 +53,6 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, schema=PANEL_SCHEMA, header=True)
-
-
 def write_wide(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Wide cleaned table; CSV writes NULL as an empty field."""
     if fmt == "csv":
@@ -73,17 +69,6 @@ def write_panel(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         df.write.mode("overwrite").partitionBy("CENSUS_NUM").format(fmt).save(path)
 
 
-def save_panel_table(df: DataFrame, table: str, buckets: int) -> None:
-    """Long panel bucketed and sorted by individual: later lead/lag windows need no exchange."""
-    (
-        df.write.mode("overwrite")
-        .bucketBy(buckets, "IND_ID")
-        .sortBy("IND_ID", "CENSUS_NUM")
-        .format("parquet")
-        .saveAsTable(table)
-    )
-
-
 def write_models(fits: DataFrame, coefficients: DataFrame, path: str, chosen: DataFrame | None = None) -> None:
     """Fit and coefficient tables; ``chosen`` (with ``model``) keeps the selected models only."""
     if chosen is not None:

@@ -15,6 +15,7 @@ from ..operators.status import resolve_status
 
 LINE_CENSUSES = 14
 EVENT_CENSUSES = 15
+EVENT_START = "2024-01-01"
 SINGLE_SITE_BRAND = 25
 
 
@@ -28,7 +29,11 @@ def fill_censuses(observed: DataFrame, last: int, value_cols: list[str]) -> Data
     Every observed row also emits the unobserved censuses up to the next observed one (and the
     first one those before it), so the grid needs no cross join and no extra shuffle: the
     window that finds the neighbours already sits on the individual's partitioning.
+
+    Rows whose census is null or outside 1..``last`` belong to no census of the panel and are left out;
+    ``outside_censuses`` counts them.
     """
+    observed = observed.filter(F.col("CENSUS_NUM").between(1, last))
     order = Window.partitionBy("IND_ID").orderBy("CENSUS_NUM")
     spell = (
         observed.withColumn("COHORT", F.first("CENSUS_NUM").over(order))
@@ -46,6 +51,17 @@ def fill_censuses(observed: DataFrame, last: int, value_cols: list[str]) -> Data
     )
 
 
+def outside_censuses(observed: DataFrame, last: int) -> DataFrame:
+    """``n_inside, n_outside, first_census, last_census``: what a panel of ``last`` censuses takes and leaves."""
+    inside = F.coalesce(F.col("CENSUS_NUM").between(1, last), F.lit(False))
+    return observed.agg(
+        F.count_if(inside).alias("n_inside"),
+        F.count_if(~inside).alias("n_outside"),
+        F.min("CENSUS_NUM").alias("first_census"),
+        F.max("CENSUS_NUM").alias("last_census"),
+    )
+
+
 def half_year_census(date: str) -> Column:
     months = (F.year(date) - 1995) * 12 + F.month(date) - 1
     return (F.lit(1) + F.floor(months / 6)).cast("int")
@@ -231,7 +247,7 @@ def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "events")
         .select(
             F.col("user_id").alias("IND_ID"),
-            (F.lit(1) + F.floor((F.dayofmonth("ts") - 1) / 2)).cast("int").alias("CENSUS_NUM"),
+            (F.lit(1) + F.floor(F.datediff("ts", F.lit(EVENT_START).cast("date")) / 2)).cast("int").alias("CENSUS_NUM"),
             "event_type",
             "value",
         )
@@ -267,7 +283,7 @@ def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "AREA",
         "COHORT",
         "CENSUS_NUM",
-        F.date_add(F.lit("2024-01-01").cast("date"), 2 * (F.col("CENSUS_NUM") - 1)).alias("START_DATE"),
+        F.date_add(F.lit(EVENT_START).cast("date"), 2 * (F.col("CENSUS_NUM") - 1)).alias("START_DATE"),
         "STAT",
         mask_size("HT_RAW", "STAT").alias("HT"),
     )
