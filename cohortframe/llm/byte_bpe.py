@@ -7,9 +7,11 @@
    character a byte; a fold over each joins the neighbours whose concatenation has the lowest rank
    (the leftmost of equals) until none has one. The rank map is a literal, an array of small maps chosen by
    checksum, because Spark searches a map from its start.
-3. Words meet their ids in a join and are stored by block in the shared folder, so a task over the texts
-   loads only the words of its own block, assembles the ids of each text and decodes them by
-   concatenating the bytes of the ids. A word that its block lacks is an error, never skipped.
+   Words are shuffled once, with the block that lists them; the first row of a word is encoded and a window
+   hands its ids to the others.
+3. The ids are stored by block in the shared folder, so a task over the texts loads only those of its own
+   block, finds the word of each by concatenating the bytes of its ids, and assembles and decodes the ids
+   of each text. A word that its block lacks is an error, never skipped.
 
 ``docs`` must be a plan whose partitions are the same whenever it runs, as a scan or a stored table is.
 The fold over a word takes time in the square of its bytes; words are short where texts have spaces.
@@ -28,11 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .buffers import byte_slices, chunks, span_hashes
-from .shared import file_system, shared_folder, stored
+from .shared import file_system, shared_folder
 
 #: Words that a task keeps to list each once; past it a word may be listed again, which costs space only.
 SEEN_WORDS = 1_000_000
@@ -111,17 +112,23 @@ def fold_merges(table: Column, word: Column) -> Column:
     return F.when((size < 2) | _rank(table, word).isNotNull(), F.array(word)).otherwise(_let(parts, whole))
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(word, ids) for a table of distinct words."""
-    table = rank_literal(ranks)
-    pieces = F.regexp_extract_all(F.col("word"), F.lit(_unicode(pattern)), F.lit(0))
+def word_ids(ranks: dict[bytes, int], pattern: str, word: Column) -> Column:
+    """The ids of a word."""
+    pieces = F.regexp_extract_all(word, F.lit(_unicode(pattern)), F.lit(0))
     as_bytes = F.transform(pieces, lambda p: F.decode(F.encode(p, "UTF-8"), "ISO-8859-1"))
-    split = words.select("word", as_bytes.alias("pieces"))
     # One reference to the literal, however often the fold looks into it.
-    ids = _let(
-        table, lambda t: F.flatten(F.transform("pieces", lambda p: F.transform(fold_merges(t, p), lambda x: _rank(t, x))))
+    return _let(
+        rank_literal(ranks),
+        lambda t: F.flatten(F.transform(as_bytes, lambda p: F.transform(fold_merges(t, p), lambda x: _rank(t, x)))),
     )
-    return split.select("word", ids.alias("ids"))
+
+
+def encode_words(listed: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(block, ids as text) for every (block, word); a word is encoded once however many blocks list it."""
+    of_word = Window.partitionBy("word").orderBy("block")
+    ids = F.array_join(word_ids(ranks, pattern, F.col("word")), " ")
+    once = listed.withColumn("nth", F.row_number().over(of_word)).withColumn("ids", F.when(F.col("nth") == 1, ids))
+    return once.select("block", F.first("ids").over(of_word).alias("ids"))
 
 
 def _distinct_in(data: np.ndarray, offsets: np.ndarray):
@@ -134,14 +141,13 @@ def _distinct_in(data: np.ndarray, offsets: np.ndarray):
     return code, row, distinct, [raw[b:e] for b, e in zip(starts[first].tolist(), ends[first].tolist())]
 
 
-def block_words(docs: DataFrame) -> DataFrame:
-    """(block, word): the distinct words of each partition."""
+def block_words(narrow: DataFrame) -> DataFrame:
+    """(block, word): the distinct words of each block of (block, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId()
         seen: set[int] = set()
         for batch in batches:
-            for _, data, offsets in byte_slices(batch.column(0)):
+            for first, data, offsets in byte_slices(batch.column(1)):
                 if not len(data):
                     continue
                 _, _, distinct, found = _distinct_in(data, offsets)
@@ -149,50 +155,46 @@ def block_words(docs: DataFrame) -> DataFrame:
                     seen.clear()
                 new = [w for h, w in zip(distinct.tolist(), found) if h not in seen]
                 seen.update(distinct.tolist())
+                block = np.full(len(new), batch.column(0)[first].as_py(), np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(new), block, np.int64)), pa.array(new, pa.binary()).cast(pa.string())],
-                    names=["block", "word"],
+                    [pa.array(block), pa.array(new, pa.binary()).cast(pa.string())], names=["block", "word"]
                 )
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "block long, word string")
+    return narrow.select("block", "text").mapInArrow(run, "block int, word string")
 
 
-def _block_table(folder: str, block: int) -> dict[bytes, str]:
+def _block_table(folder: str, block: int, piece: dict[str, bytes]) -> dict[bytes, str]:
     """The words of a block: bytes -> ids as text."""
     import pyarrow.parquet as pq
-
-    store, base = file_system(folder)
     from pyarrow import fs
 
+    store, base = file_system(folder)
     out: dict[bytes, str] = {}
     for info in store.get_file_info(fs.FileSelector(f"{base}/block={block}", allow_not_found=True)):
         if info.path.endswith(".parquet"):
             with store.open_input_file(info.path) as source:
-                table = pq.read_table(source, columns=["word", "ids"])
-            words = table.column("word").cast(pa.binary()).to_pylist()
-            out.update(zip(words, table.column("ids").to_pylist()))
+                listed = pq.read_table(source, columns=["ids"]).column("ids").to_pylist()
+            out.update((b"".join([piece[i] for i in ids.split(" ")]), ids) for ids in listed)
     return out
 
 
 def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, in the partitions of ``docs``."""
     spark = docs.sparkSession
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    listed = stored(block_words(narrow), "block-words")
-    encoded = stored(encode_words(listed.select("word").distinct(), ranks, pattern), "word-ids")
+    narrow = docs.select(F.spark_partition_id().alias("block"), "doc_id", F.col("text").cast("string").alias("text"))
     folder = shared_folder(spark, "words-by-block")
-    ids = encoded.select("word", F.array_join("ids", " ").alias("ids"))
-    listed.join(ids, "word").repartition("block").write.partitionBy("block").parquet(folder)
+    encoded = encode_words(block_words(narrow), ranks, pattern).repartition("block")
+    encoded.write.partitionBy("block").option("compression", "zstd").parquet(folder)
     vocabulary = spark.sparkContext.broadcast({str(rank): word for word, rank in ranks.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
+        piece = vocabulary.value
         for batch in batches:
-            if table is None:
-                table = _block_table(folder, TaskContext.get().partitionId())
-                piece = vocabulary.value
+            if table is None and len(batch):
+                table = _block_table(folder, batch.column(0)[0].as_py(), piece)
                 decoded: dict[str, bytes] = {}
-            for first, data, offsets in byte_slices(batch.column(1)):
+            for first, data, offsets in byte_slices(batch.column(2)):
                 n = len(offsets) - 1
                 counts = np.zeros(n, np.int64)
                 edge = np.zeros(n + 1, np.int64)
@@ -214,7 +216,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
                 spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, n),
+                        batch.column(1).slice(first, n),
                         pa.array(counts),
                         pa.array([hashlib.sha256(" ".join(texts[b:e]).encode()).hexdigest() for b, e in spans]),
                         pa.array([hashlib.sha256(b"".join(raw[b:e])).hexdigest() for b, e in spans]),
