@@ -33,11 +33,11 @@ def read_census(
     return spark.read.csv(path, schema=text_schema(columns, integers), header=True, nullValue=null)
 
 
-def read_census_dates(spark: SparkSession, path: str, censuses: int, skip: int = 2) -> DataFrame:
-    """Landed date sheet: rows above the header are dropped by their missing label."""
+def read_census_dates(spark: SparkSession, path: str, censuses: int, drop_unlabelled: bool = True) -> DataFrame:
+    """Landed date sheet; rows without a label, such as those above the header, are dropped unless told otherwise."""
     names = ["...1", *[f"Census {i + 1}" for i in range(censuses)]]
     sheet = spark.read.csv(path, schema=text_schema(names, ()), header=False)
-    return sheet.filter(F.col("`...1`").isNotNull()) if skip else sheet
+    return sheet.filter(F.col("`...1`").isNotNull()) if drop_unlabelled else sheet
 
 
 def read_plots(spark: SparkSession, path: str) -> DataFrame:

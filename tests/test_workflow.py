@@ -56,6 +56,7 @@ def test_dates_and_gps_files(spark, tmp_path):
     dates = census_dates_long(files.read_census_dates(spark, str(sheet), 2), "...1").orderBy("CENSUS_NUM").collect()
     assert [(r["CENSUS_NUM"], str(r["START_DATE"]), r["CENSUS_MONTH"], r["CENSUS_YEAR"]) for r in dates] == [
         (1, "1996-06-01", 6, 1996), (2, "1996-09-15", 9, 1996)]
+    assert files.read_census_dates(spark, str(sheet), 2, drop_unlabelled=False).count() == 5
     gps = tmp_path / "gps.csv"
     gps.write_text("SITE,PLOTCODE,LATDEG,LATMIN,LONGDEG,LONGMIN\nX,X1-1,40,30.0,72,45.0\n")
     from cohortframe.functions.columns import decimal_degrees
@@ -66,6 +67,29 @@ def test_dates_and_gps_files(spark, tmp_path):
     assert tuple(row) == (40.5, -72.75)
 
 
+def test_plots_file(spark, tmp_path):
+    sheet = tmp_path / "plots.csv"
+    sheet.write_text(
+        "OLDCODE,SUBPLOT,AREA,PLTAREA,SDLAREA,TMT,CONES1,TOPALIV1\nDW2A-3,a,DW,20,10.5,NONE,3,\nRP1-1,,RP,30,4,BURN,,7\n"
+    )
+    assert [tuple(r) for r in files.read_plots(spark, str(sheet)).orderBy("OLDCODE").collect()] == [
+        ("DW2A-3", "a", "DW", 20.0, 10.5, "NONE", 3.0, None), ("RP1-1", None, "RP", 30.0, 4.0, "BURN", None, 7.0)]
+
+
+def test_model_tables_round_trip(spark, tmp_path):
+    fits = spark.createDataFrame([("ht", -5.0, True), ("ht_area", -4.5, False)], "model string, loglik double, converged boolean")
+    coefficients = spark.createDataFrame(
+        [("ht", "HT", 0.5), ("ht_area", "HT", 0.4), ("ht_area", "AREA", None)], "model string, term string, estimate double"
+    )
+    files.write_models(fits, coefficients, str(tmp_path / "all"))
+    for wrote, read in zip((fits, coefficients), files.read_models(spark, str(tmp_path / "all"))):
+        assert sorted(map(str, wrote.collect())) == sorted(map(str, read.collect()))
+    chosen = spark.createDataFrame([("ht_area",), ("ht_area",), ("absent",)], "model string")
+    files.write_models(fits, coefficients, str(tmp_path / "some"), chosen)
+    kept, terms = files.read_models(spark, str(tmp_path / "some"))
+    assert [r["model"] for r in kept.collect()] == ["ht_area"] and terms.count() == 2
+
+
 def test_round_trips(spark, small, tmp_path):
     panel = D.line_panel(spark, small).select("IND_ID", "CENSUS_NUM", "STAT", "HT").cache()
     files.write_panel(panel, str(tmp_path / "long"))
