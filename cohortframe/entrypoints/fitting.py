@@ -1,4 +1,4 @@
-"""Iterative fits. SQL has no counterpart; tests check them against dense solutions."""
+"""Iterative fits. Those with few coefficients have recursive SQL twins; tests check the others against dense solutions."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..models import closed as K, vital as Y
 from ..operators import cohorts
 from ..plans.selection import select_growth, select_survival
 from ..sources import tables as D
+from . import fit_sql
 from .panels import LEVELS, growth, survival, with_plots
 from .registry import query, rounded
 
@@ -26,7 +27,17 @@ def _(spark, sf):
     return rounded(Y.coefficient_table(spark, fits))
 
 
-@query("glm_poisson")
+@query("glm_cloglog_ht", fit_sql.GLM_CLOGLOG_HT)
+def _(spark, sf):
+    """Hazard on height alone."""
+    rows = Y.survival_rows(survival(spark, sf), LEVELS)
+    mean = rows.df.agg(F.avg("__y")).first()[0]
+    fit = Y.fit_fixed(rows, [Y.new_fit("ht", Y.survival_design("ht", LEVELS), "cloglog", mean)], tol=1e-12)[0]
+    rows.release()
+    return rounded(Y.coefficient_table(spark, [fit]))
+
+
+@query("glm_poisson", fit_sql.GLM_POISSON)
 def _(spark, sf):
     panel = D.line_panel(spark, sf).filter(F.col("HT").isNotNull())
     design = Design(crossed("HT", by="AREA"), {"AREA": tuple(LEVELS)})
@@ -34,7 +45,7 @@ def _(spark, sf):
     return rounded(Y.coefficient_table(spark, fits))
 
 
-@query("glm_poisson_recruits")
+@query("glm_poisson_recruits", fit_sql.GLM_POISSON_RECRUITS)
 def _(spark, sf):
     """Recruits of the first census on cones through the origin, and on live tops."""
     recruits = cohorts.recruits_by_plot(D.line_panel(spark, sf)).filter(F.col("CENSUS_NUM") == 1)
@@ -45,7 +56,7 @@ def _(spark, sf):
     return rounded(Y.coefficient_table(spark, [origin, tops]))
 
 
-@query("ols_gram_anova")
+@query("ols_gram_anova", fit_sql.OLS_GRAM_ANOVA)
 def _(spark, sf):
     panel = D.line_panel(spark, sf).filter(F.col("HT").isNotNull() & F.col("DAH").isNotNull())
     dated = panel.withColumn("DAYS", F.datediff("START_DATE", F.to_date(F.lit("1995-01-01"))).cast("double") / 365.25)
@@ -106,13 +117,13 @@ def _(spark, sf):
     return rounded(Y.height_bin_hazard(survival(spark, sf), LEVELS)[1])
 
 
-@query("size_pca")
+@query("size_pca", fit_sql.SIZE_PCA)
 def _(spark, sf):
     table, _ = K.size_pca(cohorts.size_complete_cases(D.line_panel(spark, sf)), ["HT", "DAH", "WD1", "WD2"])
     return rounded(table)
 
 
-@query("size_pca_scores")
+@query("size_pca_scores", fit_sql.SIZE_PCA_SCORES)
 def _(spark, sf):
     _, scores = K.size_pca(cohorts.size_complete_cases(D.line_panel(spark, sf)), ["HT", "DAH", "WD1", "WD2"])
     return rounded(scores.select("IND_ID", "CENSUS_NUM", "PC1", "PC2"))

@@ -448,7 +448,8 @@ def fit_fixed(rows: Rows, fits: Sequence[Fit], max_iter: int = 25, tol: float =
     """Fisher scoring of many fits; a fit whose likelihood falls goes back and halves its step.
 
     A fit is done when the next step promises less than ``tol`` units of log-likelihood, which
-    bounds the distance to the optimum in standard errors whatever the number of rows.
+    bounds the distance to the optimum in standard errors whatever the number of rows. The last step is
+    still taken; likelihood and covariance are those of the point before it.
     """
     fits = [replace(f, converged=False, error=None) for f in fits]
     settled: dict[int, tuple] = {}
@@ -486,7 +487,7 @@ def fit_fixed(rows: Rows, fits: Sequence[Fit], max_iter: int = 25, tol: float =
                 loglik=q["ll"],
                 n=int(q["n"]),
                 covariance=inverse,
-                beta=fit.beta if done else fit.beta + delta,
+                beta=fit.beta + delta,
                 aux=fit.aux if done else aux,
                 converged=bool(done),
                 iterations=iteration,

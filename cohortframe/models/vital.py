@@ -355,10 +355,10 @@ def fit_growth(
 # --- counts and first-year survival -----------------------------------------------------
 
 
-def fit_poisson(df: DataFrame, y: str, design: Design, numeric: Sequence[str], factors=None) -> Fit:
+def fit_poisson(df: DataFrame, y: str, design: Design, numeric: Sequence[str], factors=None, tol: float = 1e-12) -> Fit:
     rows = prepare(df, F.col(y), numeric, factors)
     mean = rows.df.agg(F.avg("__y")).first()[0]
-    fit = fit_fixed(rows, [new_fit(y, design, "poisson", mean)])[0]
+    fit = fit_fixed(rows, [new_fit(y, design, "poisson", mean)], tol=tol)[0]
     rows.release()
     return fit
 
