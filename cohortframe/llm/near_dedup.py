@@ -17,8 +17,10 @@ bucket
    signature does not exclude (``CUT``, four standard errors below) are verified.
 
 Pairs inside a component need no comparison, so a bucket of close copies costs its size, not its square,
-and no link between different components is lost. Buckets above ``BLOCK`` members are split by further
-registers, and what stays large is compared in pairs of blocks over several tasks.
+and no link between different components is lost. Buckets above ``BLOCK`` members are first split by further
+registers; links found there merge components and decide nothing else. Then every bucket that still holds several
+components is compared whole, the large ones in pairs of blocks over several tasks. Members of a large bucket's
+largest component are not blocked against each other, so one stranger in it costs its size, not its square.
 
 Null, empty and wordless texts are compared with nothing: each is its own group. Rows that share a doc_id
 are one document and stay or go together; rows without one are groups of their own (component null, kept).
@@ -235,7 +237,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
 
 def _deeper(members: DataFrame, depth: int) -> DataFrame:
-    """Members of large buckets, six times each, keyed by eight more registers."""
+    """Members of large buckets, six times each, keyed by eight more registers; ``bucket`` stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -243,16 +245,17 @@ def _deeper(members: DataFrame, depth: int) -> DataFrame:
         tag = (np.arange(6, dtype=np.uint64) + np.uint64(100 * depth + 1)) * _GOLD
         for batch in batches:
             if batch.num_rows:
-                parts = np.ascontiguousarray(_matrix(batch.column(3))[:, order]).view(np.uint64)
+                parts = np.ascontiguousarray(_matrix(batch.column(4))[:, order]).view(np.uint64)
                 with np.errstate(over="ignore"):
                     key = mix(mix(parts) + tag + np.asarray(batch.column(0)).view(np.uint64)[:, None])
                 take = pa.array(np.repeat(np.arange(batch.num_rows), 6))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel().view(np.int64)), *[batch.column(k).take(take) for k in (1, 2, 3)]],
-                    names=["key", "id", "c", "sig"],
+                    [pa.array(key.ravel().view(np.int64)), *[batch.column(k).take(take) for k in (1, 2, 3, 4)]],
+                    names=["key", "bucket", "id", "c", "sig"],
                 )
 
-    return members.mapInArrow(run, "key long, id long, c long, sig binary")
+    own = members.select("key", "bucket", "id", "c", "sig")
+    return own.mapInArrow(run, "key long, bucket long, id long, c long, sig binary")
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -261,26 +264,26 @@ def _sized(members: DataFrame) -> DataFrame:
     return members.join(stored(groups.where("x <> y").select("key", "n"), "buckets"), "key")
 
 
-def _cross_pairs(members: DataFrame, once: bool = False) -> DataFrame:
+def _cross_pairs(members: DataFrame) -> DataFrame:
     """Pairs of members of a group with different components that the signatures do not exclude.
 
-    Rows (key, side, id, c, sig) come sorted by key. Side 2 marks a group compared within itself; otherwise
-    side 0 is compared with side 1. ``once``: the groups are all buckets of all bands, so a pair is left to
-    the first band in which its members meet.
+    Rows are key, bucket, side, id, c, sig. Side 2 marks a group compared within itself; otherwise side 0 is
+    compared with side 1. ``bucket`` is the band's bucket that the group is a part of; a pair is left to the
+    bucket of the first band in which its members meet.
     """
     order = _orders()
     band = (np.arange(BANDS, dtype=np.uint64) + _ONE) * _GOLD
 
-    def here(key: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Whether the first band in which the signatures agree is the one of this key."""
+    def here(bucket: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether the first band in which the signatures agree is the one of this bucket."""
         x = np.ascontiguousarray(p[:, order]).view(np.uint64)
         y = np.ascontiguousarray(q[:, order]).view(np.uint64)
         first = (x == y).argmax(1)
         with np.errstate(over="ignore"):
             own = mix(mix(x[np.arange(len(x)), first]) + band[first])
-        return own.view(np.int64) == key
+        return own.view(np.int64) == bucket
 
-    def group(key, side, ids, comp, sig):
+    def group(bucket, side, ids, comp, sig):
         left = np.flatnonzero(side != 1)
         right = np.flatnonzero(side != 0)
         out = []
@@ -294,10 +297,8 @@ def _cross_pairs(members: DataFrame, once: bool = False) -> DataFrame:
                 p, q = a[j : j + 20_000], b[j : j + 20_000]
                 near = (sig[p] == sig[q]).mean(1) >= CUT
                 p, q = p[near], q[near]
-                if once:
-                    first = here(key, sig[p], sig[q])
-                    p, q = p[first], q[first]
-                p, q = ids[p], ids[q]
+                first = here(bucket[p], sig[p], sig[q])
+                p, q = ids[p[first]], ids[q[first]]
                 out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
         return out
 
@@ -307,12 +308,12 @@ def _cross_pairs(members: DataFrame, once: bool = False) -> DataFrame:
         def work(table: pa.Table) -> pa.RecordBatch:
             table = table.combine_chunks()
             key = np.asarray(table.column(0).combine_chunks())
-            side, ids, comp = (np.asarray(table.column(k).combine_chunks()) for k in (1, 2, 3))
-            sig = _matrix(table.column(4).combine_chunks())
+            bucket, side, ids, comp = (np.asarray(table.column(k).combine_chunks()) for k in (1, 2, 3, 4))
+            sig = _matrix(table.column(5).combine_chunks())
             edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             found = []
             for b, e in zip(edge.tolist(), [*edge[1:].tolist(), len(key)]):
-                found += group(key[b], side[b:e], ids[b:e], comp[b:e], sig[b:e])
+                found += group(bucket[b:e], side[b:e], ids[b:e], comp[b:e], sig[b:e])
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -329,17 +330,29 @@ def _cross_pairs(members: DataFrame, once: bool = False) -> DataFrame:
         if waiting is not None:
             yield work(waiting)
 
-    placed = members.repartition("key").sortWithinPartitions("key")
+    placed = members.select("key", "bucket", "side", "id", "c", "sig").repartition("key").sortWithinPartitions("key")
     return placed.mapInArrow(run, "a long, b long")
 
 
+def _whole(members: DataFrame) -> DataFrame:
+    return members.select("key", "bucket", F.lit(2).cast("long").alias("side"), "id", "c", "sig")
+
+
 def _blocks(large: DataFrame) -> DataFrame:
-    """A large bucket as groups for all pairs of its blocks; every member goes once to each of the others' blocks."""
-    n_blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("id"), n_blocks)
-    spread = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+    """Large buckets as groups for all pairs of their blocks, except pairs within the bucket's largest component.
+
+    A member goes once to each block that its own is compared with.
+    """
+    parts = large.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"))
+    parts = stored(parts.select("key", F.col("top.m").alias("n_top"), F.col("top.c").alias("c_top")), "largest-components")
+    top, rest = F.ceil(F.col("n_top") / BLOCK), F.ceil((F.col("n") - F.col("n_top")) / BLOCK)
+    at, is_top = F.xxhash64("id"), F.col("c") == F.col("c_top")
+    own = F.when(is_top, F.pmod(at, top)).otherwise(top + F.pmod(at, rest))
+    others = F.sequence(F.when(is_top, top).otherwise(F.lit(0).cast("long")), top + rest - 1)
+    spread = large.join(parts, "key").withColumn("own", own).withColumn("other", F.explode(others))
     return spread.select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
+        "bucket",
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long").alias("side"),
         "id", "c", "sig",
     )
@@ -373,27 +386,34 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     involved = degree.select(F.col("id").alias("doc"))
     sets = stored(shingle_sets(narrow.join(involved, "doc").select("doc", "low")).dropDuplicates(["doc"]), "shingle-sets")
     links = stored(verified(best, sets, similarity), "star-links")
-    comp = components(links)
 
     # Then whatever meets in a bucket from different components.
-    placed = members.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    placed = placed.join(stored(mixed, "mixed-buckets"), "key").join(sigs, "id").select("key", "id", "c", "sig")
-    level = stored(_sized(placed), "mixed-members")
-    found = None
-    for depth in range(3):
-        small = level.where(F.col("n") <= BLOCK).select("key", F.lit(2).cast("long").alias("side"), "id", "c", "sig")
-        large = level.where(F.col("n") > BLOCK)
-        none_large = large.isEmpty()
-        pairs = _cross_pairs(small, once=depth == 0 and none_large)
-        found = pairs if found is None else found.union(pairs)
-        if none_large:
-            break
-        if depth == 2:
-            found = found.union(_cross_pairs(_blocks(large)))
-        else:
-            level = stored(_sized(_deeper(large.select("key", "id", "c", "sig"), depth + 1)), "deeper-members")
-    more = verified(stored(found.distinct(), "cross-pairs"), sets, similarity)
+    def mixed_members(comp: DataFrame) -> DataFrame:
+        placed = members.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+        placed = placed.join(stored(mixed, "mixed-buckets"), "key").join(sigs, "id")
+        placed = placed.select("key", F.col("key").alias("bucket"), "id", "c", "sig")
+        return stored(_sized(placed), "mixed-members")
+
+    level = mixed_members(components(links))
+    large = level.where(F.col("n") > BLOCK)
+    some_large = not large.isEmpty()
+    if some_large:
+        # Parts of large buckets only merge components here; the pass below compares all that is left.
+        found = None
+        for depth in (1, 2):
+            deeper = stored(_sized(_deeper(large, depth)), "deeper-members")
+            pairs = _cross_pairs(_whole(deeper.where(F.col("n") <= BLOCK)))
+            found = pairs if found is None else found.union(pairs)
+            large = deeper.where(F.col("n") > BLOCK)
+            if large.isEmpty():
+                break
+        links = stored(links.union(verified(stored(found.distinct(), "part-pairs"), sets, similarity)), "merged-links")
+        level = mixed_members(components(links))
+    groups = _whole(level.where(F.col("n") <= BLOCK))
+    if some_large:
+        groups = groups.union(_blocks(level.where(F.col("n") > BLOCK)))
+    more = verified(stored(_cross_pairs(groups).distinct(), "cross-pairs"), sets, similarity)
     group = stored(components(links.union(more)), "groups")
     rep_of = stored(reps.select("h1", "h2", F.col("id").alias("rep")), "rep-of")
     members_of = seen.select("doc", "h1", "h2").join(rep_of, ["h1", "h2"]).join(

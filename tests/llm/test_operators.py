@@ -143,6 +143,27 @@ def test_near_groups_large_buckets_split(spark, monkeypatch):
     assert got == brute_groups(texts)
 
 
+def test_near_groups_large_buckets_compared_whole(spark, monkeypatch):
+    """Twins at 0.80 to 0.85 among strangers that fill their buckets."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    rng = np.random.default_rng(11)
+    texts, likeness = {}, []
+    for d in range(50):
+        at = rng.permutation(200)[:5]
+        for k, own in ((0, at[1:3]), (1000, at[3:])):
+            words = [f"w{i}" for i in range(200)]
+            words[at[0]] = f"x{d}"
+            for i in own:
+                words[i] = f"x{d}y{i}"
+            texts[k + d] = " ".join(words)
+        a, b = shingle_set(texts[d]), shingle_set(texts[1000 + d])
+        likeness.append(len(a & b) / len(a | b))
+    assert sum(0.8 <= x < 0.86 for x in likeness) > 40
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.classes(frame).collect()}
+    assert got == brute_groups(texts)
+
+
 def test_near_odd_rows(odd, nothing):
     got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.classes(odd).collect())
     assert got[(7, 6, False)] == 1 and got[(6, 6, True)] == 1 and got[(2, 2, True)] == 2
