@@ -1,11 +1,12 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and verification on the shingle sets.
 
-A document is the multiset of its five-word shingles (lower-cased words between ASCII white space; with
-fewer than five words, all of them are one shingle), a shingle weighing 1 + ln(its count). Each shingle
+A document is the set of its five-word shingles (lower-cased words between ASCII white space; with
+fewer than five words, all of them are one shingle), each of weight one however often it occurs. Each shingle
 is a Poisson process whose rate is its weight: its arrivals come at seeded exponential gaps, each falls
 into one of 256 registers, and a register keeps the shingle that arrived first. Rounds go on only
 with shingles that can still arrive before the latest register; that is the early termination. Two
-registers agree with the probability Jaccard similarity of the documents.
+registers agree with the probability Jaccard similarity of the documents, which for equal weights is the
+Jaccard similarity of the sets: candidates, ``CUT`` and links are on one measure.
 
 Documents are linked if the Jaccard similarity of their shingle sets is at least ``SIMILARITY``. Equal
 word sequences are joined first, by hash. The others get forty bands of eight registers. In a band's
@@ -129,8 +130,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n = len(offsets) - 1
                 of, gram, one, two = shingles(data, offsets)
                 some = np.bincount(of, minlength=n) > 0
-                of, gram, count = distinct_shingles(of, gram)
-                signature = prob_min_hash(of, gram, 1 + np.log(count), n)[some]
+                of, gram, _ = distinct_shingles(of, gram)
+                signature = prob_min_hash(of, gram, np.ones(len(gram)), n)[some]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[first : first + n][some]),

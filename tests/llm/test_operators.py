@@ -164,6 +164,16 @@ def test_near_groups_large_buckets_compared_whole(spark, monkeypatch):
     assert got == brute_groups(texts)
 
 
+def test_near_groups_copies_that_repeat_a_line(spark):
+    texts = {}
+    for d in range(20):
+        words = [f"w{d}x{i}" for i in range(150)]
+        texts |= {d: " ".join(words), 100 + d: " ".join(words[:-30] + words[-30:] * 50)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.classes(frame).collect()}
+    assert got == brute_groups(texts) and set(got.values()) == set(range(20))
+
+
 def test_near_odd_rows(odd, nothing):
     got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.classes(odd).collect())
     assert got[(7, 6, False)] == 1 and got[(6, 6, True)] == 1 and got[(2, 2, True)] == 2
