@@ -416,6 +416,16 @@ def test_pages(spark):
     assert html_text.extract(frame.limit(0)).collect() == []
 
 
+def test_pages_copied_whole_keep_their_text(spark):
+    story = " ".join(f"w{k}" for k in range(40))
+    foot = " all rights are reserved by the owners of this fine host"
+    rows = [(1, "http://h.x/1", f"<div>{story}</div>"), (2, "http://h.x/2", f"<div>{story}</div>")]
+    rows += [(k, f"http://g.x/{k}", f"<div>{story}</div><div>{foot}</div>") for k in (3, 4)]
+    rows += [(5, "http://g.x/5", f"<div>another story</div><div>{foot}</div>")]
+    got = {r.page_id: (r.text, r.n_repeated) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == (story, 0) and got[3] == got[4] == (story, 11) and got[5] == ("another story", 11)
+
+
 def test_pipeline(spark, small, odd):
     import corpus_pipeline
 
