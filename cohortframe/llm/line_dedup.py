@@ -16,6 +16,9 @@ another is one word shorter. For each variant the earliest line is found by an a
 is linear in the variants however many lines share one. The link to the earliest line is verified on the
 words before it counts.
 
+Lines of ``MIN_WORDS`` - 1 words stay themselves, but count as the shorter, earlier partner: they give their own
+hash and no variants.
+
 Only lines that can have a partner emit variants: of two lines at distance one, the first half or the
 second half of the shorter is common to both, so lines that share neither half with any other
 distinct line are out. That test is exact.
@@ -114,7 +117,10 @@ def _half_keys(lines: _Lines, at: np.ndarray) -> list[np.ndarray]:
 
 
 def _line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """Distinct lines of each document: doc, h1, h2 and the four keys of its halves (null for short lines)."""
+    """Distinct lines of each document: doc, h1, h2 and the four keys of its halves.
+
+    Lines of one word less than ``min_words`` have the last two keys only, those of a longer partner; shorter ones none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,8 +128,8 @@ def _line_table(docs: DataFrame, min_words: int) -> DataFrame:
             for first, data, offsets in byte_slices(batch.column(1)):
                 lines = _Lines(data, offsets)
                 at = np.flatnonzero(lines.first_in_row())
-                short = lines.size[at] < min_words
-                keys = [pa.array(k.view(np.int64), mask=short) for k in _half_keys(lines, at)]
+                least = (min_words, min_words, min_words - 1, min_words - 1)
+                keys = [pa.array(k.view(np.int64), mask=lines.size[at] < n) for k, n in zip(_half_keys(lines, at), least)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[first + lines.row[at]]), _signed(lines.one[at]), _signed(lines.two[at]), *keys],
                     names=["doc", "h1", "h2", "k1", "k2", "k3", "k4"],
@@ -144,7 +150,7 @@ def _line_filter(wanted: DataFrame) -> np.ndarray:
 
 
 def _near_lines(docs: DataFrame, bits: np.ndarray, min_words: int) -> DataFrame:
-    """Lines of enough words that pass the filter, with their word hashes."""
+    """Lines of enough words, or one less, that pass the filter, with their word hashes."""
     shared_bits = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +160,7 @@ def _near_lines(docs: DataFrame, bits: np.ndarray, min_words: int) -> DataFrame:
                 lines = _Lines(data, offsets)
                 slot = np.mod(lines.one.view(np.int64), FILTER_BITS).astype(np.uint64)
                 hit = (shared_bits.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-                at = np.flatnonzero((hit > 0) & (lines.size >= min_words) & lines.first_in_row())
+                at = np.flatnonzero((hit > 0) & (lines.size >= min_words - 1) & lines.first_in_row())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[first + lines.row[at]]),
@@ -168,8 +174,11 @@ def _near_lines(docs: DataFrame, bits: np.ndarray, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, h1 long, h2 long, words binary")
 
 
-def _variants(near: DataFrame) -> DataFrame:
-    """(v, place, doc, h1): the line itself at place -1, and each variant that lacks the word at place >= 0."""
+def _variants(near: DataFrame, min_words: int) -> DataFrame:
+    """(v, place, doc, h1): the line itself at place -1, and each variant that lacks the word at place >= 0.
+
+    Lines of fewer than ``min_words`` words give themselves only.
+    """
 
     def emit(part: pa.RecordBatch) -> pa.RecordBatch:
         raw = part.column(3)
@@ -179,7 +188,8 @@ def _variants(near: DataFrame) -> DataFrame:
         begin = end - size
         running = _running(word)
         line = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(word))
+        place = np.flatnonzero(size[line] >= min_words)
+        line = line[place]
         with np.errstate(over="ignore"):
             sums = _poly(running, begin[line], place) + _poly_shifted(running, place + 1, end[line], begin[line])
         lacking = _finish(sums, size[line] - 1)
@@ -239,18 +249,18 @@ def near_dropped(docs: DataFrame, first: DataFrame, min_words: int = MIN_WORDS)
 
     ``docs``: doc, low (lower-cased text); ``first``: distinct lines with the document that has them first.
     """
-    keyed = first.where("k1 is not null").select(
-        "first", "h1", "h2", F.explode(F.array("k1", "k2", "k3", "k4")).alias("key")
-    )
-    shared = stored(
-        keyed.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key"), "halves"
+    keyed = first.where("k3 is not null").select(
+        "first", "h1", "h2", F.col("k1").isNotNull().alias("enough"), F.explode(F.array("k1", "k2", "k3", "k4")).alias("key")
     )
+    keyed = keyed.where("key is not null")
+    sides = keyed.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y"), F.max("enough").alias("enough"))
+    shared = stored(sides.where("x <> y and enough").select("key"), "halves")
     wanted = stored(keyed.join(shared, "key").select("first", "h1", "h2").distinct(), "wanted-lines")
     # A filter of fixed size keeps most other lines out of the join; the join decides.
     passed = _near_lines(docs, _line_filter(wanted), min_words)
     own = wanted.withColumnRenamed("first", "doc")
     near = stored(passed.join(own, ["doc", "h1", "h2"]).dropDuplicates(["h1", "h2"]), "near-lines")
-    variants = _variants(near)
+    variants = _variants(near, min_words)
     line = F.struct("doc", "h1")
     # The earliest line of each (variant, place); then, for each variant, the earliest as itself and by leaving a word out.
     by_place = stored(
@@ -265,7 +275,7 @@ def near_dropped(docs: DataFrame, first: DataFrame, min_words: int = MIN_WORDS)
         .where("itself is not null and lacking is not null"),
         "crossings",
     )
-    rows = _variants(near)
+    rows = _variants(near.where(F.octet_length("words") >= 8 * min_words), min_words)
     same = (
         rows.join(by_place.where("place >= 0 and best < worst").select("v", "place", "best"), ["v", "place"])
         .select("doc", "h1", "best")

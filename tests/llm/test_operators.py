@@ -90,6 +90,13 @@ def test_lines_at_distance_one(spark):
     assert gone == {3, 5, 6}
 
 
+def test_lines_one_word_longer_than_an_earlier_short_one(spark):
+    nine, words = TEN.rsplit(" ", 1)[0], TEN.split()
+    rows = [(1, nine), (2, TEN), (3, nine.replace("five", "5")), (4, " ".join(words[1:])), (5, " ".join(words[::-1])), (6, " ".join(words[:0:-1]))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: "" if d == 2 else t for d, t in rows}
+
+
 def shingle_set(text):
     words = (text or "").lower().split()
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else {tuple(words)} - {()}
