@@ -10,7 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, html_text, line_dedup, near_dedup, packing, quality_rules, token_files, toxicity, url_rules, vector_dedup
+from . import (
+    byte_bpe, clusters, decontaminate, html_text, line_dedup, near_dedup, oracles, packing, quality_rules, resample, token_files,
+    toxicity, url_rules, vector_dedup,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +79,23 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document stand in a benchmark passage, and which items they are of."""
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's distribution, its score and its rank in the draw."""
+    drawn = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds, with exact distances and sums."""
+    return clusters.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 _OP10 = """
 WITH parts AS (
   SELECT page_id,
@@ -109,10 +129,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_line_dedup, op2_html_text, op3_vector_dedup, op4_packing, op5_token_files,
-        op6_quality_rules, op7_near_dedup, op8_byte_bpe, op9_toxicity, op10_url_rules, pipeline,
+        op6_quality_rules, op7_near_dedup, op8_byte_bpe, op9_toxicity, op10_url_rules, op11_decontamination,
+        op12_resampling, op13_clusters, pipeline,
     )
     return {q.__name__: q for q in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_rules": _OP10}
+    return {
+        "op10_url_rules": _OP10,
+        "op11_decontamination": oracles.decontamination(),
+        "op12_resampling": oracles.resampling(),
+        "op13_clusters": oracles.clustering(),
+    }

@@ -29,7 +29,18 @@ def file_system(folder: str):
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and any executor may be lost."""
+    return stored_at(df, purpose)[0]
+
+
+def stored_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """``stored``, and the folder for a later ``discard``."""
     spark = df.sparkSession
     folder = shared_folder(spark, purpose)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a stored table that nothing reads any more, in whatever store the shared folder is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
