@@ -6,10 +6,13 @@ Aho-Corasick automaton finds the entries, which are words or stems: an entry beg
 begins, and a word also ends there. A match inside an exception phrase does not count. The summed
 weights of the matches and their density over the text's length give the score through a logistic curve.
 
-The lexicon is learned from labels: words and word beginnings of 4 to 8 letters found in at least
-``SUPPORT`` of the toxic documents and ``PRECISION`` toxic where found; the weight is the logarithm of the
-ratio of the two rates. Learning uses at most ``SAMPLE`` labelled documents, those with the smallest
-hashed ids, and only ids with crc32(id) mod 5 <> 0. Scoring sees the text alone.
+The lexicon is learned from labels: words and word beginnings of 4 to 8 letters found in at least ``SUPPORT`` toxic
+documents (a quarter of them if there are fewer than four times as many), whatever share that is, so a language with
+few toxic documents gets its entries too. The weight is the logarithm of the ratio of the two rates of occurrence a
+word; it has to reach ``RATIO``, and the likelihood ratio of the two document counts ``GAIN``. An entry may well
+occur in clean documents: there it occurs once, and sum and density tell. Learning uses at most ``SAMPLE``
+labelled documents, those with the smallest hashed ids, and only ids with crc32(id) mod 5 <> 0. Scoring sees the text
+alone.
 
 Null and empty texts get the score of a text without a match. Without labels of both kinds the score is 0.
 Rows that repeat an id are scored each; a null id is not held out. Very long texts are read whole.
@@ -31,8 +34,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .shared import stored
 
 SAMPLE = 20_000
-SUPPORT = 0.03
-PRECISION = 0.9
+SUPPORT = 3
+RATIO = 8.0
+GAIN = 10.0
 STEMS = range(4, 9)
 
 # Letters of other scripts that look like Latin ones.
@@ -75,10 +79,15 @@ def fold(text: str | None) -> str:
     return text
 
 
-def entries_of(text: str) -> set[str]:
-    """The words of a folded text, marked by a full stop, and the beginnings of its words."""
-    words = set(_WORD.findall(text))
-    return {w + "." for w in words} | {w[:k] for w in words for k in STEMS if len(w) > k}
+def entries_of(text: str) -> Counter:
+    """How often a folded text has each of its words, marked by a full stop, and of their beginnings."""
+    out: Counter = Counter()
+    for word, n in Counter(_WORD.findall(text)).items():
+        out[word + "."] += n
+        for k in STEMS:
+            if len(word) > k:
+                out[word[:k]] += n
+    return out
 
 
 @dataclass
@@ -155,34 +164,37 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
     if not n1 or not n0:
         return out
 
-    def counted(frame: DataFrame, wanted: set[str] | None) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            toxic, clean = Counter(), Counter()
-            for batch in batches:
-                for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found = entries_of(fold(text))
-                    (toxic if label else clean).update(found if wanted is None else found & wanted)
-            names = list(toxic.keys() | clean.keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([toxic[k] for k in names], pa.int64()), pa.array([clean[k] for k in names], pa.int64())],
-                names=["entry", "n1", "n0"],
-            )
-
-        parts = frame.mapInArrow(run, "entry string, n1 long, n0 long")
-        return parts.groupBy("entry").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-
-    # A toxic text of w words has at most 6 w entries, so at most 6 w / SUPPORT of them pass: a bounded list.
-    least = max(3, math.ceil(SUPPORT * n1))
-    frequent = {r[0] for r in counted(train.where("toxic"), None).where(F.col("n1") >= least).select("entry").collect()}
-    if frequent:
-        both = [(r[0], r[1], r[2]) for r in counted(train, frequent).collect()]
-        weight = {e: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1)) for e, a, b in both}
-        good = [(a * weight[e], e) for e, a, b in both if a >= PRECISION * (a + b) and weight[e] > 0]
-        chosen_entries: list[str] = []
-        for _, entry in sorted(good, key=lambda x: (-x[0], len(x[1]), x[1])):
-            if not any(entry.startswith(stem) for stem in chosen_entries if not stem.endswith(".")):
-                chosen_entries.append(entry)
-        out.weights = {e: weight[e] for e in chosen_entries}
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[str, list[int]] = {"": [0, 0, 0, 0]}  # documents and occurrences, clean and toxic; "" for all words
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for entry, n in entries_of(fold(text)).items():
+                    for name in (entry, "") if entry.endswith(".") else (entry,):
+                        row = count.setdefault(name, [0, 0, 0, 0])
+                        row[label] += 1
+                        row[2 + label] += n
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(count), pa.string()), *(pa.array(c, pa.int64()) for c in zip(*count.values()))],
+            names=["entry", "d0", "d1", "c0", "c1"],
+        )
+
+    parts = train.mapInArrow(counted, "entry string, d0 long, d1 long, c0 long, c1 long")
+    each = stored(parts.groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("d0", "d1", "c0", "c1")]), "toxicity-entries")
+    words = each.where("entry = ''").first()
+    weight = F.log((F.col("c1") + 0.5) / (words["c1"] + 1)) - F.log((F.col("c0") + 0.5) / (words["c0"] + 1))
+
+    def fits(k, n, p):  # log-likelihood of k in n at the rate p
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log(1 - p)).otherwise(0.0)
+
+    d0, d1 = F.col("d0"), F.col("d1")
+    apart = fits(d1, F.lit(n1), d1 / n1) + fits(d0, F.lit(n0), d0 / n0)
+    gain = 2 * (apart - fits(d0 + d1, F.lit(n0 + n1), (d0 + d1) / (n0 + n1)))
+    telling = each.where(f"entry <> '' and d1 >= {min(SUPPORT, max(2, n1 // 4))}").where(d1 / n1 > d0 / n0)
+    telling = telling.select("entry", weight.alias("weight"), gain.alias("gain"))
+    good = telling.where((F.col("weight") >= math.log(RATIO)) & (F.col("gain") >= GAIN)).collect()
+    for r in sorted(good, key=lambda r: (-r["gain"], len(r["entry"]), r["entry"])):
+        if not any(r["entry"][:k] in out.weights for k in STEMS if k < len(r["entry"])):
+            out.weights[r["entry"]] = r["weight"]
 
     lexicon = out
 

@@ -347,6 +347,21 @@ def test_toxicity(spark, small, docs, odd, nothing):
     assert toxicity.learn(frame, labels.limit(0)).score(9.0, 9.0) == 0.0
 
 
+def test_toxicity_in_every_language(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    from cohortframe.llm import queries
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    langs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    found = queries.op9_toxicity(spark, sf_dir).join(labels, "doc_id").join(langs, "doc_id").groupBy("held_out", "lang", "toxic")
+    rows = found.agg(F.count("*").alias("n"), F.sum("predicted").alias("hits")).collect()
+    held = [r for r in rows if r.held_out]
+    toxic = {r.lang: r for r in held if r.toxic}
+    assert sum(r.hits for r in toxic.values()) >= 0.9 * sum(r.n for r in toxic.values())
+    assert all(r.hits >= 0.85 * r.n for r in rows if r.toxic)  # training rows too: each language has enough of them
+    assert sum(r.hits for r in held if not r.toxic) <= 0.01 * sum(r.n for r in held if not r.toxic)
+
+
 def brute_vectors(rows):
     good = [(i, np.array(e, float), k) for i, e, k in rows if i is not None and e and k is not None and None not in e and np.isfinite(np.array(e, float)).all() and any(e)]
     links, root = Counter(), {i: i for i, _, _ in good}
