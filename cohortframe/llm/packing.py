@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .buffers import byte_slices
-from .tokens import PieceEncoder
+from .tokens import SLICE, PieceEncoder
 
 LIMIT = 1024
 SEGMENT = 300_000
@@ -46,15 +46,20 @@ _STOPS = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 
 def places(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidate cuts 0 < p <= total in ascending order with their prices."""
-    firm = np.unique(np.concatenate([[0], sentence_ends, doc_ends, [total]]))
-    firm = firm[(firm >= 0) & (firm <= total)]
+    flag = np.zeros(total + 1, bool)
+    flag[0] = flag[total] = True
+    for ends in (sentence_ends, doc_ends):
+        flag[ends[(ends >= 0) & (ends <= total)]] = True
+    firm = np.flatnonzero(flag)
     gaps = np.diff(firm)
-    wide = np.flatnonzero(gaps > 2 * FREE_STEP)
-    free = [np.arange(firm[i] + FREE_STEP, firm[i + 1], FREE_STEP) for i in wide]
-    at = np.unique(np.concatenate([firm[1:], *free]).astype(np.int64))
-    price = np.full(len(at), FREE_CUT)
-    price[np.isin(at, sentence_ends)] = SENTENCE_CUT
-    price[np.isin(at, doc_ends)] = 0.0
+    for i in np.flatnonzero(gaps > 2 * FREE_STEP):
+        flag[firm[i] + FREE_STEP : firm[i + 1] : FREE_STEP] = True
+    flag[0] = False
+    at = np.flatnonzero(flag)
+    all_prices = np.full(total + 1, FREE_CUT)
+    all_prices[sentence_ends[(sentence_ends >= 0) & (sentence_ends <= total)]] = SENTENCE_CUT
+    all_prices[doc_ends[(doc_ends >= 0) & (doc_ends <= total)]] = 0.0
+    price = all_prices[at]
     return at, price
 
 
@@ -67,7 +72,7 @@ def best_cuts(total: int, at: np.ndarray, price: np.ndarray, last: bool = True)
         where[p] = j
     cost, back = [0.0] * len(points), [0] * len(points)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    powers = [1 << k for k in range(11)] if last else [1024, 512, 256, 128]
+    powers = [1 << k for k in range(10)] if last else [512, 256, 128]  # 1024 has no padding anyway
     prices = [0.0, *price.tolist()]
     for j in range(1, len(points)):
         p = points[j]
@@ -128,7 +133,9 @@ class _Packer:
             return None
         done = int(cuts[-1])
         ends = docs[:, 2]
-        edges = np.unique(np.concatenate([[0], cuts, ends[ends <= done]]))
+        flag = np.zeros(done + 1, bool)
+        flag[0] = flag[cuts] = flag[ends[ends <= done]] = True
+        edges = np.flatnonzero(flag)
         begin, end = edges[:-1], edges[1:]
         doc = np.searchsorted(ends, begin, "right")
         window = np.searchsorted(cuts, begin, "right")
@@ -168,7 +175,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
         encoder = PieceEncoder(vocabulary)
         packer = _Packer(TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for first, data, offsets in byte_slices(batch.column(1)):
+            for first, data, offsets in byte_slices(batch.column(1), SLICE):
                 n = len(offsets) - 1
                 ids, row, starts, ends, sizes = encoder.encode(data, offsets)
                 per_row = np.bincount(row, sizes, n).astype(np.int64) if len(row) else np.zeros(n, np.int64)
@@ -180,7 +187,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
                 with_end[hold] = ids
                 stop = _STOPS[data[ends - 1]] if len(ends) else np.zeros(0, bool)
                 line = data[starts] == 10 if len(starts) else stop
-                marks = np.unique(np.concatenate([token_end[stop], (token_end - sizes)[line]])).astype(np.int64)
+                marks = np.concatenate([token_end[stop], (token_end - sizes)[line]]).astype(np.int64)
                 packer.add(batch.column(0).slice(first, n).to_pylist(), with_end, bounds, marks)
                 if packer.total >= SEGMENT and (out := packer.flush(False)) is not None:
                     yield out

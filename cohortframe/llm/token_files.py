@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .buffers import byte_slices
 from .shared import file_system, shared_folder
-from .tokens import PieceEncoder
+from .tokens import SLICE, PieceEncoder
 
 BLOCK = 65_536
 MAGIC = b"IDPLANE1"
@@ -159,7 +159,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1,
         n_ids = 0
         encoder = None
         for batch in batches:
-            for first, data, offsets in byte_slices(batch.column(1)):
+            for first, data, offsets in byte_slices(batch.column(1), SLICE):
                 if writer is None:
                     store.create_dir(base, recursive=True)
                     sink = store.open_output_stream(trial)

@@ -70,6 +70,22 @@ def test_pieces_encode_like_whole_texts():
                 assert encoder.encode(data, offsets)[0].tolist() == whole.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BPE, WORD_BPE])
+def test_pieces_encode_like_whole_documents(small, path):
+    import pyarrow.parquet as pq
+
+    from cohortframe.llm.tokens import PieceEncoder
+
+    texts = pq.read_table(f"{small}/documents.parquet", columns=["text"]).column("text")
+    encoder, whole = PieceEncoder(path), tokenizer(path)
+    for first, data, offsets in buffers.byte_slices(texts, 50_000):
+        ids, row, _, _, sizes = encoder.encode(data, offsets)
+        per_row = np.bincount(row, sizes, len(offsets) - 1).astype(int)
+        for k, part in enumerate(np.split(ids, np.cumsum(per_row)[:-1])):
+            text = texts[first + k].as_py() or ""
+            assert part.tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_lines_odd_rows(odd, nothing):
     rows = line_dedup.dedup_lines(odd).collect()
     got = Counter((r.doc_id, r.text if r.doc_id not in (6, 7) else len(r.text), r.n_removed) for r in rows)
