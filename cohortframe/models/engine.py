@@ -36,7 +36,7 @@ ROWS_PER_TASK = 250_000
 BROADCAST_CELLS = 2_000_000
 SHAPE_STEP = 0.02
 MASK_BITS = 62
-MODE_STEPS = 8
+MODE_STEPS, MODE_STOP = 25, 1e-7
 
 
 class Coded:
@@ -91,6 +91,7 @@ class Rows:
     numeric: tuple[str, ...]
     factors: dict[str, tuple]
     n_plots: int = 0
+    split: bool = False  # whether some plot is dealt out over several tasks
 
     def release(self) -> None:
         self.df.unpersist()
@@ -122,7 +123,7 @@ def prepare(
         *[F.col(c).cast("double").alias(c) for c in numeric],
         *[level_ordinal(c, levels).alias(c) for c, levels in factors.items()],
     ).dropna()
-    n_plots = 0
+    n_plots, split = 0, False
     if plot is not None:
         sizes = chosen.groupBy("__plot").agg(
             F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).cast("int").alias("__salts")
@@ -135,8 +136,9 @@ def prepare(
         chosen = chosen.repartition(task_count(chosen), "__ind")
     chosen = chosen.persist()
     if plot is not None:
-        n_plots = chosen.select("__plot").distinct().count()
-    return Rows(chosen, tuple(numeric), factors, n_plots)
+        n_plots, salts = chosen.agg(F.count_distinct("__plot"), F.max("__salt")).first()
+        split = bool(salts)
+    return Rows(chosen, tuple(numeric), factors, n_plots, split)
 
 
 def _row_key(df: DataFrame, ind: str | None) -> Column:
@@ -204,15 +206,15 @@ def _individual_modes(fit: Fit, family, y, eta0, z, group, n_groups):
         grad = np.bincount(group, g, n_groups) - precision * u
         move = grad / (np.bincount(group, w, n_groups) + precision)
         u += np.clip(move, -2.0, 2.0)
-        if np.abs(move).max(initial=0.0) < 1e-8:
+        if np.abs(move).max(initial=0.0) < MODE_STOP:
             break
     ll, g, w = family(y, eta0 + u[group], fit.aux, z)
     s = np.bincount(group, w, n_groups) + precision
     return u, s, ll, g, w
 
 
-def batch_sums(fit: Fit, a: np.ndarray, y, offset, z, v, ind_start, keep=None) -> np.ndarray:
-    """The fit's vector for rows of one plot: see ``unpack`` for the layout.
+def batch_sums(fit: Fit, a: np.ndarray, y, offset, z, keep=None) -> np.ndarray:
+    """The vector of a fit without random intercepts: see ``unpack`` for the layout.
 
     ``a`` is the design with a leading column of ones. ``keep`` masks rows out by weight, which
     is cheaper than copying the others when most rows stay.
@@ -220,48 +222,85 @@ def batch_sums(fit: Fit, a: np.ndarray, y, offset, z, v, ind_start, keep=None) -
     family = FAMILIES[fit.family]
     if fit.flat_scale:
         z = np.zeros(len(y))
-    eta0 = a[:, 1:] @ fit.beta + offset + v
-    p = a.shape[1] - 1
+    eta = a[:, 1:] @ fit.beta + offset
     k = 1.0 if keep is None else keep.astype(float)
     n = len(y) if keep is None else int(keep.sum())
-    ind_stat = laplace = 0.0
-    if fit.sd_ind > 0:
-        group = np.zeros(n, dtype=int)
-        group[ind_start[1:]] = 1
-        group = np.cumsum(group)
-        m = len(ind_start)
-        u, s, ll, g, w = _individual_modes(fit, family, y, eta0, z, group, m)
-        eta = eta0 + u[group]
-        wa = a * w[:, None]
-        c = np.add.reduceat(wa, ind_start, axis=0)
-        h = a.T @ wa - c.T @ (c / s[:, None])
-        laplace = float(-0.5 * (u @ u) / fit.sd_ind**2 - 0.5 * np.log(fit.sd_ind**2 * s).sum())
-        ind_stat = float((u * u + 1 / s).sum())
-    else:
-        eta = eta0
-        ll, g, w = family(y, eta, fit.aux, z)
-        if keep is not None:
-            ll, g, w = np.where(keep, ll, 0.0), g * k, w * k
-        h = a.T @ (a * w[:, None])
+    ll, g, w = family(y, eta, fit.aux, z)
+    if keep is not None:
+        ll, g, w = np.where(keep, ll, 0.0), g * k, w * k
+    h = a.T @ (a * w[:, None])
     total = float(ll.sum()) if np.isfinite(ll).all() else -1e300
-    parts = [[n, total + laplace, ind_stat], g @ a, h[np.triu_indices(p + 1)]]
+    parts = [[n, total, total], g @ a, h[np.triu_indices(a.shape[1])]]
+    for values in _scalar_terms(fit, family, y, eta, z, ll):
+        parts.append([float((values * k).sum()) if np.isfinite(values).all() else 0.0])
+    return np.concatenate([np.atleast_1d(np.asarray(q, dtype=float)) for q in parts])
+
+
+def _scalar_terms(fit: Fit, family, y, eta, z, ll) -> list[np.ndarray]:
+    """What the family's scalars need, row by row, so that large sums do not cancel."""
+    out = []
     if fit.family in SHAPE:
         name, _ = SHAPE[fit.family]
         for shift in (-SHAPE_STEP, SHAPE_STEP):
-            moved = {**fit.aux, name: fit.aux[name] * np.exp(shift)}
-            other = family(y, eta, moved, z)[0]
-            other = other if keep is None else np.where(keep, other, 0.0)
-            gain = other - ll  # row by row, so that large sums do not cancel
-            parts.append([float(gain.sum()) if np.isfinite(gain).all() else 0.0])
+            out.append(family(y, eta, {**fit.aux, name: fit.aux[name] * np.exp(shift)}, z)[0] - ll)
     if fit.family == "student":
         nu, s2 = fit.aux["nu"], np.exp(2 * (fit.aux["gamma"][0] + fit.aux["gamma"][1] * z))
         r2 = (y - eta) ** 2
-        pull = ((nu + 1) * r2 / (nu * s2 + r2) - 1) * k
-        info, zk = 2 * nu / (nu + 3), z * k
-        parts.append([pull.sum(), (pull * z).sum(), info * n, info * zk.sum(), info * (zk * z).sum()])
+        pull = (nu + 1) * r2 / (nu * s2 + r2) - 1
+        info = 2 * nu / (nu + 3)
+        out += [pull, pull * z, np.full(len(y), info), info * z, info * z * z]
     if fit.family == "gaussian":
-        parts.append([((y - eta) ** 2 * k).sum()])
-    return np.concatenate([np.atleast_1d(np.asarray(q, dtype=float)) for q in parts])
+        out.append((y - eta) ** 2)
+    return out
+
+
+def plot_sums(fit: Fit, a: np.ndarray, y, offset, z, v, ind_start, plot_start) -> np.ndarray:
+    """One vector for each plot of a batch (rows), laid out as in ``unpack``.
+
+    All plots go through the family and the modes of individuals together; only the small cross products
+    are taken plot by plot. The third entry is the penalised likelihood at the mode, without determinants.
+    """
+    family = FAMILIES[fit.family]
+    if fit.flat_scale:
+        z = np.zeros(len(y))
+    eta = a[:, 1:] @ fit.beta + offset + v
+    plot_end = np.append(plot_start[1:], len(y))
+
+    def by_plot(values: np.ndarray, starts=plot_start) -> np.ndarray:
+        return np.add.reduceat(values, starts)
+
+    if fit.sd_ind > 0:
+        group = np.zeros(len(y), dtype=int)
+        group[ind_start[1:]] = 1
+        group = np.cumsum(group)
+        u, s, ll, g, w = _individual_modes(fit, family, y, eta, z, group, len(ind_start))
+        eta = eta + u[group]
+        first = np.searchsorted(ind_start, plot_start)
+        penalty = by_plot(-0.5 * u * u / fit.sd_ind**2, first)
+        determinant = by_plot(-0.5 * np.log(fit.sd_ind**2 * s), first)
+    else:
+        ll, g, w = family(y, eta, fit.aux, z)
+        penalty = determinant = 0.0
+    wa = a * w[:, None]
+    h = np.stack([a[lo:hi].T @ wa[lo:hi] for lo, hi in zip(plot_start, plot_end)])
+    if fit.sd_ind > 0:
+        c = np.add.reduceat(wa, ind_start, axis=0)
+        ends = np.append(first[1:], len(ind_start))
+        scaled = c / s[:, None]
+        h -= np.stack([c[lo:hi].T @ scaled[lo:hi] for lo, hi in zip(first, ends)])
+    total = np.where(np.isfinite(by_plot(ll)), by_plot(ll), -1e300)
+    up = np.triu_indices(a.shape[1])
+    parts = [
+        (plot_end - plot_start)[:, None],
+        (total + penalty + determinant)[:, None],
+        (total + penalty)[:, None],
+        np.add.reduceat(a * g[:, None], plot_start, axis=0),
+        h[:, up[0], up[1]],
+    ]
+    for values in _scalar_terms(fit, family, y, eta, z, ll):
+        summed = by_plot(values)
+        parts.append(np.where(np.isfinite(summed), summed, 0.0)[:, None])
+    return np.concatenate(parts, axis=1)
 
 
 def unpack(vec: np.ndarray, p: int) -> dict:
@@ -270,56 +309,100 @@ def unpack(vec: np.ndarray, p: int) -> dict:
     h = np.zeros((p + 1, p + 1))
     h[np.triu_indices(p + 1)] = vec[3 + p + 1 : 3 + p + 1 + k]
     h = h + np.triu(h, 1).T
-    return {"n": vec[0], "ll": vec[1], "ind": vec[2], "g": vec[3 : 3 + p + 1], "h": h, "extra": vec[3 + p + 1 + k :]}
+    return {"n": vec[0], "ll": vec[1], "mode": vec[2], "g": vec[3 : 3 + p + 1], "h": h, "extra": vec[3 + p + 1 + k :]}
 
 
-def _make_partials(fits: Sequence[Fit], rows: Rows, by_plot: bool):
-    numeric, factors = rows.numeric, rows.factors
+class PlotEffects:
+    """Plot intercepts of many fits as one matrix (fits x plots); a plot that it lacks has effect 0."""
+
+    def __init__(self, plots: Sequence[str], values: np.ndarray):
+        self.index = {p: k for k, p in enumerate(plots)}
+        self.values = np.column_stack([values, np.zeros(len(values))])
+
+    def of(self, fit: int, names) -> np.ndarray:
+        return self.values[fit, [self.index.get(p, -1) for p in names]]
+
+
+def _batch(pdf: pd.DataFrame, rows: Rows):
+    data = {c: pdf[c].to_numpy(dtype=float) for c in rows.numeric}
+    data |= {c: Coded(pdf[c].to_numpy(), levels) for c, levels in rows.factors.items()}
+    return data, *(pdf[c].to_numpy(dtype=float) for c in ("__y", "__o", "__z"))
+
+
+def _make_partials(fits: Sequence[Fit], rows: Rows):
+    """Sums of fits without random intercepts."""
+
+    rows = replace(rows, df=None)
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[int, np.ndarray] = {}
-        source = whole_groups(batches, ("__plot", "__ind")) if by_plot else batches
-        for pdf in source:
+        for pdf in batches:
             if pdf.empty:
                 continue
-            data = {c: pdf[c].to_numpy(dtype=float) for c in numeric}
-            data |= {c: Coded(pdf[c].to_numpy(), levels) for c, levels in factors.items()}
-            y, o, z = (pdf[c].to_numpy(dtype=float) for c in ("__y", "__o", "__z"))
-            mask, plot, ind = pdf["__m"].to_numpy(), pdf["__plot"].to_numpy(), pdf["__ind"].to_numpy()
-            effects = pdf["__v"].to_numpy() if "__v" in pdf else None
-            cuts = _starts(plot) if by_plot else np.array([0])
-            cuts = np.append(cuts, len(pdf))
+            data, y, o, z = _batch(pdf, rows)
+            mask = pdf["__m"].to_numpy()
             matrices: dict[int, np.ndarray] = {}
-            out = []
             for i, fit in enumerate(fits):
                 a = matrices.get(id(fit.design))
                 if a is None:
                     x = fit.design.matrix(data, len(pdf))
                     a = matrices[id(fit.design)] = np.column_stack([np.ones(len(pdf)), x])
                 inside = (mask >> fit.train) & 1 == 1
-                if not by_plot and inside.mean() > 0.6:
-                    vec = batch_sums(fit, a, y, o, z, 0.0, None, None if inside.all() else inside)
-                    totals[i] = totals[i] + vec if i in totals else vec
+                if not inside.any():
+                    continue
+                if inside.mean() > 0.6:
+                    vec = batch_sums(fit, a, y, o, z, None if inside.all() else inside)
+                else:
+                    vec = batch_sums(fit, a[inside], y[inside], o[inside], z[inside])
+                totals[i] = totals[i] + vec if i in totals else vec
+        if totals:
+            yield pd.DataFrame([(i, "", vec) for i, vec in totals.items()], columns=["fit", "plot", "stats"])
+
+    return partials
+
+
+def _make_plot_partials(fits: Sequence[Fit], rows: Rows, effects=None):
+    """Vectors of each (fit, plot) of a batch, in the order of the plots.
+
+    ``effects`` is a broadcast ``PlotEffects``; without it a column ``__v`` may hold an array for each row.
+    """
+    rows = replace(rows, df=None)
+    groups: dict[tuple, list[int]] = {}
+    for i, fit in enumerate(fits):
+        groups.setdefault((id(fit.design), fit.train), []).append(i)
+    members = list(groups.values())
+
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, ("__plot", "__ind")):
+            data, y, o, z = _batch(pdf, rows)
+            mask, plot, ind = pdf["__m"].to_numpy(), pdf["__plot"].to_numpy(), pdf["__ind"].to_numpy()
+            given = pdf["__v"].to_numpy() if "__v" in pdf else None
+            out, made, a = [], None, None
+            for same in members:
+                fit = fits[same[0]]
+                if made is not fit.design:
+                    made, a = fit.design, np.column_stack([np.ones(len(pdf)), fit.design.matrix(data, len(pdf))])
+                pick = np.flatnonzero((mask >> fit.train) & 1)
+                if not len(pick):
                     continue
-                for lo, hi in zip(cuts, cuts[1:]):
-                    pick = np.flatnonzero(inside[lo:hi]) + lo
-                    if len(pick) == 0:
-                        continue
-                    v = 0.0 if effects is None or effects[lo] is None else float(effects[lo][i])
-                    vec = batch_sums(fit, a[pick], y[pick], o[pick], z[pick], v, _starts(ind[pick]))
-                    if by_plot:
-                        out.append((i, plot[lo], vec))
+                part = [x[pick] for x in (a, y, o, z, plot, ind)] if len(pick) < len(pdf) else [a, y, o, z, plot, ind]
+                starts = _starts(part[4])
+                sizes = np.diff(np.append(starts, len(pick)))
+                for i in same:
+                    if given is not None:
+                        v = np.array([0.0 if given[k] is None else given[k][i] for k in pick[starts]])
                     else:
-                        totals[i] = totals[i] + vec if i in totals else vec
+                        v = effects.value.of(i, part[4][starts]) if effects is not None else np.zeros(len(starts))
+                    vecs = plot_sums(fits[i], *part[:4], np.repeat(v, sizes), _starts(part[4], part[5]), starts)
+                    out += [(i, p, vec) for p, vec in zip(part[4][starts], vecs)]
+            out.sort(key=lambda row: row[1])
             if out:
                 yield pd.DataFrame(out, columns=["fit", "plot", "stats"])
-        if totals:
-            yield pd.DataFrame([(i, "", vec) for i, vec in totals.items()], columns=["fit", "plot", "stats"])
 
     return partials
 
 
-def _make_plot_step(fits: Sequence[Fit], previous: bool):
+def _make_plot_step(fits: Sequence[Fit], previous: bool, effects=None):
     """Add a plot's partial vectors and eliminate its intercept."""
 
     def finish(i, plot, vec, v, totals, out):
@@ -330,8 +413,9 @@ def _make_plot_step(fits: Sequence[Fit], previous: bool):
         hvv, gv, hvx = q["h"][0, 0] + prec, q["g"][0] - prec * v, q["h"][0, 1:]
         schur = q["h"][1:, 1:] - np.outer(hvx, hvx) / hvv
         rhs = q["g"][1:] - hvx * gv / hvv
+        mode = q["mode"] - 0.5 * prec * v * v
         ll = q["ll"] - 0.5 * prec * v * v - 0.5 * np.log(fit.sd_plot**2 * hvv)
-        summed = np.concatenate([[q["n"], ll, q["ind"]], rhs, schur[np.triu_indices(p)], q["extra"], [gv * gv / hvv]])
+        summed = np.concatenate([[q["n"], ll, mode], rhs, schur[np.triu_indices(p)], q["extra"], [gv * gv / hvv]])
         totals[i] = totals[i] + summed if i in totals else summed
         out.append((i, plot, v, hvv, gv, hvx))
 
@@ -340,17 +424,20 @@ def _make_plot_step(fits: Sequence[Fit], previous: bool):
         columns = ["fit", "plot", "v", "hvv", "gv", "vec"]
         for pdf in whole_groups(batches, ("plot",)):
             sums: dict[tuple, np.ndarray] = {}
-            effects: dict[str, np.ndarray] = {}
-            for row in pdf.itertuples(index=False):
-                key = (row.fit, row.plot)
-                vec = np.asarray(row.stats)
-                sums[key] = sums[key] + vec if key in sums else vec
-                if previous:
-                    effects[row.plot] = row.v
+            given: dict[str, np.ndarray] = {}
+            for i, plot, vec in zip(pdf["fit"], pdf["plot"], pdf["stats"]):
+                key = (i, plot)
+                sums[key] = sums[key] + vec if key in sums else np.asarray(vec)
+            if previous:
+                given = dict(zip(pdf["plot"], pdf["v"]))
             out: list = []
             for (i, plot), vec in sums.items():
-                v = effects.get(plot)
-                finish(i, plot, vec, 0.0 if v is None else float(v[i]), totals, out)
+                if effects is not None:
+                    v = float(effects.value.of(i, [plot])[0])
+                else:
+                    v = given.get(plot)
+                    v = 0.0 if v is None else float(v[i])
+                finish(i, plot, vec, v, totals, out)
             yield pd.DataFrame(out, columns=columns)
         if totals:
             yield pd.DataFrame([(i, None, 0.0, 0.0, 0.0, s) for i, s in totals.items()], columns=columns)
@@ -358,6 +445,20 @@ def _make_plot_step(fits: Sequence[Fit], previous: bool):
     return plot_step
 
 
+def _sum_by_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add up the totals of the tasks; rows of plots pass."""
+    totals: dict[int, np.ndarray] = {}
+    for pdf in batches:
+        whole = pdf["plot"].isna().to_numpy()
+        for i, raw in zip(pdf["fit"][whole], pdf["vec"][whole]):
+            vec = np.frombuffer(raw)
+            totals[i] = totals[i] + vec if i in totals else vec
+        yield pdf[~whole]
+    yield pd.DataFrame(
+        [(i, None, 0.0, 0.0, v.tobytes()) for i, v in totals.items()], columns=["fit", "plot", "hvv", "gv", "vec"]
+    )
+
+
 # --- driver side ------------------------------------------------------------------------
 
 
@@ -457,7 +558,7 @@ def fit_fixed(rows: Rows, fits: Sequence[Fit], max_iter: int = 25, tol: float =
         active = [i for i, f in enumerate(fits) if not f.converged and f.error is None]
         if not active:
             break
-        job = _make_partials([fits[i] for i in active], rows, by_plot=False)
+        job = _make_partials([fits[i] for i in active], rows)
         sums = _add_vectors(rows.df.mapInPandas(job, "fit int, plot string, stats array<double>"), "stats")
         for k, i in enumerate(active):
             fit = fits[i]
@@ -520,21 +621,29 @@ def score_sets(rows: Rows, tasks: Sequence[tuple[Fit, int]], kind: str) -> list[
                 x = matrices.get(id(fit.design))
                 if x is None:
                     x = matrices[id(fit.design)] = fit.design.matrix(data, len(pdf))
-                pred, obs = LINK_MEAN[fit.family](x[inside] @ fit.beta + o[inside]), y[inside]
-                if kind == "binary":
-                    p = np.clip(pred, LOGLOSS_EPSILON, 1 - LOGLOSS_EPSILON)
-                    losses = ((obs - pred) ** 2).sum(), -(obs * np.log(p) + (1 - obs) * np.log1p(-p)).sum()
-                else:
-                    losses = ((obs - pred) ** 2).sum(), np.abs(obs - pred).sum()
-                vec = np.array([len(obs), *losses, obs.sum(), (obs * obs).sum()])
+                vec = binary_or_size(LINK_MEAN[fit.family](x[inside] @ fit.beta + o[inside]), y[inside], kind)
                 totals[i] = totals[i] + vec if i in totals else vec
         if totals:
             yield pd.DataFrame([(i, v) for i, v in totals.items()], columns=["fit", "stats"])
 
     sums = _add_vectors(rows.df.mapInPandas(partials, "fit int, stats array<double>"), "stats")
+    return named_scores(sums, len(tasks), kind)
+
+
+def binary_or_size(pred: np.ndarray, obs: np.ndarray, kind: str) -> np.ndarray:
+    """Rows, two summed losses, and the sums of the response and its square."""
+    if kind == "binary":
+        p = np.clip(pred, LOGLOSS_EPSILON, 1 - LOGLOSS_EPSILON)
+        losses = ((obs - pred) ** 2).sum(), -(obs * np.log(p) + (1 - obs) * np.log1p(-p)).sum()
+    else:
+        losses = ((obs - pred) ** 2).sum(), np.abs(obs - pred).sum()
+    return np.array([len(obs), *losses, obs.sum(), (obs * obs).sum()])
+
+
+def named_scores(sums: dict[int, np.ndarray], n_tasks: int, kind: str) -> list[dict]:
     names = ("Brier", "LogLoss") if kind == "binary" else ("MSE", "MAE")
     out = []
-    for i in range(len(tasks)):
+    for i in range(n_tasks):
         if i not in sums:
             out.append({})
             continue
@@ -546,6 +655,48 @@ def score_sets(rows: Rows, tasks: Sequence[tuple[Fit, int]], kind: str) -> list[
     return out
 
 
+def _schur(vec: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matrix, right side and family terms of a fit whose plot intercepts are eliminated."""
+    k = p * (p + 1) // 2
+    h = np.zeros((p, p))
+    h[np.triu_indices(p)] = vec[3 + p : 3 + p + k]
+    return h + np.triu(h, 1).T, vec[3 : 3 + p], vec[3 + p + k :]
+
+
+def _effects_pass(rows: Rows, fits: Sequence[Fit], effects: PlotEffects | None):
+    """One pass: the summed vector of each fit, and for each the (plots, hvv, gv, hvx) of its plots.
+
+    A plot is finished by the task that holds it, unless some plot is split over tasks; then partial vectors meet by
+    plot first. Totals are added by fit on Spark, so the driver reads one vector for each fit and one short row
+    for each (fit, plot), of which there are at most ``BROADCAST_CELLS``.
+    """
+    shared = None if effects is None else rows.df.sparkSession.sparkContext.broadcast(effects)
+    partials = _make_plot_partials(fits, rows, shared)
+    step = _make_plot_step(fits, False, shared)
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.drop(columns="v").assign(vec=[np.asarray(x, float).tobytes() for x in pdf["vec"]])
+
+    schema = "fit int, plot string, hvv double, gv double, vec binary"
+    if rows.split:
+        met = rows.df.mapInPandas(partials, "fit int, plot string, stats array<double>")
+        met = met.repartition(task_count(met), "plot").sortWithinPartitions("plot")
+        done = met.mapInPandas(lambda batches: packed(step(batches)), schema)
+    else:
+        done = rows.df.mapInPandas(lambda batches: packed(step(partials(batches))), schema)
+    found = done.repartition("fit").mapInPandas(_sum_by_fit, schema).toArrow().to_pandas()
+    if shared is not None:
+        shared.unpersist()
+    whole = found["plot"].isna()
+    sums = {int(i): np.frombuffer(raw) for i, raw in zip(found["fit"][whole], found["vec"][whole])}
+    plots = {}
+    for i, part in found[~whole].groupby("fit"):
+        hvx = np.frombuffer(b"".join(part["vec"])).reshape(len(part), -1)
+        plots[int(i)] = (part["plot"].to_numpy(), part["hvv"].to_numpy(), part["gv"].to_numpy(), hvx)
+    return sums, plots
+
+
 def fit_effects(
     rows: Rows, fits: Sequence[Fit], max_iter: int = 8, tol: float = 1e-4
 ) -> tuple[list[Fit], DataFrame]:
@@ -553,6 +704,82 @@ def fit_effects(
 
     Returns the fits and the table ``fit, plot, v`` of plot effects of the last pass.
     """
+    if rows.n_plots * len(fits) > BROADCAST_CELLS:
+        return _fit_effects_by_table(rows, fits, max_iter, tol)
+    fits, found = fit_effects_together(rows, fits, None, max_iter, tol)
+    return fits, effects_table(rows.df.sparkSession, found)
+
+
+Effects = dict[str, float]
+
+
+def effects_table(spark, found: Sequence[Effects]) -> DataFrame:
+    """``fit, plot, v`` of plot effects held by the driver."""
+    flat = [(i, plot, v) for i, effects in enumerate(found) for plot, v in effects.items()]
+    return spark.createDataFrame(flat, "fit int, plot string, v double")
+
+
+def _matrix(found: Sequence[Effects]) -> PlotEffects:
+    plots = sorted(set().union(*found)) if found else []
+    return PlotEffects(plots, np.array([[e.get(p, 0.0) for p in plots] for e in found]).reshape(len(found), len(plots)))
+
+
+def fit_effects_together(
+    rows: Rows, fits: Sequence[Fit], begin: Sequence[Effects] | None, max_iter: int = 8, tol: float = 1e-4
+) -> tuple[list[Fit], list[Effects]]:
+    """Joint scoring of many fits in shared passes, each from its own plot effects.
+
+    A fit whose penalised likelihood falls goes back and halves its step. One that is done, has no training rows or
+    no finite likelihood leaves the passes and touches no other. Likelihood and covariance are those of
+    the point before the last step.
+    """
+    fits = [replace(f, converged=False, error=None) for f in fits]
+    effects = [dict(e) for e in begin] if begin is not None else [{} for _ in fits]
+    settled: dict[int, tuple] = {}
+    for iteration in range(1, max_iter + 1):
+        active = [i for i, f in enumerate(fits) if not f.converged and f.error is None]
+        if not active:
+            break
+        current = [effects[i] for i in active]
+        sums, plots = _effects_pass(rows, [fits[i] for i in active], _matrix(current) if any(current) else None)
+        for k, i in enumerate(active):
+            fit = fits[i]
+            if k not in sums or not np.isfinite(sums[k]).all():
+                fits[i] = replace(fit, error="empty training set" if k not in sums else "no finite likelihood")
+                continue
+            vec, best = sums[k], settled.get(i)
+            if best is not None and not vec[2] >= best[0] - 1e-9 * (1 + abs(best[0])):
+                _, beta, aux, from_effects, delta, new_aux, moves, t = best
+                t /= 2
+                settled[i] = (*best[:7], t)
+                effects[i] = {p: from_effects.get(p, 0.0) + t * m for p, m in moves.items()}
+                fits[i] = replace(fit, beta=beta + t * delta, aux=_between(aux, new_aux, t), iterations=iteration, converged=t < 1e-4)
+                continue
+            h, rhs, extra = _schur(vec, len(fit.beta))
+            delta, inverse = _solve(h, rhs)
+            aux, tuned = _tune(fit, extra[:-1], vec[0])
+            done = float(rhs @ delta) + float(extra[-1]) + tuned < max(tol, 1e-13 * abs(vec[1]))
+            names, hvv, gv, hvx = plots[k]
+            moves = dict(zip(names.tolist(), ((gv - hvx @ delta) / hvv).tolist()))
+            settled[i] = (vec[2], fit.beta, fit.aux, effects[i], delta, aux, moves, 1.0)
+            effects[i] = {p: effects[i].get(p, 0.0) + m for p, m in moves.items()}
+            fits[i] = replace(
+                fit,
+                loglik=float(vec[1]),
+                n=int(vec[0]),
+                covariance=inverse,
+                beta=fit.beta + delta,
+                aux=aux,
+                converged=bool(done),
+                iterations=iteration,
+            )
+    return fits, effects
+
+
+def _fit_effects_by_table(
+    rows: Rows, fits: Sequence[Fit], max_iter: int = 8, tol: float = 1e-4
+) -> tuple[list[Fit], DataFrame]:
+    """``fit_effects`` with the plot effects as a checkpointed table, joined to the rows in each pass."""
     fits, effects = list(fits), None
     for iteration in range(1, max_iter + 1):
         source = rows.df
@@ -573,7 +800,7 @@ def fit_effects(
             else:
                 source = cluster(source.join(packed, "__plot", "left"))
         partial = source.mapInPandas(
-            _make_partials(fits, rows, by_plot=True), "fit int, plot string, stats array<double>"
+            _make_plot_partials(fits, rows), "fit int, plot string, stats array<double>"
         )
         if effects is not None:
             partial = partial.join(packed.withColumnsRenamed({"__plot": "plot", "__v": "v"}), "plot", "left")
@@ -587,6 +814,10 @@ def fit_effects(
         sums = _add_vectors(step.filter(F.col("plot").isNull()), "vec")
         deltas, change = {}, 0.0
         for i, fit in enumerate(fits):
+            if i not in sums or fit.error is not None or not np.isfinite(sums[i]).all():
+                fits[i] = replace(fit, error=fit.error or ("empty training set" if i not in sums else "no finite likelihood"))
+                deltas[i] = np.zeros(len(fit.beta))
+                continue
             p, vec = len(fit.beta), sums[i]
             h = np.zeros((p, p))
             k = p * (p + 1) // 2

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
@@ -12,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.terms import AREA, GROWTH_MODELS, SURVIVAL_MODELS, TIME, Design, Term
 from ..operators.distribution import exact_quantiles
-from .engine import Fit, Rows, fit_effects, fit_fixed, prepare, set_mask
+from .engine import Fit, Rows, effects_table, fit_effects, fit_fixed, prepare, set_mask
 from .families import SHAPE
+from .mixed import SINGULAR_SD, search_variances
 
 Z95 = 1.959963984540054
 SPLINE_PROBS = (0.0, 1 / 3, 2 / 3, 1.0)
@@ -142,26 +142,6 @@ def fit_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
 
 # --- random intercepts ------------------------------------------------------------------
 
-SINGULAR_SD = 0.02
-SD_BOUNDS = (math.log(0.005), math.log(5.0))
-
-
-def _surface_peak(points: np.ndarray, values: np.ndarray, centre: np.ndarray, half: float) -> np.ndarray | None:
-    """Maximum of a quadratic through the grid, or None unless it curves down everywhere."""
-    d = points.shape[1]
-    t = (points - centre) / half
-    basis = [np.ones(len(t)), *t.T, *[t[:, i] * t[:, j] for i in range(d) for j in range(i, d)]]
-    coef = np.linalg.lstsq(np.column_stack(basis), values, rcond=None)[0]
-    quad, k = np.zeros((d, d)), 1 + d
-    for i in range(d):
-        for j in range(i, d):
-            quad[i, j] += coef[k] / (1 if i == j else 2)
-            quad[j, i] = quad[i, j]
-            k += 1
-    if np.any(np.linalg.eigvalsh(quad) >= -1e-9):
-        return None
-    return centre + half * np.linalg.solve(-2 * quad, coef[1 : 1 + d])
-
 
 def fit_random(
     rows: Rows,
@@ -174,50 +154,15 @@ def fit_random(
     final_steps: int = 12,
     smallest: float = 0.12,
 ) -> tuple[Fit, DataFrame]:
-    """Random intercepts by plot (and individual), variances by Laplace likelihood.
-
-    Each round evaluates a grid of variance pairs (in log sd) as separate fits of the *same* passes. While
-    the best point lies on the rim of the grid, the grid moves there at its width; once the centre is
-    best, the grid moves to the peak of the quadratic surface and narrows. The search ends when a grid of
-    half-width ``smallest`` holds its own peak, or when the likelihood falls towards the lower bound of
-    an sd, which then is a zero boundary (``singular``). ``converged`` needs this and converged fits at
-    the end; ``rounds`` only stops a search that does neither, and says so. Fixed effects sit at the joint
-    mode, the usual fast approximation to the full Laplace optimum.
-    """
-    d = 2 if individual else 1
-    centre = np.full(d, math.log(first))
-    base, settled = fixed, False
-    for _ in range(rounds):
-        points = np.array([centre + half * np.array(o) for o in itertools.product((-1.0, 0.0, 1.0), repeat=d)])
-        points = np.unique(np.clip(points, *SD_BOUNDS), axis=0)
-        grid = [
-            replace(base, sd_plot=float(np.exp(q[0])), sd_ind=float(np.exp(q[1])) if individual else 0.0)
-            for q in points
-        ]
-        grid, _ = fit_effects(rows, grid, max_iter=steps)
-        values = np.array([g.loglik for g in grid])
-        best = int(np.argmax(values))
-        base, top = grid[best], points[best]
-        moved = np.abs(top - centre) > 1e-9
-        low = top <= SD_BOUNDS[0] + 1e-9
-        if np.any(moved & ~low) and not np.all(low):
-            # Only a finite maximum stops the walk: keep the width and follow the rim.
-            centre = np.clip(top, *SD_BOUNDS)
-            continue
-        peak = _surface_peak(points, values, centre, half)
-        centre = top
-        if peak is not None and np.all(np.abs(peak - top) <= half):
-            centre = np.where(low, SD_BOUNDS[0], np.clip(peak, *SD_BOUNDS))
-        if half <= smallest:
-            settled = True
-            break
-        half = max(half / 2.5, smallest)
-    chosen = replace(
-        base, sd_plot=float(np.exp(centre[0])), sd_ind=float(np.exp(centre[1])) if individual else 0.0
+    """Random intercepts of one fit, see ``mixed.search_variances``; the table ``plot, v`` of its plot effects."""
+    spark = rows.df.sparkSession
+    (fit,), (effects,) = search_variances(
+        rows, [fixed], individual, first, half, rounds, steps, final_steps, smallest
     )
-    final, effects = fit_effects(rows, [chosen], max_iter=final_steps)
-    out = replace(final[0], converged=bool(final[0].converged and settled))
-    return out, effects.select("plot", "v")
+    if not effects and fit.error is None:  # too many plots for the driver
+        _, table = fit_effects(rows, [fit], final_steps)
+        return fit, table.select("plot", "v")
+    return fit, effects_table(spark, [effects]).select("plot", "v")
 
 
 # --- survival ---------------------------------------------------------------------------

@@ -2,6 +2,10 @@
 
 Folds with the same effective training rows share one fit. Every scoring iteration is one pass
 over the panel for all (model, training set) pairs, and all test scores come from one more pass.
+
+With ``random`` (the default) the candidates have intercepts of plot and individual, as they will be used: the
+variances of all models are searched together on all rows first, and those of the training sets together after that,
+each from its model's solution.
 """
 
 from __future__ import annotations
@@ -9,12 +13,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..evaluation.folds import Fold, plan, present_censuses
 from ..evaluation.metrics import mean_over_folds, rank_sum
 from ..functions.terms import GROWTH_MODELS, SURVIVAL_MODELS
-from ..models.engine import MASK_BITS, Fit, fit_fixed, score_sets
+from ..models.engine import MASK_BITS, Effects, Fit, Rows, fit_fixed, score_sets
+from ..models.mixed import score_conditional, search_variances
 from ..models.vital import (
     coefficient_table,
     fit_table,
@@ -87,6 +93,35 @@ def _warm_fits(rows, fits: Sequence[Fit], **kw) -> list[Fit]:
     return [b for b, _ in done.values()] + (fit_fixed(rows, rest, **kw) if rest else [])
 
 
+# Grids this narrow in log sd place a variance well within its own uncertainty.
+SEARCH_WIDTH = 0.3
+SEARCH_STEPS = {"steps": 6, "final_steps": 8, "smallest": SEARCH_WIDTH, "tol": 1e-3}
+
+
+def _random_fits(rows: Rows, fits: Sequence[Fit], first: float) -> tuple[list[Fit], list[Effects]]:
+    """The fits with intercepts of plot and individual; training sets start from their model's fit on all rows."""
+    wide = [i for i, f in enumerate(fits) if f.train == 0]
+    out: list[Fit] = list(fits)
+    effects: list[Effects] = [{} for _ in fits]
+    found, first_effects = search_variances(rows, [fits[i] for i in wide], True, first, 1.0, **SEARCH_STEPS)
+    of_model = {}
+    for i, fit, plots in zip(wide, found, first_effects):
+        out[i], effects[i] = fit, plots
+        of_model[fit.model] = (fit, plots)
+    rest = [i for i, f in enumerate(fits) if f.train != 0]
+    if rest:
+        starts = [of_model[fits[i].model] for i in rest]
+        usable = all(f.error is None for f, _ in starts)
+        centres = [np.log([f.sd_plot, f.sd_ind]) for f, _ in starts] if usable else first
+        found, more = search_variances(
+            rows, [fits[i] for i in rest], True, centres, SEARCH_WIDTH if usable else 1.0, **SEARCH_STEPS,
+            begin=[plots for _, plots in starts],
+        )
+        for i, fit, plots in zip(rest, found, more):
+            out[i], effects[i] = fit, plots
+    return out, effects
+
+
 def _metric_rows(tasks, scores):
     return [
         (fit.model, fold.scheme, fold.fold, name, float(value))
@@ -118,8 +153,9 @@ def select_survival(
     models: Sequence[str] = tuple(SURVIVAL_MODELS),
     folds: Sequence[Fold] | None = None,
     top: int = 4,
+    random: bool = True,
 ) -> Selection:
-    """Population-level hazard models ranked by AIC, time-series and left-out-site Brier scores."""
+    """Hazard models ranked by AIC, time-series and left-out-site Brier scores of population-level predictions."""
     pairs = pairs.select(*KEYS, "Dead_next").persist()
     present = present_censuses(pairs)
     folds = list(folds) if folds is not None else plan(pairs)
@@ -127,7 +163,7 @@ def select_survival(
     for block in _chunks(folds, present):
         sets, use = training_sets(block, present)
         conditions = [f.train() for f in sets]
-        rows = survival_rows(pairs, levels, train_sets=conditions, test_sets=[f.test() for f in block])
+        rows = survival_rows(pairs, levels, random, train_sets=conditions, test_sets=[f.test() for f in block])
         splines = any("ns(" in str(SURVIVAL_MODELS[m]) for m in models)
         knots = knots_by_set(pairs, conditions) if splines else [None] * len(sets)
         mean = rows.df.agg(F.avg("__y")).first()[0]
@@ -145,6 +181,8 @@ def select_survival(
             for t, f in enumerate(sets)
         ]
         fits = _warm_fits(rows, fits)
+        if random:
+            fits, _ = _random_fits(rows, fits, 0.3)
         by_key = {(f.model, f.train): f for f in fits}
         tasks = [(by_key[m, use[k]], k) for m in models for k in range(len(block))]
         scores = score_sets(rows, tasks, "binary")
@@ -162,8 +200,13 @@ def select_growth(
     folds: Sequence[Fold] | None = None,
     top: int = 4,
     min_train: int = 5,
+    random: bool = True,
 ) -> Selection:
-    """Growth models with t errors ranked by AIC, time-series and left-out-site MSE of log size."""
+    """Growth models with t errors ranked by AIC, time-series and left-out-site MSE of log size.
+
+    Time folds are predicted with the effects of plot and individual, where these were seen in training; left-out sites
+    and the fit on all rows at population level.
+    """
     pairs = pairs.select(*KEYS, "HT_next").persist()
     present = present_censuses(pairs)
     if folds is None:
@@ -174,14 +217,21 @@ def select_growth(
     for block in _chunks(folds, present):
         sets, use = training_sets(block, present)
         rows = growth_rows(
-            pairs, levels, train_sets=[f.train() for f in sets], test_sets=[f.test() for f in block]
+            pairs, levels, random, train_sets=[f.train() for f in sets], test_sets=[f.test() for f in block]
         )
         starts = start_growth(rows, models, levels, [(t, _label(f)) for t, f in enumerate(sets)])
         fits = _warm_fits(rows, starts, max_iter=30, tol=1e-3)
-        by_key = {(f.model, f.train): f for f in fits}
+        effects: list[Effects] = [{} for _ in fits]
+        if random:
+            fits, effects = _random_fits(rows, fits, 0.1)
+        by_key = {(f.model, f.train): i for i, f in enumerate(fits)}
         tasks = [(by_key[m, use[k]], k) for m in models for k in range(len(block))]
-        scores = score_sets(rows, tasks, "size")
-        metric_rows += _metric_rows([(f, block[k]) for f, k in tasks], scores)
+        timed = [t for t in tasks if random and block[t[1]].scheme in ("holdout", "expanding")]
+        plain = [t for t in tasks if t not in timed]
+        scores = score_sets(rows, [(fits[i], k) for i, k in plain], "size")
+        if timed:
+            scores += score_conditional(rows, [(i, fits[i], k) for i, k in timed], effects, "size")
+        metric_rows += _metric_rows([(fits[i], block[k]) for i, k in plain + timed], scores)
         all_fits += fits
         rows.release()
     pairs.unpersist()

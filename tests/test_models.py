@@ -215,3 +215,86 @@ def test_pca_matches_numpy(panel):
 def test_design_names_follow_terms():
     design = Design(crossed("HT", by="AREA"), {"AREA": ("A", "B", "C")})
     assert design.names() == ["(Intercept)", "HT", "AREA[B]", "AREA[C]", "HT:AREA[B]", "HT:AREA[C]"]
+
+
+def nested_rows(panel, **kw):
+    return prepare(
+        panel, F.col("dead"), ["x"], {"AREA": ["A", "B"]}, offset=F.log("gap"), plot="PLOTCODE", ind="IND_ID", **kw
+    )
+
+
+def test_plot_effects_as_a_table_give_the_same_fit(panel, monkeypatch):
+    from cohortframe.models import engine
+
+    rows = nested_rows(panel)
+    design = Design(main_effects("x", "AREA"), {"AREA": ("A", "B")})
+    begin = replace(Y.new_fit("m", design, "cloglog", 0.3), sd_plot=0.6, sd_ind=0.9)
+    (small,), one = fit_effects(rows, [begin], max_iter=25, tol=1e-10)
+    monkeypatch.setattr(engine, "BROADCAST_CELLS", 0)
+    (large,), two = fit_effects(rows, [begin], max_iter=25, tol=1e-10)
+    np.testing.assert_allclose(small.beta, large.beta, atol=1e-5)
+    assert abs(small.loglik - large.loglik) < 1e-6
+    a, b = ({r["plot"]: r["v"] for r in t.collect()} for t in (one, two))
+    np.testing.assert_allclose([a[p] for p in sorted(a)], [b[p] for p in sorted(b)], atol=1e-4)
+
+
+def test_many_variance_searches_share_passes_and_stay_apart(panel):
+    from cohortframe.models import mixed
+
+    masks = [F.lit(True), F.col("PLOTCODE") < "P5", F.lit(False)]
+    rows = nested_rows(panel, train_sets=masks, test_sets=masks)
+    small = Design(main_effects("x"))
+    design = Design(main_effects("x", "AREA"), {"AREA": ("A", "B")})
+    fixed = fit_fixed(rows, [Y.new_fit(n, d, "cloglog", 0.3, train=t) for n, d in (("x", small), ("xa", design)) for t in range(3)])
+    fits, effects = mixed.search_variances(rows, fixed, True)
+    assert [f.error for f in fits] == [None, None, "empty training set"] * 2
+    for k in (0, 1, 3, 4):
+        part = panel.filter(masks[fits[k].train])
+        alone, _ = Y.fit_random(nested_rows(part), fit_fixed(nested_rows(part), [fixed[k].__class__(**{**fixed[k].__dict__, "train": 0})])[0], True)
+        assert fits[k].converged and abs(fits[k].loglik - alone.loglik) < 0.02
+        np.testing.assert_allclose([fits[k].sd_plot, fits[k].sd_ind], [alone.sd_plot, alone.sd_ind], rtol=0.1)
+    pdf = panel.toPandas()
+    assert len(effects[1]) == pdf[pdf.PLOTCODE < "P5"].PLOTCODE.nunique()
+
+
+def dense_modes(pdf, fit, effects, x):
+    """Individual modes by a dense Newton iteration, fixed and plot effects given."""
+    z = (pdf["IND_ID"].to_numpy()[:, None] == np.unique(pdf["IND_ID"])).astype(float)
+    base = x @ fit.beta + np.log(pdf["gap"].to_numpy()) + np.array([effects.get(p, 0.0) for p in pdf["PLOTCODE"]])
+    u = np.zeros(z.shape[1])
+    for _ in range(60):
+        _, g, w = families.cloglog(pdf["dead"].to_numpy(float), base + z @ u, {}, None)
+        u += (z.T @ g - u / fit.sd_ind**2) / (z.T @ w + 1 / fit.sd_ind**2)
+    return dict(zip(np.unique(pdf["IND_ID"]).tolist(), u))
+
+
+def test_individual_effects_and_conditional_scores_match_dense_modes(panel):
+    from cohortframe.models import mixed
+
+    train, test = F.col("x") < 0.4, F.col("x") >= 0.4
+    rows = nested_rows(panel, train_sets=[train], test_sets=[test])
+    design = Design(main_effects("x"))
+    begin = replace(Y.new_fit("m", design, "cloglog", 0.3), sd_plot=0.6, sd_ind=0.9)
+    (fit,), effects = mixed.fit_effects_together(rows, [begin], None, 25, 1e-10)
+    pdf = panel.toPandas()
+    first, second = pdf[pdf.x < 0.4], pdf[pdf.x >= 0.4]
+
+    def design_of(p):
+        return np.column_stack([np.ones(len(p)), p["x"]])
+
+    want = dense_modes(first, fit, effects[0], design_of(first))
+    got = {r["ind"]: r["u"] for r in mixed.individual_effects(rows, [fit], effects).collect()}
+    assert got.keys() == want.keys()
+    np.testing.assert_allclose([got[i] for i in want], list(want.values()), atol=1e-6)
+    eta = design_of(second) @ fit.beta + np.log(second["gap"]) + [effects[0].get(p, 0.0) for p in second["PLOTCODE"]]
+    pred = 1 - np.exp(-np.exp(eta + [want.get(i, 0.0) for i in second["IND_ID"]]))  # unseen individuals: 0
+    (score,) = mixed.score_conditional(rows, [(0, fit, 0)], effects, "binary")
+    np.testing.assert_allclose(score["Brier"], np.mean((second["dead"] - pred) ** 2), rtol=1e-7)
+
+
+def test_mixed_fit_without_training_rows_is_reported(panel):
+    rows = nested_rows(panel, train_sets=[F.lit(True), F.lit(False)])
+    design = Design(main_effects("x"))
+    both = [replace(Y.new_fit("m", design, "cloglog", 0.3, train=t), sd_plot=0.5, sd_ind=0.5) for t in range(2)]
+    good, bad = fit_effects(rows, both)[0]
+    assert good.error is None and bad.error == "empty training set"
