@@ -135,11 +135,23 @@ def _(spark, sf):
     return rounded(select_survival(survival(spark, sf), LEVELS).ranking)
 
 
+@query("mixed_model_selection")
+def _(spark, sf):
+    """The same with intercepts of plot and individual, variances searched for each model and training set."""
+    return rounded(select_survival(survival(spark, sf), LEVELS, random=True).ranking)
+
+
 @query("fit_status")
 def _(spark, sf):
-    """Likelihood, convergence and error of every (model, training set) pair of the hazard models."""
-    fits = select_survival(survival(spark, sf), LEVELS).fits
-    return rounded(fits.select("model", "fold", "n", "loglik", "aic", "singular", "converged", "error"))
+    """Likelihood, variances, convergence and error of every (model, training set) pair of the hazard models."""
+    fits = select_survival(survival(spark, sf), LEVELS, random=True).fits
+    return rounded(fits.select("model", "fold", "n", "loglik", "aic", "sd_plot", "sd_ind", "singular", "converged", "error"))
+
+
+@query("mixed_growth_selection")
+def _(spark, sf):
+    """Growth models with intercepts of plot and individual; time folds predicted with them."""
+    return rounded(select_growth(growth(spark, sf), LEVELS, random=True).ranking)
 
 
 @query("growth_selection")

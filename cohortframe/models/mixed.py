@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from . import engine
 from .engine import (
@@ -36,16 +36,20 @@ class _Search:
     half: float
     effects: Effects = field(default_factory=dict)
     settled: bool = False
+    free: np.ndarray = field(default_factory=lambda: np.arange(1))  # the axes that are searched; others are at zero
 
     def grid(self) -> np.ndarray:
         """The centre, a step up and down each axis, and two corners: enough for a quadratic surface."""
-        d = len(self.centre)
+        d = len(self.free)
         offsets = [o for o in itertools.product((-1.0, 0.0, 1.0), repeat=d) if np.abs(o).sum() <= 1 or abs(sum(o)) == d]
-        points = np.array([self.centre + self.half * np.array(o) for o in offsets])
+        points = np.tile(self.centre, (len(offsets), 1))
+        points[:, self.free] += self.half * np.array(offsets)
         return np.unique(np.clip(points, *SD_BOUNDS), axis=0)
 
     def at(self, point: np.ndarray) -> Fit:
-        return replace(self.fit, sd_plot=float(np.exp(point[0])), sd_ind=float(np.exp(point[1])) if len(point) > 1 else 0.0)
+        """The fit at a point; an individual's sd at its boundary needs no modes."""
+        sd = np.exp(point)
+        return replace(self.fit, sd_plot=float(sd[0]), sd_ind=float(sd[1]) if 1 in self.free else 0.0)
 
     def move(self, points: np.ndarray, found: Sequence[Fit], effects: Sequence[Effects], smallest: float) -> None:
         """Follow the rim while the best point lies on it; else narrow around the peak of the surface.
@@ -62,14 +66,15 @@ class _Search:
         top, self.fit, self.effects = points[best], found[best], effects[best]
         moved = np.abs(top - self.centre) > 1e-9
         low = top <= SD_BOUNDS[0] + 1e-9
-        if np.any(moved & ~low) and not np.all(low):
+        if np.any(moved & ~low) and not np.all(low[self.free]):
             self.centre = np.clip(top, *SD_BOUNDS)
             return
         fine = np.isfinite(values)
-        peak = _surface_peak(points[fine], values[fine], self.centre, self.half)
-        self.centre = top
-        if peak is not None and np.all(np.abs(peak - top) <= self.half):
-            self.centre = np.where(low, SD_BOUNDS[0], np.clip(peak, *SD_BOUNDS))
+        free = self.free
+        peak = _surface_peak(points[fine][:, free], values[fine], self.centre[free], self.half)
+        self.centre = top.copy()
+        if peak is not None and np.all(np.abs(peak - top[free]) <= self.half):
+            self.centre[free] = np.where(low[free], SD_BOUNDS[0], np.clip(peak, *SD_BOUNDS))
         self.settled = self.half <= smallest
         self.half = max(self.half / 2.5, smallest)
 
@@ -105,6 +110,47 @@ def _evaluate(rows: Rows, fits: Sequence[Fit], begin: Sequence[Effects], steps:
     return out, effects
 
 
+def boundary_slopes(rows: Rows, fits: Sequence[Fit]) -> dict[int, tuple[float, float]]:
+    """Slopes of the log-likelihood in the variances of plot and individual, where both are zero, for each fit.
+
+    At the optimum without random intercepts the slope in a variance is half the sum over its groups of the squared
+    score minus the observed information, as the other parameters' slopes are zero. One pass for all fits; scores of a
+    plot are added before they are squared, wherever its rows are.
+    """
+    narrow = replace(rows, df=None)
+    h = 1e-4
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, ("__plot", "__ind")):
+            data, y, o, z = _batch(pdf, narrow)
+            mask, plot, ind = pdf["__m"].to_numpy(), pdf["__plot"].to_numpy(), pdf["__ind"].to_numpy()
+            out, made, x = [], None, None
+            for i, fit in enumerate(fits):
+                pick = np.flatnonzero((mask >> fit.train) & 1)
+                if fit.error is not None or not len(pick):
+                    continue
+                if made is not fit.design:
+                    made, x = fit.design, fit.design.matrix(data, len(pdf))
+                family, zk = FAMILIES[fit.family], np.zeros(len(pick)) if fit.flat_scale else z[pick]
+                eta = x[pick] @ fit.beta + o[pick]
+                down, mid, up = (family(y[pick], eta + s, fit.aux, zk)[1] for s in (-h, 0.0, h))
+                w = (down - up) / (2 * h)
+                groups = _starts(plot[pick], ind[pick])
+                slope = 0.5 * float((np.add.reduceat(mid, groups) ** 2 - np.add.reduceat(w, groups)).sum())
+                out.append((i, None, 0.0, slope))
+                starts = _starts(plot[pick])
+                sums = np.add.reduceat(mid, starts), np.add.reduceat(w, starts)
+                out += [(i, p, float(g), float(k)) for p, g, k in zip(plot[pick][starts], *sums)]
+            yield pd.DataFrame(out, columns=["fit", "plot", "g", "w"])
+
+    sums = rows.df.mapInPandas(run, "fit int, plot string, g double, w double").groupBy("fit", "plot").agg(
+        F.sum("g").alias("g"), F.sum("w").alias("w")
+    )
+    of_plot = F.when(F.col("plot").isNotNull(), 0.5 * (F.col("g") * F.col("g") - F.col("w")))
+    slopes = sums.groupBy("fit").agg(F.sum(of_plot), F.sum(F.when(F.col("plot").isNull(), F.col("w")))).collect()
+    return {r[0]: (r[1], r[2]) for r in slopes}
+
+
 def search_variances(
     rows: Rows,
     fixed: Sequence[Fit],
@@ -117,21 +163,39 @@ def search_variances(
     smallest: float = 0.12,
     tol: float = 1e-4,
     begin: Sequence[Effects] | None = None,
+    afresh: float = 0.3,
 ) -> tuple[list[Fit], list[Effects]]:
     """Random intercepts by plot (and individual) for every fit, variances by Laplace likelihood.
 
     ``centres`` is an sd or, for each fit, the log sds from which its search starts. ``converged`` needs a search
     that settled and a fit that converged; ``rounds`` only stops a search that does neither, and says so. Fixed effects
     sit at the joint mode, the usual fast approximation to the full Laplace optimum. A fit that comes with an error
-    keeps it and takes no part.
+    keeps it and takes no part. Fits whose likelihood falls in every variance from zero on are at that boundary
+    already (``boundary_slopes``): they keep their fixed effects, with sds at the lower bound and no plot effects. Where one
+    variance alone falls from zero on, the other is searched by itself: intercepts of the other kind only take from
+    what is left to explain.
     """
     d = 2 if individual else 1
+    slopes = boundary_slopes(rows, fixed)
+    lowest = math.exp(SD_BOUNDS[0])
+    free = {i: [k for k in range(d) if not fixed[i].converged or s[k] > 0] for i, s in slopes.items()}
+    at_zero = {i for i, axes in free.items() if not axes}
+    fixed = [
+        replace(f, sd_plot=lowest, sd_ind=lowest if individual else 0.0) if i in at_zero else f for i, f in enumerate(fixed)
+    ]
     if isinstance(centres, float):
         centres = [np.full(d, math.log(centres)) for _ in fixed]
     searches = [
-        _Search(f, np.array(c, float), half, dict(begin[i]) if begin else {}, settled=f.error is not None)
+        _Search(f, np.array(c, float), half, dict(begin[i]) if begin else {}, f.error is not None or i in at_zero)
         for i, (f, c) in enumerate(zip(fixed, centres))
     ]
+    for i, s in enumerate(searches):
+        s.free = np.array(free.get(i) or range(d))
+        bound = np.setdiff1d(np.arange(d), s.free)
+        s.centre[bound] = SD_BOUNDS[0]
+        stuck = s.free[s.centre[s.free] <= SD_BOUNDS[0] + 1e-6]
+        if len(stuck):  # rises from zero here, though not where the centre comes from: start anew
+            s.centre[stuck], s.half = math.log(afresh), 1.0
     for _ in range(rounds):
         open_ = [s for s in searches if not s.settled]
         if not open_:
@@ -144,13 +208,16 @@ def search_variances(
         for s, grid in zip(open_, grids):
             s.move(grid, found[k : k + len(grid)], effects[k : k + len(grid)], smallest)
             k += len(grid)
-    usable = [i for i, s in enumerate(searches) if s.fit.error is None]
+    for i in at_zero:
+        searches[i].effects = {}
+    usable = [i for i, s in enumerate(searches) if s.fit.error is None and i not in at_zero]
     chosen, effects = _evaluate(
         rows, [searches[i].at(searches[i].centre) for i in usable], [searches[i].effects for i in usable], final_steps, tol
     )
     out, all_effects = [s.fit for s in searches], [s.effects for s in searches]
     for i, fit, found_effects in zip(usable, chosen, effects):
-        out[i] = replace(fit, converged=bool(fit.converged and searches[i].settled))
+        sd_ind = lowest if individual and fit.sd_ind == 0 else fit.sd_ind
+        out[i] = replace(fit, sd_ind=sd_ind, converged=bool(fit.converged and searches[i].settled))
         all_effects[i] = found_effects
     return out, all_effects
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.terms import AREA, GROWTH_MODELS, SURVIVAL_MODELS, TIME, Design, Term
 from ..operators.distribution import exact_quantiles
+from . import engine
 from .engine import Fit, Rows, effects_table, fit_effects, fit_fixed, prepare, set_mask
 from .families import SHAPE
 from .mixed import SINGULAR_SD, search_variances
@@ -159,7 +160,7 @@ def fit_random(
     (fit,), (effects,) = search_variances(
         rows, [fixed], individual, first, half, rounds, steps, final_steps, smallest
     )
-    if not effects and fit.error is None:  # too many plots for the driver
+    if not effects and fit.error is None and rows.n_plots > engine.BROADCAST_CELLS:  # they stay a table
         _, table = fit_effects(rows, [fit], final_steps)
         return fit, table.select("plot", "v")
     return fit, effects_table(spark, [effects]).select("plot", "v")

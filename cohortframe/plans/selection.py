@@ -3,7 +3,7 @@
 Folds with the same effective training rows share one fit. Every scoring iteration is one pass
 over the panel for all (model, training set) pairs, and all test scores come from one more pass.
 
-With ``random`` (the default) the candidates have intercepts of plot and individual, as they will be used: the
+With ``random`` the candidates have intercepts of plot and individual, as they will be used: the
 variances of all models are searched together on all rows first, and those of the training sets together after that,
 each from its model's solution.
 """
@@ -95,7 +95,8 @@ def _warm_fits(rows, fits: Sequence[Fit], **kw) -> list[Fit]:
 
 # Grids this narrow in log sd place a variance well within its own uncertainty.
 SEARCH_WIDTH = 0.3
-SEARCH_STEPS = {"steps": 6, "final_steps": 8, "smallest": SEARCH_WIDTH, "tol": 1e-3}
+# A search that does not end within the rounds is reported as not converged.
+SEARCH_STEPS = {"rounds": 6, "steps": 4, "final_steps": 8, "smallest": SEARCH_WIDTH, "tol": 1e-2}
 
 
 def _random_fits(rows: Rows, fits: Sequence[Fit], first: float) -> tuple[list[Fit], list[Effects]]:
@@ -115,7 +116,7 @@ def _random_fits(rows: Rows, fits: Sequence[Fit], first: float) -> tuple[list[Fi
         centres = [np.log([f.sd_plot, f.sd_ind]) for f, _ in starts] if usable else first
         found, more = search_variances(
             rows, [fits[i] for i in rest], True, centres, SEARCH_WIDTH if usable else 1.0, **SEARCH_STEPS,
-            begin=[plots for _, plots in starts],
+            begin=[plots for _, plots in starts], afresh=first,
         )
         for i, fit, plots in zip(rest, found, more):
             out[i], effects[i] = fit, plots
@@ -153,7 +154,7 @@ def select_survival(
     models: Sequence[str] = tuple(SURVIVAL_MODELS),
     folds: Sequence[Fold] | None = None,
     top: int = 4,
-    random: bool = True,
+    random: bool = False,
 ) -> Selection:
     """Hazard models ranked by AIC, time-series and left-out-site Brier scores of population-level predictions."""
     pairs = pairs.select(*KEYS, "Dead_next").persist()
@@ -200,7 +201,7 @@ def select_growth(
     folds: Sequence[Fold] | None = None,
     top: int = 4,
     min_train: int = 5,
-    random: bool = True,
+    random: bool = False,
 ) -> Selection:
     """Growth models with t errors ranked by AIC, time-series and left-out-site MSE of log size.
 

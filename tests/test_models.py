@@ -107,7 +107,7 @@ def dense_laplace(pdf, sd_plot, sd_ind):
     prec = np.r_[np.zeros(3), np.full(z1.shape[1], sd_plot**-2), np.full(z2.shape[1], sd_ind**-2)]
     theta, y, o = np.zeros(a.shape[1]), pdf["dead"].to_numpy(float), np.log(pdf["gap"].to_numpy())
     theta[0] = -1.0
-    for _ in range(60):
+    for _ in range(25):
         _, g, w = families.cloglog(y, a @ theta + o, {}, None)
         theta += np.linalg.solve(a.T @ (a * w[:, None]) + np.diag(prec), a.T @ g - prec * theta)
     ll, g, w = families.cloglog(y, a @ theta + o, {}, None)
@@ -298,3 +298,29 @@ def test_mixed_fit_without_training_rows_is_reported(panel):
     both = [replace(Y.new_fit("m", design, "cloglog", 0.3, train=t), sd_plot=0.5, sd_ind=0.5) for t in range(2)]
     good, bad = fit_effects(rows, both)[0]
     assert good.error is None and bad.error == "empty training set"
+
+
+def test_zero_variance_is_found_by_its_slope(spark, panel):
+    from cohortframe.models import mixed
+
+    design = Design(main_effects("x", "AREA"), {"AREA": ("A", "B")})
+    rows = nested_rows(panel)
+    fixed = fit_fixed(rows, [Y.new_fit("m", design, "cloglog", 0.3)], tol=1e-12)[0]
+    pdf = panel.toPandas()
+    slopes = mixed.boundary_slopes(rows, [fixed])[0]
+    tiny = 1e-3
+    for k, sds in enumerate(((0.02, tiny), (tiny, 0.02))):
+        rise = (dense_laplace(pdf, *sds)[2] - dense_laplace(pdf, tiny, tiny)[2]) / (0.02**2 - tiny**2)
+        assert slopes[k] > 0 and abs(rise - slopes[k]) < 0.05 * abs(slopes[k])
+    rng = np.random.default_rng(11)
+    flat = pdf.assign(dead=(rng.random(len(pdf)) < 1 - np.exp(-np.exp(-1 + 0.5 * pdf.x + np.log(pdf.gap)))).astype(int))
+    # Individuals without excess variance: every one has the same number of deaths at most by chance.
+    rows = nested_rows(spark.createDataFrame(flat))
+    fixed = fit_fixed(rows, [Y.new_fit("m", design, "cloglog", 0.3)], tol=1e-12)[0]
+    slopes = mixed.boundary_slopes(rows, [fixed])[0]
+    fit, effects = Y.fit_random(rows, fixed, individual=True)
+    if max(slopes) <= 0:
+        assert fit.loglik == fixed.loglik and fit.sd_plot < mixed.SINGULAR_SD and fit.sd_ind < mixed.SINGULAR_SD
+        assert fit.converged and effects.count() == 0
+    best = dense_laplace(flat, fit.sd_plot, fit.sd_ind)[2]
+    assert all(dense_laplace(flat, p, i)[2] <= best + 0.05 for p, i in ((0.01, 0.01), (0.3, 0.01), (0.01, 0.3), (0.1, 0.1)))
