@@ -148,12 +148,6 @@ def _(spark, sf):
     return rounded(fits.select("model", "fold", "n", "loglik", "aic", "sd_plot", "sd_ind", "singular", "converged", "error"))
 
 
-@query("mixed_growth_selection")
-def _(spark, sf):
-    """Growth models with intercepts of plot and individual; time folds predicted with them."""
-    return rounded(select_growth(growth(spark, sf), LEVELS, random=True).ranking)
-
-
 @query("growth_selection")
 def _(spark, sf):
     """Nine growth models with the same three fold schemes, the best four."""
