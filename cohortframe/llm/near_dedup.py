@@ -12,10 +12,12 @@ Documents are linked if the Jaccard similarity of their shingle sets is at least
 word sequences are joined first, by hash. The others get forty bands of eight registers. In a band's
 bucket
 
-1. every member is compared with one pivot, the member that shares most buckets; each document is
-   verified against its best pivot, and verified links are turned into components;
-2. then all members in different components are compared by signature, in blocks; pairs that the
-   signature does not exclude (``CUT``, four standard errors below) are verified.
+1. the pivot is the member with the least hashed id, so neighbouring buckets tend to have the same one; each
+   document is verified against the pivot it shares most buckets with, and verified links are turned into components;
+2. then all members in different components are compared by signature, in blocks; members of a pair that the
+   signature does not exclude (``CUT``, four standard errors below) are sent once more with their shingle
+   sets, and pairs are verified inside the block. A block yields a link for every component that it joins to
+   another, at most its size; no table of pairs is made.
 
 Pairs inside a component need no comparison, so a bucket of close copies costs its size, not its square,
 and no link between different components is lost. Buckets above ``BLOCK`` members are first split by further
@@ -30,14 +32,14 @@ An empty table gives no rows. Ties go to the smallest doc_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .buffers import byte_slices, mix, powers, span_hashes, words
+from .buffers import byte_slices, mix, powers, ranges, span_hashes, words
 from .components import components
 from .shared import stored
 
@@ -47,12 +49,13 @@ REGISTERS = 256
 BANDS, ROWS = 40, 8
 CUT = 0.70
 BLOCK = 1_500
+SET_SIZE = 2_000  # shingles that count as one member of a block
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash) of every shingle in a byte slice, and two hashes of each row's word sequence."""
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, hash, weight) of every shingle in a byte slice, and two hashes of each row's word sequence."""
     n = len(offsets) - 1
     starts, ends, row = words(data, offsets)
     word = span_hashes(data, starts, ends)
@@ -79,15 +82,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         short = np.flatnonzero((per_row > 0) & (count == 0))
         gram = np.concatenate([gram, whole[0][short]])
         of = np.concatenate([of, short])
-    return of, gram, whole[0], whole[1]
+    return of, gram, np.ones(len(gram), np.int64), whole[0], whole[1]
 
 
-def distinct_shingles(of: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, count) of the different shingles of each row."""
+def distinct_shingles(of: np.ndarray, gram: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, weight) of the different shingles of each row."""
     code, distinct = pd.factorize(mix(gram ^ mix(of.astype(np.uint64) + _GOLD)))
     at = np.zeros(len(distinct), np.int64)
     at[code] = np.arange(len(code))
-    return of[at], gram[at], np.bincount(code, minlength=len(distinct))
+    return of[at], gram[at], weight[at]
 
 
 def prob_min_hash(of: np.ndarray, gram: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -121,28 +124,32 @@ def prob_min_hash(of: np.ndarray, gram: np.ndarray, weight: np.ndarray, n: int)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc, h1, h2 (the word sequence) and signature of the documents with a word; ``docs``: doc, low."""
+    """Of the documents with a word: h1, h2 (the word sequence), signature, number and total weight of shingles; ``docs``: doc, low."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for first, data, offsets in byte_slices(batch.column(1), 1_000_000):
                 n = len(offsets) - 1
-                of, gram, one, two = shingles(data, offsets)
-                some = np.bincount(of, minlength=n) > 0
-                of, gram, _ = distinct_shingles(of, gram)
-                signature = prob_min_hash(of, gram, np.ones(len(gram)), n)[some]
+                of, gram, weight, one, two = shingles(data, offsets)
+                of, gram, weight = distinct_shingles(of, gram, weight)
+                size = np.bincount(of, minlength=n)
+                total = np.bincount(of, weight, n).astype(np.int64)
+                some = size > 0
+                signature = prob_min_hash(of, gram, weight, n)[some]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[first : first + n][some]),
                         pa.array(one[some].view(np.int64)),
                         pa.array(two[some].view(np.int64)),
                         pa.array([s.tobytes() for s in signature], pa.binary()),
+                        pa.array(size[some]),
+                        pa.array(total[some]),
                     ],
-                    names=["doc", "h1", "h2", "sig"],
+                    names=["doc", "h1", "h2", "sig", "size", "total"],
                 )
 
-    return docs.mapInArrow(run, "doc long, h1 long, h2 long, sig binary")
+    return docs.mapInArrow(run, "doc long, h1 long, h2 long, sig binary, size long, total long")
 
 
 def _orders() -> np.ndarray:
@@ -176,64 +183,53 @@ def bands(reps: DataFrame) -> DataFrame:
     return reps.mapInArrow(run, "key long, id long")
 
 
-def _estimated(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sig_a, sig_b) with their share of equal registers, where it reaches CUT."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                agree = (_matrix(batch.column(2)) == _matrix(batch.column(3))).mean(1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(agree)], names=["a", "b", "agree"]
-                ).filter(pa.array(agree >= CUT))
-
-    return pairs.mapInArrow(run, "a long, b long, agree double")
-
-
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc, grams): the sorted 64-bit hashes of each document's different shingles."""
+    """(doc, grams, weights): the sorted 64-bit hashes of each document's different shingles, and their 32-bit weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for first, data, offsets in byte_slices(batch.column(1), 1_000_000):
-                of, gram, _, _ = shingles(data, offsets)
-                of, gram, _ = distinct_shingles(of, gram)
+                of, gram, weight = distinct_shingles(*shingles(data, offsets)[:3])
                 order = np.lexsort((gram, of))
                 edge = np.searchsorted(of[order], np.arange(len(offsets)))
-                gram = gram[order]
+                spans = list(zip(edge[:-1], edge[1:]))
+                gram, weight = gram[order], weight[order].astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, len(offsets) - 1),
-                        pa.array([gram[b:e].tobytes() for b, e in zip(edge[:-1], edge[1:])], pa.binary()),
+                        pa.array([gram[b:e].tobytes() for b, e in spans], pa.binary()),
+                        pa.array([weight[b:e].tobytes() for b, e in spans], pa.binary()),
                     ],
-                    names=["doc", "grams"],
+                    names=["doc", "grams", "weights"],
                 )
 
-    return docs.mapInArrow(run, "doc long, grams binary")
+    return docs.mapInArrow(run, "doc long, grams binary, weights binary")
 
 
-def jaccard_reaches(a: bytes, b: bytes, similarity: float) -> bool:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-        return False
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    common = int((y[at] == x).sum())
-    return common >= similarity * (len(x) + len(y) - common) - 1e-9
+def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of total weights a and b with the weight ``common`` in both reach the similarity."""
+    return common >= similarity * (a + b - common) - 1e-9
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
 
+    def reaches(a: bytes, a_weights: bytes, b: bytes, b_weights: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        v, w = np.frombuffer(a_weights, np.uint32), np.frombuffer(b_weights, np.uint32)
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        common = v[y[at] == x].sum(dtype=np.int64)
+        return bool(similar(common, v.sum(dtype=np.int64), w.sum(dtype=np.int64), similarity))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = [jaccard_reaches(p, q, similarity) for p, q in zip(x, y)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            found = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))
+            yield batch.select(["a", "b"]).filter(pa.array([reaches(*row) for row in found], pa.bool_()))
 
-    left = sets.select(F.col("doc").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("doc").alias("b"), F.col("grams").alias("y"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    left = sets.select(F.col("doc").alias("a"), F.col("grams").alias("x"), F.col("weights").alias("v"))
+    right = sets.select(F.col("doc").alias("b"), F.col("grams").alias("y"), F.col("weights").alias("w"))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "v", "y", "w")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -251,72 +247,34 @@ def _deeper(members: DataFrame, depth: int) -> DataFrame:
                     key = mix(mix(parts) + tag + np.asarray(batch.column(0)).view(np.uint64)[:, None])
                 take = pa.array(np.repeat(np.arange(batch.num_rows), 6))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel().view(np.int64)), *[batch.column(k).take(take) for k in (1, 2, 3, 4)]],
-                    names=["key", "bucket", "id", "c", "sig"],
+                    [pa.array(key.ravel().view(np.int64)), *[batch.column(k).take(take) for k in range(1, 7)]],
+                    names=["key", "bucket", "id", "c", "sig", "total", "load"],
                 )
 
-    own = members.select("key", "bucket", "id", "c", "sig")
-    return own.mapInArrow(run, "key long, bucket long, id long, c long, sig binary")
+    own = members.select("key", "bucket", "id", "c", "sig", "total", "load")
+    return own.mapInArrow(run, "key long, bucket long, id long, c long, sig binary, total long, load long")
 
 
 def _sized(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with the bucket's size as n."""
-    groups = members.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("x"), F.max("c").alias("y"))
+    """Members of buckets that hold more than one component, with the bucket's load as n."""
+    groups = members.groupBy("key").agg(F.sum("load").alias("n"), F.min("c").alias("x"), F.max("c").alias("y"))
     return members.join(stored(groups.where("x <> y").select("key", "n"), "buckets"), "key")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of members of a group with different components that the signatures do not exclude.
+_GROUPED = "key long, bucket long, side long, id long, c long, sig binary, total long"
 
-    Rows are key, bucket, side, id, c, sig. Side 2 marks a group compared within itself; otherwise side 0 is
-    compared with side 1. ``bucket`` is the band's bucket that the group is a part of; a pair is left to the
-    bucket of the first band in which its members meet.
-    """
-    order = _orders()
-    band = (np.arange(BANDS, dtype=np.uint64) + _ONE) * _GOLD
 
-    def here(bucket: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Whether the first band in which the signatures agree is the one of this bucket."""
-        x = np.ascontiguousarray(p[:, order]).view(np.uint64)
-        y = np.ascontiguousarray(q[:, order]).view(np.uint64)
-        first = (x == y).argmax(1)
-        with np.errstate(over="ignore"):
-            own = mix(mix(x[np.arange(len(x)), first]) + band[first])
-        return own.view(np.int64) == bucket
-
-    def group(bucket, side, ids, comp, sig):
-        left = np.flatnonzero(side != 1)
-        right = np.flatnonzero(side != 0)
-        out = []
-        for k in range(0, len(left), 64):
-            some = left[k : k + 64]
-            a, b = np.nonzero(comp[some][:, None] != comp[right][None, :])
-            a, b = some[a], right[b]
-            keep = ids[a] != ids[b]
-            a, b = a[keep], b[keep]
-            for j in range(0, len(a), 20_000):
-                p, q = a[j : j + 20_000], b[j : j + 20_000]
-                near = (sig[p] == sig[q]).mean(1) >= CUT
-                p, q = p[near], q[near]
-                first = here(bucket[p], sig[p], sig[q])
-                p, q = ids[p[first]], ids[q[first]]
-                out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
-        return out
+def _by_group(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``work`` on the rows of each key, which meet in one task; only whole groups and one batch are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: pa.Table | None = None
 
-        def work(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
+        def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
             key = np.asarray(table.column(0).combine_chunks())
-            bucket, side, ids, comp = (np.asarray(table.column(k).combine_chunks()) for k in (1, 2, 3, 4))
-            sig = _matrix(table.column(5).combine_chunks())
-            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            found = []
-            for b, e in zip(edge.tolist(), [*edge[1:].tolist(), len(key)]):
-                found += group(bucket[b:e], side[b:e], ids[b:e], comp[b:e], sig[b:e])
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            done = [work(table.slice(b, e - b).combine_chunks()) for b, e in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            yield from pa.concat_tables(done).combine_chunks().to_batches()
 
         for batch in batches:
             if not batch.num_rows:
@@ -326,25 +284,136 @@ def _cross_pairs(members: DataFrame) -> DataFrame:
             key = np.asarray(waiting.column(0).combine_chunks())
             last = int(np.searchsorted(key, key[-1]))
             if last:
-                yield work(waiting.slice(0, last))
+                yield from groups(waiting.slice(0, last))
                 waiting = waiting.slice(last)
         if waiting is not None:
-            yield work(waiting)
+            yield from groups(waiting)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
 
-    placed = members.select("key", "bucket", "side", "id", "c", "sig").repartition("key").sortWithinPartitions("key")
-    return placed.mapInArrow(run, "a long, b long")
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(table.column(name).combine_chunks())
+
+
+def _candidates(table: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (p, q) in a group of members with different components that nothing excludes.
+
+    Side 2 marks a group compared within itself; otherwise side 0 is compared with side 1. ``bucket`` is the
+    band's bucket that the group is a part of; a pair is left to the bucket of the first band in which its
+    members meet. Total weights exclude pairs exactly, signatures by ``CUT``.
+    """
+    order = _orders()
+    band = (np.arange(BANDS, dtype=np.uint64) + _ONE) * _GOLD
+    bucket, side, ids, comp, total = (_column(table, k) for k in ("bucket", "side", "id", "c", "total"))
+    sig = _matrix(table.column("sig").combine_chunks())
+
+    def here(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether the first band in which the signatures agree is the one of this bucket."""
+        x = np.ascontiguousarray(sig[p][:, order]).view(np.uint64)
+        y = np.ascontiguousarray(sig[q][:, order]).view(np.uint64)
+        first = (x == y).argmax(1)
+        with np.errstate(over="ignore"):
+            own = mix(mix(x[np.arange(len(x)), first]) + band[first])
+        return own.view(np.int64) == bucket[p]
+
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    for k in range(0, len(left), 64):
+        some = left[k : k + 64]
+        a, b = np.nonzero(comp[some][:, None] != comp[right][None, :])
+        a, b = some[a], right[b]
+        keep = ids[a] < ids[b] if len(left) == len(table) else ids[a] != ids[b]
+        keep &= np.minimum(total[a], total[b]) >= similarity * np.maximum(total[a], total[b]) - 1e-9
+        a, b = a[keep], b[keep]
+        for j in range(0, len(a), 20_000):
+            p, q = a[j : j + 20_000], b[j : j + 20_000]
+            near = (sig[p] == sig[q]).mean(1) >= CUT
+            p, q = p[near], q[near]
+            first = here(p, q)
+            yield p[first], q[first]
+
+
+def _found_links(table: pa.Table, similarity: float) -> pa.Table:
+    """The links that join components of a group: one for each component that is joined to another, never all pairs.
+
+    A pair is verified on its sets unless its members have met already, or their distances to one member (the
+    one in most pairs) differ by more than a link allows: the distance obeys the triangle inequality.
+    """
+    found = [*_candidates(table, similarity), (np.zeros(0, np.int64),) * 2]
+    p, q = (np.concatenate(side) for side in zip(*found))
+    ids, total = _column(table, "id"), _column(table, "total")
+    label = np.unique(_column(table, "c"), return_inverse=True)[1]
+    links: list[tuple[int, int]] = []
+    if len(p):
+        grams = table.column("grams").to_pylist()
+        size = np.array([len(g) // 8 for g in grams], np.int64)
+        code = np.unique(np.frombuffer(b"".join(grams), np.uint64), return_inverse=True)[1]
+        weight = np.frombuffer(b"".join(table.column("weights").to_pylist()), np.uint32)
+        start = np.cumsum(size) - size
+        inside = np.zeros(int(code.max()) + 1, np.int64)
+
+        def common(one: int, others: np.ndarray) -> np.ndarray:
+            own = slice(start[one], start[one] + size[one])
+            inside[code[own]] = weight[own]
+            out = np.zeros(len(others), np.int64)
+            for k in range(0, len(others), 256):
+                part = others[k : k + 256]
+                ends = np.cumsum(size[part])
+                out[k : k + 256] = np.add.reduceat(inside[code[ranges(start[part], size[part])]], ends - size[part])
+            inside[code[own]] = 0
+            return out
+
+        if len(p) > len(ids):
+            pivot = int(np.bincount(np.concatenate([p, q])).argmax())
+            shared = common(pivot, np.arange(len(ids)))
+            far = 1 - shared / (total[pivot] + total - shared)
+            keep = np.abs(far[p] - far[q]) <= 1 - similarity + 1e-9
+            p, q = p[keep], q[keep]
+        order = np.argsort(p, kind="stable")
+        p, q = p[order], q[order]
+        edge = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.zeros(0, np.int64)
+        for b, e in zip(edge.tolist(), [*edge[1:].tolist(), len(p)]):
+            one, others = int(p[b]), q[b:e]
+            others = others[label[others] != label[one]]
+            if not len(others):
+                continue
+            near = others[similar(common(one, others), total[one], total[others], similarity)]
+            joined, at = np.unique(label[near], return_index=True)
+            links += [(int(ids[one]), int(ids[near[k]])) for k in at]
+            label[np.isin(label, joined)] = label[one]
+    a, b = (np.array(links, np.int64).reshape(-1, 2)).T
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _cross_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of a group with different components; rows are those of ``_GROUPED``.
+
+    First the members of any pair that the signatures leave open are marked, then only they are sent again with
+    their shingle sets. Neither pass writes a pair but the links that it found.
+    """
+
+    def mark(table: pa.Table) -> pa.Table:
+        open_ = np.zeros(len(table), bool)
+        for p, q in _candidates(table, similarity):
+            open_[p] = open_[q] = True
+        return table.filter(pa.array(open_))
+
+    columns = ["key", "bucket", "side", "id", "c", "sig", "total"]
+    marked = stored(_by_group(members.select(*columns), mark, _GROUPED), "open-members")
+    whole = marked.join(sets.withColumnRenamed("doc", "id"), "id").select(*columns, "grams", "weights")
+    return _by_group(whole, lambda table: _found_links(table, similarity), "a long, b long")
 
 
 def _whole(members: DataFrame) -> DataFrame:
-    return members.select("key", "bucket", F.lit(2).cast("long").alias("side"), "id", "c", "sig")
+    return members.select("key", "bucket", F.lit(2).cast("long").alias("side"), "id", "c", "sig", "total")
 
 
 def _blocks(large: DataFrame) -> DataFrame:
     """Large buckets as groups for all pairs of their blocks, except pairs within the bucket's largest component.
 
-    A member goes once to each block that its own is compared with.
+    A member goes once to each block that its own is compared with; blocks are cut by load.
     """
-    parts = large.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"))
+    parts = large.groupBy("key", "c").agg(F.sum("load").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"))
     parts = stored(parts.select("key", F.col("top.m").alias("n_top"), F.col("top.c").alias("c_top")), "largest-components")
     top, rest = F.ceil(F.col("n_top") / BLOCK), F.ceil((F.col("n") - F.col("n_top")) / BLOCK)
     at, is_top = F.xxhash64("id"), F.col("c") == F.col("c_top")
@@ -355,7 +424,7 @@ def _blocks(large: DataFrame) -> DataFrame:
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
         "bucket",
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long").alias("side"),
-        "id", "c", "sig",
+        "id", "c", "sig", "total",
     )
 
 
@@ -364,37 +433,32 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc"), F.lower(F.col("text").cast("string")).alias("low"))
     narrow = narrow.where("doc is not null")
     seen = stored(signatures(narrow), "signatures")
-    reps = stored(seen.groupBy("h1", "h2").agg(F.min("doc").alias("id"), F.first("sig").alias("sig")), "representatives")
+    same = [F.first(k).alias(k) for k in ("sig", "size", "total")]
+    reps = stored(seen.groupBy("h1", "h2").agg(F.min("doc").alias("id"), *same), "representatives")
     keyed = bands(reps.select("id", "sig"))
-    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    first = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
+    sizes = stored(sizes.select("key", F.col("first.id").alias("pivot")), "buckets")
     members = stored(keyed.join(sizes, "key"), "members")
-    degree = stored(members.groupBy("id").agg(F.sum("n").alias("degree")), "degrees")
-    sigs = reps.select("id", "sig")
+    load = F.greatest(F.lit(1), F.ceil(F.col("size") / SET_SIZE)).cast("long")
+    sigs = reps.select("id", "sig", "total", load.alias("load"))
 
     # First, a star in each bucket.
-    pivots = stored(
-        members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", F.negative("id").alias("m"))).alias("top"))
-        .select("key", F.negative("top.m").alias("pivot")),
-        "pivots",
-    )
-    star = members.join(pivots, "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    star = star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a")
-    star = star.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y")
+    shared = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
     best = (
-        _estimated(star).groupBy("a").agg(F.max(F.struct("agree", F.negative("b").alias("m"))).alias("top"))
+        shared.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("n", F.negative("pivot").alias("m"))).alias("top"))
         .select("a", F.negative("top.m").alias("b"))
     )
-    involved = degree.select(F.col("id").alias("doc"))
-    sets = stored(shingle_sets(narrow.join(involved, "doc").select("doc", "low")).dropDuplicates(["doc"]), "shingle-sets")
+    involved = stored(members.select("id").distinct(), "involved")
+    chosen = narrow.join(involved.withColumnRenamed("id", "doc"), "doc").select("doc", "low")
+    sets = stored(shingle_sets(chosen).dropDuplicates(["doc"]), "shingle-sets")
     links = stored(verified(best, sets, similarity), "star-links")
 
     # Then whatever meets in a bucket from different components.
     def mixed_members(comp: DataFrame) -> DataFrame:
-        placed = members.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-        placed = placed.join(stored(mixed, "mixed-buckets"), "key").join(sigs, "id")
-        placed = placed.select("key", F.col("key").alias("bucket"), "id", "c", "sig")
-        return stored(_sized(placed), "mixed-members")
+        known = involved.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("c"))
+        known = stored(known.join(sigs, "id"), "known-members")
+        return stored(_sized(members.select("key", F.col("key").alias("bucket"), "id").join(known, "id")), "mixed-members")
 
     level = mixed_members(components(links))
     large = level.where(F.col("n") > BLOCK)
@@ -404,23 +468,19 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         found = None
         for depth in (1, 2):
             deeper = stored(_sized(_deeper(large, depth)), "deeper-members")
-            pairs = _cross_pairs(_whole(deeper.where(F.col("n") <= BLOCK)))
-            found = pairs if found is None else found.union(pairs)
+            part = _cross_links(_whole(deeper.where(F.col("n") <= BLOCK)), sets, similarity)
+            found = part if found is None else found.union(part)
             large = deeper.where(F.col("n") > BLOCK)
             if large.isEmpty():
                 break
-        links = stored(links.union(verified(stored(found.distinct(), "part-pairs"), sets, similarity)), "merged-links")
+        links = stored(links.union(found), "merged-links")
         level = mixed_members(components(links))
     groups = _whole(level.where(F.col("n") <= BLOCK))
     if some_large:
         groups = groups.union(_blocks(level.where(F.col("n") > BLOCK)))
-    more = verified(stored(_cross_pairs(groups).distinct(), "cross-pairs"), sets, similarity)
-    group = stored(components(links.union(more)), "groups")
-    rep_of = stored(reps.select("h1", "h2", F.col("id").alias("rep")), "rep-of")
-    members_of = seen.select("doc", "h1", "h2").join(rep_of, ["h1", "h2"]).join(
-        group.select(F.col("id").alias("rep"), "component"), "rep", "left"
-    )
-    out = members_of.groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    group = stored(components(links.union(_cross_links(groups, sets, similarity))), "groups")
+    rep_of = reps.select("h1", "h2", "id").join(group, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("c"))
+    out = seen.select("doc", "h1", "h2").join(rep_of, ["h1", "h2"]).groupBy("doc").agg(F.min("c").alias("component_id"))
     return out.select(F.col("doc").alias("doc_id"), "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
 
 

@@ -187,6 +187,30 @@ def test_near_groups_large_buckets_compared_whole(spark, monkeypatch):
     assert got == brute_groups(texts)
 
 
+def test_near_groups_of_a_hot_bucket_write_no_pairs(spark):
+    """A group in which many pairs are left open by the signatures and few are links: rows follow members."""
+    rng = np.random.default_rng(3)
+    texts = {}
+    for d in range(60):
+        words = [f"w{i}" for i in range(200)]
+        for at in rng.choice(200, 5, replace=False):
+            words[at] = f"x{d}y{at}"
+        texts[d] = " ".join(words)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    low = frame.selectExpr("doc_id doc", "lower(text) low")
+    sets = near_dedup.shingle_sets(low)
+    signed = near_dedup.signatures(low).selectExpr("doc id", "sig", "total")
+    keyed = near_dedup.bands(signed.select("id", "sig")).join(signed, "id")
+    groups = keyed.selectExpr("key", "key bucket", "2L side", "id", "id c", "sig", "total")
+    found = near_dedup._cross_links(groups, sets, 0.8).collect()
+    size = groups.groupBy("key").count().where("count > 1").selectExpr("sum(count - 1) n").first().n
+    assert len(found) <= size
+    want = brute_groups(texts)
+    assert all(want[r.a] == want[r.b] for r in found)
+    got = {r.doc_id: r.component_id for r in near_dedup.classes(frame).collect()}
+    assert got == want
+
+
 def test_near_groups_copies_that_repeat_a_line(spark):
     texts = {}
     for d in range(20):
