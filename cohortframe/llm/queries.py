@@ -32,22 +32,27 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text and its length in code points."""
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
 def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's number of links and its component among vectors of its label."""
     return vector_dedup.vector_groups(_table(spark, sf_dir, "embeddings"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from the token files."""
     return token_files.write_and_read(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and the verdict of base rules and learned rules."""
     judged = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "rule", "kept")
 
@@ -58,6 +63,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of ids and digests of its ids and of the decoded bytes."""
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(_vocabulary("byte_bpe_50k.tiktoken"))
@@ -65,6 +71,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score; documents of the held-out fifth are never learned from."""
     docs = _table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select("doc_id", "text"), lexicon).select(
@@ -76,6 +83,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
     return url_rules.judge(_table(spark, sf_dir, "pages"))
 
 
