@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..evaluation.folds import full_fit
 from ..functions.terms import Design, crossed
 from ..models import closed as K, vital as Y
 from ..operators import cohorts
@@ -135,6 +136,16 @@ def _(spark, sf):
     return rounded(select_survival(survival(spark, sf), LEVELS).ranking)
 
 
+@query("in_sample_scores")
+def _(spark, sf):
+    """AIC, Brier score and log loss of the hazard models on the rows they were fitted to."""
+    done = select_survival(survival(spark, sf), LEVELS, folds=[full_fit()])
+    scores = done.metrics.groupBy("model").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in ("Brier", "LogLoss")]
+    )
+    return rounded(done.fits.select("model", F.col("aic").alias("AIC")).join(scores, "model"))
+
+
 @query("mixed_model_selection")
 def _(spark, sf):
     """The same with intercepts of plot and individual, variances searched for each model and training set."""

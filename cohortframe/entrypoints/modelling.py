@@ -128,6 +128,18 @@ def _(spark, sf):
     return rounded(K.lognormal_by_group(first_sizes(spark, sf), "HT", ["SITEAREA"]))
 
 
+@query(
+    "lognormal_combined_areas",
+    PANEL + """, late AS (SELECT CASE WHEN AREA = 'A0' THEN 'A0' ELSE 'REST' END AS AREA_combined, ln(HT) AS l FROM panel
+  WHERE COHORT IN (2, 3, 5, 7, 9, 10) AND CENSUS_NUM = COHORT AND STAT = 1 AND HT IS NOT NULL)
+SELECT AREA_combined, count(*) AS n, round(avg(l), 6) AS mu, round(stddev_pop(l), 6) AS sigma,
+  round(-count(*) * (0.5 * ln(2 * pi()) + 0.5 + ln(stddev_pop(l))), 6) AS loglik FROM late GROUP BY 1""",
+)
+def _(spark, sf):
+    late = cohorts.later_cohort_sizes(D.line_panel(spark, sf), (2, 3, 5, 7, 9, 10), "A0", "REST")
+    return rounded(K.lognormal_by_group(late, "HT", ["AREA_combined"]))
+
+
 @query(
     "lognormal_aic",
     PANEL + FIRST + """, f AS (SELECT SITEAREA, -count(*) * (0.5 * ln(2 * pi()) + 0.5 + ln(stddev_pop(ln(HT)))) AS ll
@@ -159,7 +171,8 @@ b AS (SELECT *, greatest(least(skew, 0.99), -0.99) AS g FROM a),
 c AS (SELECT *, sign(g) * sqrt(pi() / 2 * pow(abs(g), 2.0 / 3) / (pow(abs(g), 2.0 / 3) + pow((4 - pi()) / 2, 2.0 / 3))) AS delta FROM b),
 d AS (SELECT *, sd / sqrt(1 - 2 / pi() * delta * delta) AS omega FROM c)
 SELECT SITEAREA, n, round(m1, 6) AS mean, round(sd, 6) AS sd, round(skew, 6) AS skew,
-  round(m1 - omega * delta * sqrt(2 / pi()), 6) AS xi, round(omega, 6) AS omega, round(delta / sqrt(1 - delta * delta), 6) AS nu
+  round(m1 - omega * delta * sqrt(2 / pi()), 6) AS xi, round(omega, 6) AS omega, round(delta / sqrt(1 - delta * delta), 6) AS nu,
+  abs(skew) > 0.99 AS clamped
 FROM d""",
 )
 def _(spark, sf):
@@ -272,6 +285,36 @@ def _(spark, sf):
     return rounded(Q.boxplot(first, "HT", ["CENSUS_NUM", "AREA"]))
 
 
+# Range of a measure that its box plot shows; values outside are cut before the quartiles are taken.
+_CANOPY = "pi() * (WD1 / 2) * (WD2 / 2)"
+BOX_LIMITS = {_CANOPY: 20000, "CONE_New": 30}
+
+
+def _box_sql(value: str, source: str) -> str:
+    return PANEL + f""", h AS (SELECT CENSUS_NUM, AREA, v FROM (SELECT CENSUS_NUM, AREA, {value} AS v FROM panel WHERE {source})
+  WHERE v BETWEEN 0 AND {BOX_LIMITS[value]}),
+q AS (SELECT CENSUS_NUM, AREA, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+  quantile_cont(v, 0.75) AS q3 FROM h GROUP BY 1, 2)
+SELECT CENSUS_NUM, AREA, any_value(n) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median,
+  round(any_value(q3), 6) AS q3,
+  round(min(v) FILTER (WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS whisker_low,
+  round(max(v) FILTER (WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
+  count(*) FILTER (WHERE NOT v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_outliers
+FROM h JOIN q USING (CENSUS_NUM, AREA) GROUP BY 1, 2"""
+
+
+@query("canopy_boxplot", _box_sql(_CANOPY, "COHORT = 1"))
+def _(spark, sf):
+    first = D.line_panel(spark, sf).filter(F.col("COHORT") == 1)
+    sized = first.withColumn("CANOPY_AREA", X.canopy_area("WD1", "WD2"))
+    return rounded(Q.boxplot(sized, "CANOPY_AREA", ["CENSUS_NUM", "AREA"], (0.0, float(BOX_LIMITS[_CANOPY]))))
+
+
+@query("cone_boxplot", _box_sql("CONE_New", "true"))
+def _(spark, sf):
+    return rounded(Q.boxplot(D.line_panel(spark, sf), "CONE_New", ["CENSUS_NUM", "AREA"], (0.0, float(BOX_LIMITS["CONE_New"]))))
+
+
 # --- folds and metrics -----------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cohorts, reshape, summary, transitions as T
+from ..operators import cohorts, reshape, seasons, summary, transitions as T
 from ..functions import columns as X
 from ..sources import tables as D
 from .registry import PAIRS, PANEL, PANEL_ORIGIN, iso, query, r6, rounded
@@ -309,23 +309,44 @@ def _(spark, sf):
     return cohorts.cohort_first_year(D.line_panel(spark, sf))
 
 
+SEASONS = (
+    PANEL
+    + """, opened AS (
+  SELECT CENSUS_NUM AS COHORT, min(START_DATE) AS d,
+         year(min(START_DATE)) - CASE WHEN month(min(START_DATE)) < 4 THEN 1 ELSE 0 END AS last FROM panel GROUP BY 1),
+covered AS (SELECT *, lag(last) OVER (ORDER BY d, COHORT) AS before FROM opened),
+season AS (
+  SELECT COHORT, last, CASE WHEN before < last THEN before + 1 ELSE last END AS first FROM covered),
+years AS (SELECT COHORT, (first + last) / 2 AS Year, last - first + 1 AS Interval FROM season)
+"""
+)
+
+
 @query(
     "season_recruits",
-    PANEL
-    + """, season(COHORT, Year, Interval) AS (VALUES
-  (3, 1997, 1), (4, 1997, 1), (5, 1998, 1), (6, 1998, 1), (7, 1999, 1), (8, 1999, 1), (9, 2000, 1), (10, 2000, 1),
-  (11, 2001, 1), (12, 2002.5, 2), (13, 2004.5, 2), (14, 2006.5, 2), (15, 2008.5, 2)),
-unit AS (SELECT DISTINCT p.PLOTCODE, SITEAREA, AREA, SDLAREA FROM panel p LEFT JOIN plots ON OLDCODE = p.PLOTCODE),
+    SEASONS
+    + """, unit AS (SELECT DISTINCT p.PLOTCODE, SITEAREA, AREA, SDLAREA FROM panel p LEFT JOIN plots ON OLDCODE = p.PLOTCODE),
 cnt AS (SELECT PLOTCODE, COHORT, count(DISTINCT IND_ID) AS n FROM panel WHERE COHORT >= 3 GROUP BY 1, 2)
-SELECT u.PLOTCODE, SITEAREA, AREA, SDLAREA, CAST(s.Year AS DOUBLE) AS Year, s.Interval AS Interval,
-       CAST(sum(coalesce(n, 0)) AS BIGINT) AS NumRecruits, CAST(s.Year AS DOUBLE) - 1995 AS TimeSinceFire
-FROM unit u CROSS JOIN season s LEFT JOIN cnt c ON c.PLOTCODE = u.PLOTCODE AND c.COHORT = s.COHORT
-GROUP BY ALL""",
+SELECT u.PLOTCODE, SITEAREA, AREA, SDLAREA, s.Year AS Year, s.Interval AS Interval,
+       CAST(sum(coalesce(n, 0)) AS BIGINT) AS NumRecruits, s.Year - 1995 AS TimeSinceFire
+FROM unit u CROSS JOIN years s LEFT JOIN cnt c ON c.PLOTCODE = u.PLOTCODE AND c.COHORT = s.COHORT
+WHERE s.COHORT >= 3 GROUP BY ALL""",
 )
 def _(spark, sf):
     return cohorts.season_recruits(with_plots(spark, sf))
 
 
+@query(
+    "cohort_seasons",
+    SEASONS
+    + """, cnt AS (SELECT COHORT, count(DISTINCT IND_ID) AS n_individuals FROM panel WHERE COHORT >= 3 GROUP BY 1)
+SELECT c.COHORT, n_individuals, Year, Interval FROM cnt c LEFT JOIN years y ON y.COHORT = c.COHORT""",
+)
+def _(spark, sf):
+    panel = D.line_panel(spark, sf)
+    return seasons.cohort_seasons(panel, seasons.census_seasons(seasons.census_dates(panel)))
+
+
 @query(
     "later_cohort_sizes",
     PANEL

@@ -120,7 +120,10 @@ MAX_SKEW = 0.99
 
 
 def skewnormal_moments(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Skew-normal location, scale and shape of log size per group by the method of moments."""
+    """Skew-normal location, scale and shape of log size per group by the method of moments.
+
+    ``clamped`` marks groups whose skewness no skew-normal law reaches; the bound ``MAX_SKEW`` stands in for it there.
+    """
     logs = df.filter(F.col(value) > 0).select(*keys, F.log(value).alias("__l"))
     sums = logs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
@@ -142,7 +145,7 @@ def skewnormal_moments(df: DataFrame, value: str, keys: Sequence[str]) -> DataFr
         .withColumn("omega", F.col("sd") / F.sqrt(F.lit(1.0) - F.lit(2.0 / math.pi) * F.col("delta") ** 2))
         .withColumn("xi", F.col("m1") - F.col("omega") * F.col("delta") * F.lit(math.sqrt(2.0 / math.pi)))
         .withColumn("nu", F.col("delta") / F.sqrt(F.lit(1.0) - F.col("delta") ** 2))
-        .select(*keys, "n", F.col("m1").alias("mean"), "sd", "skew", "xi", "omega", "nu")
+        .select(*keys, "n", F.col("m1").alias("mean"), "sd", "skew", "xi", "omega", "nu", (F.abs("skew") > MAX_SKEW).alias("clamped"))
     )
 
 

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .reshape import long_to_wide, season_map, zero_filled_grid
+from .reshape import long_to_wide, zero_filled_grid
+from .seasons import census_dates, census_seasons
 
 # Cohorts with a height at first detection.
 MEASURED_LATE_COHORTS = (3, 5, 7, 9, 10)
@@ -49,10 +50,17 @@ def cohort_first_year(panel: DataFrame) -> DataFrame:
     )
 
 
-def season_recruits(panel: DataFrame, origin_year: int = 1995, first_cohort: int = 3) -> DataFrame:
-    """Recruits per plot and growing season, zeros included."""
+def season_recruits(
+    panel: DataFrame, origin_year: int = 1995, first_cohort: int = 3, seasons: DataFrame | None = None
+) -> DataFrame:
+    """Recruits per plot and growing season, zeros included.
+
+    ``seasons`` maps cohorts to seasons (see ``seasons.census_seasons``); by default the panel's own census dates
+    do. Only surveyed seasons have rows. ``seasons.without_season`` lists cohorts that none takes in.
+    """
     keys = ["PLOTCODE", "SITEAREA", "AREA", "SDLAREA"]
-    plots = panel.select(*keys).distinct()
+    seasons = census_seasons(census_dates(panel)) if seasons is None else seasons
+    plots = panel.groupBy(*keys).agg(F.lit(1).alias("__one")).drop("__one")
     counts = (
         panel.filter(F.col("COHORT") >= first_cohort)
         .groupBy("IND_ID", "PLOTCODE", "COHORT")
@@ -60,7 +68,8 @@ def season_recruits(panel: DataFrame, origin_year: int = 1995, first_cohort: int
         .groupBy("PLOTCODE", "COHORT")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    grid = zero_filled_grid(plots, season_map(panel.sparkSession), counts, ["PLOTCODE", "COHORT"], "n")
+    axis = seasons.where(F.col("COHORT") >= first_cohort).select("COHORT", "Year", "Interval")
+    grid = zero_filled_grid(plots, axis, counts, ["PLOTCODE", "COHORT"], "n")
     return (
         grid.groupBy(*keys, "Year", "Interval")
         .agg(F.sum("n").alias("NumRecruits"))

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .clean import measures
 
-# Fixed values: (cohort, midpoint year of the germination season, seasons covered).
-SEASON_MAP = (
-    (3, 1997.0, 1), (4, 1997.0, 1), (5, 1998.0, 1), (6, 1998.0, 1), (7, 1999.0, 1),
-    (8, 1999.0, 1), (9, 2000.0, 1), (10, 2000.0, 1), (11, 2001.0, 1), (12, 2002.5, 2),
-    (13, 2004.5, 2), (14, 2006.5, 2), (15, 2008.5, 2),
-)
+#: Rows of an axis that a grid attaches to every unit as one array.
+MAX_AXIS = 100_000
 
 
 def wide_to_long(df: DataFrame, id_cols: Sequence[str], measure_names: Sequence[str]) -> DataFrame:
@@ -72,17 +68,16 @@ def census_dates_long(sheet: DataFrame, label_col: str, label: str = "Start on")
     )
 
 
-def season_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SEASON_MAP), "COHORT int, Year double, Interval int")
-
-
 def zero_filled_grid(units: DataFrame, axis: DataFrame, counts: DataFrame, on: Sequence[str], value: str) -> DataFrame:
     """Every unit x axis combination, with 0 where nothing was counted.
 
     ``axis`` is attached as an array of its few rows, so that the grid is a narrow explode of
-    the units instead of a product of two tables.
+    the units instead of a product of two tables. An axis of more than ``MAX_AXIS`` rows fails the query, and
+    no more than one row above that is ever collected.
     """
-    packed = axis.agg(F.collect_list(F.struct(*axis.columns)).alias("__axis"))
+    packed = axis.limit(MAX_AXIS + 1).agg(F.collect_list(F.struct(*axis.columns)).alias("__axis"))
+    too_long = F.raise_error(F.lit(f"the axis of a grid has more than {MAX_AXIS} rows")).cast("boolean")
+    packed = packed.where(F.when(F.size("__axis") <= MAX_AXIS, F.lit(True)).otherwise(too_long))
     return (
         units.join(F.broadcast(packed))
         .withColumn("__a", F.explode("__axis"))
