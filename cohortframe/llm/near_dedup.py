@@ -1,14 +1,16 @@
-"""Near-duplicate documents by ProbMinHash signatures, banding and verification on the shingle sets.
+"""Near-duplicate documents by ProbMinHash signatures, banding and verification on the weighted shingle sets.
 
 A document is the set of its five-word shingles (lower-cased words between ASCII white space; with
-fewer than five words, all of them are one shingle), each of weight one however often it occurs. Each shingle
+fewer than five words, all of them are one shingle). Each has a weight that its words alone decide, however often it
+occurs: ``weigh_by_length`` takes the number of binary digits of its bytes, ``weigh_equal`` takes one. Each shingle
 is a Poisson process whose rate is its weight: its arrivals come at seeded exponential gaps, each falls
 into one of 256 registers, and a register keeps the shingle that arrived first. Rounds go on only
 with shingles that can still arrive before the latest register; that is the early termination. Two
-registers agree with the probability Jaccard similarity of the documents, which for equal weights is the
-Jaccard similarity of the sets: candidates, ``CUT`` and links are on one measure.
+registers agree with the probability Jaccard similarity of the documents. As a shingle weighs the same in every
+document, that is exactly the weight of the common shingles over the weight of all shingles of both, so candidates,
+``CUT`` and links are on one measure, a repeated line changes nothing, and the distance obeys the triangle inequality.
 
-Documents are linked if the Jaccard similarity of their shingle sets is at least ``SIMILARITY``. Equal
+Documents are linked if this similarity is at least ``SIMILARITY``. Equal
 word sequences are joined first, by hash. The others get forty bands of eight registers. In a band's
 bucket
 
@@ -54,7 +56,20 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def weigh_equal(n_bytes: np.ndarray) -> np.ndarray:
+    """One for every shingle: links are on the plain Jaccard similarity of the sets."""
+    return np.ones(len(n_bytes), np.int64)
+
+
+def weigh_by_length(n_bytes: np.ndarray) -> np.ndarray:
+    """Number of binary digits of the bytes in a shingle's words: long words say more than short ones, and none dominates."""
+    return np.frexp(n_bytes.astype(np.float64))[1].astype(np.int64)
+
+
+Weigh = Callable[[np.ndarray], np.ndarray]
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, weigh: Weigh = weigh_equal) -> tuple[np.ndarray, ...]:
     """(row, hash, weight) of every shingle in a byte slice, and two hashes of each row's word sequence."""
     n = len(offsets) - 1
     starts, ends, row = words(data, offsets)
@@ -63,6 +78,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     end = np.cumsum(per_row)
     begin = end - per_row
     power, inverse = powers(len(word) + 2)
+    n_bytes = np.append(0, np.cumsum(ends - starts))  # of all words before a place
     with np.errstate(over="ignore"):
         whole = []
         for tag in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)):
@@ -78,11 +94,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
                 gram = mix(gram * _GOLD + word[at + k])
             of = row[at]
         else:
-            gram, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            gram, of, at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         short = np.flatnonzero((per_row > 0) & (count == 0))
         gram = np.concatenate([gram, whole[0][short]])
         of = np.concatenate([of, short])
-    return of, gram, np.ones(len(gram), np.int64), whole[0], whole[1]
+    size = np.concatenate([n_bytes[at + WORDS] - n_bytes[at], n_bytes[end[short]] - n_bytes[begin[short]]])
+    return of, gram, weigh(size), whole[0], whole[1]
 
 
 def distinct_shingles(of: np.ndarray, gram: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +140,7 @@ def prob_min_hash(of: np.ndarray, gram: np.ndarray, weight: np.ndarray, n: int)
     return (mix(who) & np.uint64(255)).astype(np.uint8).reshape(n, REGISTERS)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, weigh: Weigh = weigh_equal) -> DataFrame:
     """Of the documents with a word: h1, h2 (the word sequence), signature, number and total weight of shingles; ``docs``: doc, low."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +148,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             ids = np.asarray(batch.column(0))
             for first, data, offsets in byte_slices(batch.column(1), 1_000_000):
                 n = len(offsets) - 1
-                of, gram, weight, one, two = shingles(data, offsets)
+                of, gram, weight, one, two = shingles(data, offsets, weigh)
                 of, gram, weight = distinct_shingles(of, gram, weight)
                 size = np.bincount(of, minlength=n)
                 total = np.bincount(of, weight, n).astype(np.int64)
@@ -183,14 +200,14 @@ def bands(reps: DataFrame) -> DataFrame:
     return reps.mapInArrow(run, "key long, id long")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, weigh: Weigh = weigh_equal) -> DataFrame:
     """(doc, grams, weights): the sorted 64-bit hashes of each document's different shingles, and their 32-bit weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for first, data, offsets in byte_slices(batch.column(1), 1_000_000):
-                of, gram, weight = distinct_shingles(*shingles(data, offsets)[:3])
+                of, gram, weight = distinct_shingles(*shingles(data, offsets, weigh)[:3])
                 order = np.lexsort((gram, of))
                 edge = np.searchsorted(of[order], np.arange(len(offsets)))
                 spans = list(zip(edge[:-1], edge[1:]))
@@ -428,11 +445,11 @@ def _blocks(large: DataFrame) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, weigh: Weigh = weigh_equal) -> DataFrame:
     """(doc_id, component_id, kept) for every distinct doc_id that has words; the kept one is the smallest of its group."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc"), F.lower(F.col("text").cast("string")).alias("low"))
     narrow = narrow.where("doc is not null")
-    seen = stored(signatures(narrow), "signatures")
+    seen = stored(signatures(narrow, weigh), "signatures")
     same = [F.first(k).alias(k) for k in ("sig", "size", "total")]
     reps = stored(seen.groupBy("h1", "h2").agg(F.min("doc").alias("id"), *same), "representatives")
     keyed = bands(reps.select("id", "sig"))
@@ -451,7 +468,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
     involved = stored(members.select("id").distinct(), "involved")
     chosen = narrow.join(involved.withColumnRenamed("id", "doc"), "doc").select("doc", "low")
-    sets = stored(shingle_sets(chosen).dropDuplicates(["doc"]), "shingle-sets")
+    sets = stored(shingle_sets(chosen, weigh).dropDuplicates(["doc"]), "shingle-sets")
     links = stored(verified(best, sets, similarity), "star-links")
 
     # Then whatever meets in a bucket from different components.
@@ -484,16 +501,16 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, weigh: Weigh = weigh_equal) -> DataFrame:
     """One row per row of ``docs``: doc_id, component_id, kept."""
-    found = near_groups(docs, similarity).select(F.col("doc_id").alias("id"), "component_id", "kept")
+    found = near_groups(docs, similarity, weigh).select(F.col("doc_id").alias("id"), "component_id", "kept")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return ids.join(found, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("kept", F.lit(True)).alias("kept")
     )
 
 
-def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY, weigh: Weigh = weigh_equal) -> DataFrame:
     """``docs`` without the documents that another one of their group stands for; all columns as they are."""
-    gone = near_groups(docs, similarity).where("not kept").select(F.col("doc_id").alias("__gone"))
+    gone = near_groups(docs, similarity, weigh).where("not kept").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

@@ -58,8 +58,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's group; kept marks the one that stands for it."""
-    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+    """Every document's group by weighted shingles; kept marks the one that stands for it."""
+    return near_dedup.classes(_table(spark, sf_dir, "documents"), weigh=near_dedup.weigh_by_length)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

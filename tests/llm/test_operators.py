@@ -221,6 +221,54 @@ def test_near_groups_copies_that_repeat_a_line(spark):
     assert got == brute_groups(texts) and set(got.values()) == set(range(20))
 
 
+def test_shingles_weigh_as_their_bytes():
+    texts = ["Ünï a b c d e", "one two", "", "x" * 5_000 + " a b c d", None]
+    data = [(t or "").lower() for t in texts]
+    (_, raw, offsets), = buffers.byte_slices(pa.array(data), 1_000_000)
+    of, _, weight, _, _ = near_dedup.shingles(raw, offsets, near_dedup.weigh_by_length)
+    sizes = [(k, sum(len(w.encode()) for w in s)) for k, t in enumerate(texts) for s in weighted_shingles(t)]
+    assert sorted(zip(of.tolist(), weight.tolist())) == sorted((k, n.bit_length()) for k, n in sizes)
+
+
+def weighted_shingles(text):
+    return {s: sum(len(w.encode()) for w in s).bit_length() for s in shingle_set(text)}
+
+
+def weighted_groups(texts):
+    """Groups by exact probability Jaccard, from its definition, over all pairs."""
+    sets = {d: weighted_shingles(t) for d, t in texts.items()}
+    group = {d: {d} for d in texts}
+    for a in texts:
+        for b in texts:
+            x, y = sets[a], sets[b]
+            common = x.keys() & y.keys()
+            if a < b and 2 * len(common) >= max(len(x), len(y)) and common:
+                whole = sum(max(x.get(j, 0), y.get(j, 0)) for j in x.keys() | y.keys())
+                if sum(x[i] / whole for i in common) >= 0.8 - 1e-12 and group[a] is not group[b]:
+                    group[a] |= group[b]
+                    for d in group[b]:
+                        group[d] = group[a]
+    return {d: min(g) for d, g in group.items()}
+
+
+def test_weighted_near_groups_match_brute_force(spark, docs):
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rng = np.random.default_rng(23)
+    for d in range(40):  # near the threshold, where long and short words decide, and with repeated lines
+        words = ["of" if i % 40 < 20 else f"extraordinarily{i}of{d}" for i in range(160)]
+        words = [w + str(i) if w == "of" else w for i, w in enumerate(words)]
+        lot = range(0, 160) if d % 2 else [i for i in range(160) if i % 40 < 20]
+        other = list(words)
+        for i in rng.choice(lot, 4, replace=False):
+            other[i] = "so"
+        texts |= {10**6 + d: " ".join(words), 2 * 10**6 + d: " ".join(other + other[-30:] * (d % 3))}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.classes(frame, weigh=near_dedup.weigh_by_length).collect()}
+    want, plain = weighted_groups(texts), brute_groups(texts)
+    assert want != plain
+    assert got == want
+
+
 def test_near_odd_rows(odd, nothing):
     got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.classes(odd).collect())
     assert got[(7, 6, False)] == 1 and got[(6, 6, True)] == 1 and got[(2, 2, True)] == 2
@@ -478,6 +526,59 @@ def test_pages(spark):
     assert html_text.extract(frame.limit(0)).collect() == []
 
 
+STORY = "The storm moved over the coast and left the towns without power for days."
+HARD_PAGES = {
+    f"<html><head><title>x</title><meta a=b><body><article>{STORY}</article>": STORY,
+    f'<nav>m</nav><article class="severe-weather-alert">{STORY}</article>': STORY,
+    f'<div class="social-media-story"><article>{STORY}</article></div>': STORY,
+    f"<main><h1>Head</h1><p>{STORY}</p><article>card</article></main>": f"Head {STORY} card",
+    f"<main><h1>Head</h1><article>{STORY} {STORY} {STORY}</article></main>": f"Head {STORY} {STORY} {STORY}",
+    f"<nav><a>Menu</a><article>{STORY}</article>": STORY,
+    "<article>E=<math><mi>m</mi>c</math> <object>alt</object><video>fallback</video></article>": "E=mc alt fallback",
+    f'<article>{STORY}<div id="comments"><article class="comment">me too</article></div></article>': STORY,
+    f"<form><main>{STORY}<form>q</form></main></form>": STORY,
+    f'<aside><article>card</article></aside><article>{STORY}</article><div class="related"><article>card</article></div>': STORY,
+    '<article>a long enough text <span class="share">x <span>y</span> z</span> b</article>': "a long enough text b",
+    f"<article>&#{'9' * 9000}; &#0000000065; 1 < 2 <br/>x<!-->y</article>": "\ufffd A 1 < 2 xy",
+}
+
+
+@pytest.mark.parametrize("page", HARD_PAGES)
+def test_pages_with_hard_markup(page):
+    assert html_text.main_text(html_text.blocks(page)) == HARD_PAGES[page]
+
+
+@pytest.mark.parametrize("page", [f'<div class="search-and-rescue"><p>{STORY}</p></div>', f"<head><title>x</title><p>{STORY}"])
+def test_pages_without_containers_stay_open(page):
+    assert html_text.blocks(page) == [(STORY, False, False)]
+
+
+BROKEN = ["<b ", "<div>", '<a href="x ', "<a b='c\" ", "<!-- ", "<div class=ad>", "<li><p>", "</", "<", "<nav><article>", "<script>", "&#1"]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+def test_broken_markup_takes_time_in_proportion(piece):
+    """The calls of a run over twice the markup are at most a little more than twice as many."""
+    import sys
+
+    def calls(page):
+        n = 0
+
+        def count(*_):
+            nonlocal n
+            n += 1
+
+        sys.setprofile(count)
+        try:
+            html_text.blocks(page)
+        finally:
+            sys.setprofile(None)
+        return n
+
+    assert calls(piece * 4_000) <= 2.2 * calls(piece * 2_000) + 100
+    html_text.blocks(piece * 200_000)
+
+
 def test_pages_copied_whole_keep_their_text(spark):
     story = " ".join(f"w{k}" for k in range(40))
     foot = " all rights are reserved by the owners of this fine host"
