@@ -109,6 +109,28 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
     )
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """A double as the sum of two of 26 bits, whose products are exact."""
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    return high, x - high
+
+
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """``a * b + c`` rounded once, as a fused multiply-add does; what the roundings of product and sum lose is added back.
+
+    SQL engines interpolate this way, and on values that lie on a lattice the last bit of a quartile decides whether a
+    value on a fence is an outlier.
+    """
+    (ah, al), (bh, bl) = _halves(a), _halves(b)
+    product = a * b
+    total = product + c
+    lost = ((ah * bh - product) + ah * bl + al * bh) + al * bl
+    back = total - product
+    lost = lost + ((product - (total - back)) + (c - back))
+    return F.when(F.isnan(lost), total).otherwise(total + lost)  # infinite or beyond splitting
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None
 ) -> DataFrame:
@@ -138,7 +160,9 @@ def exact_quantiles(
     for i, p in enumerate(probs):
         h = (F.col("__n") - 1) * F.lit(float(p))
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        cells.append(F.struct(F.lit(float(p)).alias("prob"), (lo + (h - F.floor(h)) * (hi - lo)).alias("quantile")))
+        share = h - F.floor(h)
+        between = F.when(share == 0, lo).otherwise(_fused(lo, 1 - share, hi * share))
+        cells.append(F.struct(F.lit(float(p)).alias("prob"), between.alias("quantile")))
     return picked.select(*keys, F.explode(F.array(*cells)).alias("__q")).select(*keys, "__q.*")
 
 

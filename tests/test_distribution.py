@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -79,3 +81,15 @@ def test_surrogate_id_is_dense_and_stable(spark):
     again = surrogate_id(df.repartition(13), ["p", "t"])
     assert sorted(r["IND_ID"] for r in first.collect()) == list(range(1, 5001))
     assert first.exceptAll(again).count() == 0
+
+
+def test_interpolation_rounds_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, math.pi * k * (1 + j * 2.0**-52)) for g, k in enumerate(rng.integers(1, 8000, 200).tolist()) for j in range(4)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {(r.g, r.prob): r.quantile for r in Q.exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.7]).collect()}
+    for (g, prob), quantile in got.items():
+        values = sorted(v for k, v in rows if k == g)
+        at = 3 * prob
+        share = at - math.floor(at)
+        assert quantile == math.fma(values[math.floor(at)], 1 - share, values[math.ceil(at)] * share)
