@@ -18,9 +18,10 @@ from .registry import query, rounded
 @query("glm_cloglog")
 def _(spark, sf):
     """Fixed part of every candidate hazard model, all fitted in the same passes."""
-    pairs = survival(spark, sf)
+    pairs = survival(spark, sf).select("AREA", "HT", "TimeSinceFire", "CensusInterval", "Dead_next").persist()
     rows = Y.survival_rows(pairs, LEVELS)
-    knots, mean = Y.spline_knots(pairs), rows.df.agg(F.avg("__y")).first()[0]
+    knots, mean = Y.spline_knots(pairs), rows.means("__y")[0]
+    pairs.unpersist()
     fits = Y.fit_fixed(
         rows, [Y.new_fit(m, Y.survival_design(m, LEVELS, knots), "cloglog", mean) for m in Y.SURVIVAL_MODELS]
     )
@@ -32,7 +33,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Hazard on height alone."""
     rows = Y.survival_rows(survival(spark, sf), LEVELS)
-    mean = rows.df.agg(F.avg("__y")).first()[0]
+    mean = rows.means("__y")[0]
     fit = Y.fit_fixed(rows, [Y.new_fit("ht", Y.survival_design("ht", LEVELS), "cloglog", mean)], tol=1e-12)[0]
     rows.release()
     return rounded(Y.coefficient_table(spark, [fit]))

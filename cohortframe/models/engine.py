@@ -5,6 +5,10 @@ each batch of rows into one short vector per fit, Spark adds the vectors, the dr
 p x p system per fit. Rows are never copied per fold; a bit mask says which training sets a row
 belongs to.
 
+Rows that agree in all that a fit sees are merged and carry their number as a weight, which changes no sum. Fits without
+intercepts of individuals read rows merged over individuals; fits with them can read individuals of a plot that have the same
+rows as one.
+
 Random intercepts of individuals and plots are integrated out by Laplace's method at the joint
 mode. Rows of an individual are contiguous in one partition, so its effect is found inside the
 batch and never stored. Plot effects are a table; plots too large for one task are split over
@@ -27,7 +31,7 @@ from ..functions.columns import level_ordinal
 from ..functions.terms import Design
 from ..session import cut_lineage
 from ..evaluation.metrics import LOGLOSS_EPSILON
-from .families import FAMILIES, LINK_MEAN, SHAPE
+from .families import FAMILIES, LINK_MEAN, SCORES, SHAPE, nu_constants
 
 # Batch functions travel with their code, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
@@ -85,16 +89,35 @@ class Fit:
 
 @dataclass(frozen=True)
 class Rows:
-    """Prepared rows: ``__y, __o, __z, __m, __plot, __ind`` and the raw atoms of the designs."""
+    """Prepared rows: ``__y, __o, __z, __m, __t, __plot, __ind``, their weight ``__w`` and the raw atoms of the designs.
+
+    ``flat`` holds the same rows merged over individuals, for whatever needs no effects of individuals.
+    """
 
     df: DataFrame
     numeric: tuple[str, ...]
     factors: dict[str, tuple]
     n_plots: int = 0
     split: bool = False  # whether some plot is dealt out over several tasks
+    flat: Rows | None = None
+    merged: bool = False  # whether an ``__ind`` may stand for several individuals
+
+    @property
+    def plain(self) -> Rows:
+        return self.flat or self
+
+    def narrow(self) -> Rows:
+        """Without tables, as tasks need it."""
+        return replace(self, df=None, flat=None)
+
+    def means(self, *columns: str) -> list[float]:
+        of = self.plain.df
+        return list(of.agg(*[F.sum(F.col(c) * F.col("__w")) / F.sum("__w") for c in columns]).first())
 
     def release(self) -> None:
         self.df.unpersist()
+        if self.flat is not None:
+            self.flat.release()
 
 
 def prepare(
@@ -109,8 +132,12 @@ def prepare(
     plot: str | None = None,
     ind: str | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    merge: bool = False,
 ) -> Rows:
-    """Keep complete rows and the columns the fits need; persisted for the passes to come."""
+    """Keep complete rows and the columns the fits need; persisted for the passes to come.
+
+    ``merge`` takes individuals of a plot with the same rows as one, with their number as weight.
+    """
     factors = {k: tuple(v) for k, v in (factors or {}).items()}
     chosen = df.select(
         y.cast("double").alias("__y"),
@@ -123,22 +150,40 @@ def prepare(
         *[F.col(c).cast("double").alias(c) for c in numeric],
         *[level_ordinal(c, levels).alias(c) for c, levels in factors.items()],
     ).dropna()
-    n_plots, split = 0, False
-    if plot is not None:
-        sizes = chosen.groupBy("__plot").agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).cast("int").alias("__salts")
-        )
-        chosen = cluster(
-            chosen.join(sizes, "__plot").withColumn("__salt", F.pmod(F.xxhash64("__ind"), "__salts")).drop("__salts")
-        )
-    else:
+    seen = [c for c in chosen.columns if c != "__ind"]
+    if plot is None or ind is None:
+        cells = chosen.groupBy(*seen).agg(F.count(F.lit(1)).cast("double").alias("__w"))
+        return _dealt(cells.withColumn("__ind", F.xxhash64(*seen)), numeric, factors, plot is not None, rows_per_task)
+    single = _histories(chosen) if merge else chosen.withColumn("__w", F.lit(1.0))
+    rows = _dealt(single, numeric, factors, True, rows_per_task)
+    cells = rows.df.groupBy(*seen).agg(F.sum("__w").alias("__w")).withColumn("__ind", F.xxhash64(*seen))
+    return replace(rows, flat=_dealt(cells, numeric, factors, True, rows_per_task), merged=merge)
+
+
+def _histories(df: DataFrame) -> DataFrame:
+    """One individual for all of a plot that have the same rows, which then count that often."""
+    seen = [c for c in df.columns if c not in ("__plot", "__ind")]
+    each = df.groupBy("__plot", "__ind").agg(F.array_sort(F.collect_list(F.struct(*seen))).alias("__rows"))
+    merged = each.groupBy("__plot", "__rows").agg(
+        F.count(F.lit(1)).cast("double").alias("__w"), F.min("__ind").alias("__ind")
+    )
+    return merged.select("__plot", "__ind", "__w", F.explode("__rows").alias("__row")).select(
+        "__plot", "__ind", "__w", "__row.*"
+    )
+
+
+def _dealt(df: DataFrame, numeric, factors, by_plot: bool, rows_per_task: int) -> Rows:
+    """Rows dealt out to tasks and persisted: by plot, a large one over several tasks, or evenly."""
+    if not by_plot:
         # Passes are bound by computation, not by bytes: keep them from being coalesced.
-        chosen = chosen.repartition(task_count(chosen), "__ind")
-    chosen = chosen.persist()
-    if plot is not None:
-        n_plots, salts = chosen.agg(F.count_distinct("__plot"), F.max("__salt")).first()
-        split = bool(salts)
-    return Rows(chosen, tuple(numeric), factors, n_plots, split)
+        return Rows(df.repartition(task_count(df), "__ind").persist(), tuple(numeric), factors)
+    df = df.persist()
+    sizes = df.groupBy("__plot").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).cast("int").alias("__salts"))
+    salted = df.join(sizes, "__plot").withColumn("__salt", F.pmod(F.xxhash64("__ind"), "__salts")).drop("__salts")
+    out = cluster(salted).persist()
+    n_plots, salts = out.agg(F.count_distinct("__plot"), F.max("__salt")).first()
+    df.unpersist()
+    return Rows(out, tuple(numeric), factors, n_plots, bool(salts))
 
 
 def _row_key(df: DataFrame, ind: str | None) -> Column:
@@ -201,19 +246,26 @@ def _individual_modes(fit: Fit, family, y, eta0, z, group, n_groups):
     """Mode, curvature and penalised likelihood of every individual's intercept."""
     precision = 1 / fit.sd_ind**2
     u = np.zeros(n_groups)
+    score = SCORES.get(fit.family, lambda *x: family(*x)[1:])
+    left, part = np.arange(n_groups), (y, eta0, z, group)  # individuals still on their way, and their rows
     for _ in range(MODE_STEPS):
-        _, g, w = family(y, eta0 + u[group], fit.aux, z)
-        grad = np.bincount(group, g, n_groups) - precision * u
-        move = grad / (np.bincount(group, w, n_groups) + precision)
-        u += np.clip(move, -2.0, 2.0)
-        if np.abs(move).max(initial=0.0) < MODE_STOP:
+        at = u[left]
+        g, w = score(part[0], part[1] + at[part[3]], fit.aux, part[2])
+        grad = np.bincount(part[3], g, len(left)) - precision * at
+        move = grad / (np.bincount(part[3], w, len(left)) + precision)
+        u[left] = at + np.clip(move, -2.0, 2.0)
+        open_ = np.abs(move) >= MODE_STOP
+        if not open_.any():
             break
+        if open_.mean() < 0.7:
+            rows, number = open_[part[3]], np.cumsum(open_) - 1
+            left, part = left[open_], (*(x[rows] for x in part[:3]), number[part[3][rows]])
     ll, g, w = family(y, eta0 + u[group], fit.aux, z)
     s = np.bincount(group, w, n_groups) + precision
     return u, s, ll, g, w
 
 
-def batch_sums(fit: Fit, a: np.ndarray, y, offset, z, keep=None) -> np.ndarray:
+def batch_sums(fit: Fit, a: np.ndarray, y, offset, z, weight, keep=None) -> np.ndarray:
     """The vector of a fit without random intercepts: see ``unpack`` for the layout.
 
     ``a`` is the design with a leading column of ones. ``keep`` masks rows out by weight, which
@@ -223,14 +275,13 @@ def batch_sums(fit: Fit, a: np.ndarray, y, offset, z, keep=None) -> np.ndarray:
     if fit.flat_scale:
         z = np.zeros(len(y))
     eta = a[:, 1:] @ fit.beta + offset
-    k = 1.0 if keep is None else keep.astype(float)
-    n = len(y) if keep is None else int(keep.sum())
+    k = weight if keep is None else np.where(keep, weight, 0.0)
     ll, g, w = family(y, eta, fit.aux, z)
     if keep is not None:
-        ll, g, w = np.where(keep, ll, 0.0), g * k, w * k
-    h = a.T @ (a * w[:, None])
-    total = float(ll.sum()) if np.isfinite(ll).all() else -1e300
-    parts = [[n, total, total], g @ a, h[np.triu_indices(a.shape[1])]]
+        ll = np.where(keep, ll, 0.0)
+    h = a.T @ (a * (w * k)[:, None])
+    total = float(ll @ k) if np.isfinite(ll).all() else -1e300
+    parts = [[k.sum(), total, total], (g * k) @ a, h[np.triu_indices(a.shape[1])]]
     for values in _scalar_terms(fit, family, y, eta, z, ll):
         parts.append([float((values * k).sum()) if np.isfinite(values).all() else 0.0])
     return np.concatenate([np.atleast_1d(np.asarray(q, dtype=float)) for q in parts])
@@ -239,14 +290,19 @@ def batch_sums(fit: Fit, a: np.ndarray, y, offset, z, keep=None) -> np.ndarray:
 def _scalar_terms(fit: Fit, family, y, eta, z, ll) -> list[np.ndarray]:
     """What the family's scalars need, row by row, so that large sums do not cancel."""
     out = []
-    if fit.family in SHAPE:
+    if fit.family in SHAPE and fit.family != "student":
         name, _ = SHAPE[fit.family]
         for shift in (-SHAPE_STEP, SHAPE_STEP):
             out.append(family(y, eta, {**fit.aux, name: fit.aux[name] * np.exp(shift)}, z)[0] - ll)
     if fit.family == "student":
         nu, s2 = fit.aux["nu"], np.exp(2 * (fit.aux["gamma"][0] + fit.aux["gamma"][1] * z))
         r2 = (y - eta) ** 2
-        pull = (nu + 1) * r2 / (nu * s2 + r2) - 1
+        q = r2 / (nu * s2)
+        share, half = q / (1 + q), nu / 2
+        slope, bend = nu_constants(nu)
+        logs = half * np.log1p(q)
+        out += [slope - logs + (half + 0.5) * share, bend - logs + nu * share - (half + 0.5) * share * (1 - share)]
+        pull = (nu + 1) * share - 1
         info = 2 * nu / (nu + 3)
         out += [pull, pull * z, np.full(len(y), info), info * z, info * z * z]
     if fit.family == "gaussian":
@@ -254,7 +310,7 @@ def _scalar_terms(fit: Fit, family, y, eta, z, ll) -> list[np.ndarray]:
     return out
 
 
-def plot_sums(fit: Fit, a: np.ndarray, y, offset, z, v, ind_start, plot_start) -> np.ndarray:
+def plot_sums(fit: Fit, a: np.ndarray, y, offset, z, weight, v, ind_start, plot_start) -> np.ndarray:
     """One vector for each plot of a batch (rows), laid out as in ``unpack``.
 
     All plots go through the family and the modes of individuals together; only the small cross products
@@ -276,29 +332,31 @@ def plot_sums(fit: Fit, a: np.ndarray, y, offset, z, v, ind_start, plot_start) -
         u, s, ll, g, w = _individual_modes(fit, family, y, eta, z, group, len(ind_start))
         eta = eta + u[group]
         first = np.searchsorted(ind_start, plot_start)
-        penalty = by_plot(-0.5 * u * u / fit.sd_ind**2, first)
-        determinant = by_plot(-0.5 * np.log(fit.sd_ind**2 * s), first)
+        often = weight[ind_start]
+        penalty = by_plot(-0.5 * u * u / fit.sd_ind**2 * often, first)
+        determinant = by_plot(-0.5 * np.log(fit.sd_ind**2 * s) * often, first)
     else:
         ll, g, w = family(y, eta, fit.aux, z)
         penalty = determinant = 0.0
-    wa = a * w[:, None]
+    wa = a * (w * weight)[:, None]
     h = np.stack([a[lo:hi].T @ wa[lo:hi] for lo, hi in zip(plot_start, plot_end)])
     if fit.sd_ind > 0:
         c = np.add.reduceat(wa, ind_start, axis=0)
         ends = np.append(first[1:], len(ind_start))
-        scaled = c / s[:, None]
+        scaled = c / (s * often)[:, None]
         h -= np.stack([c[lo:hi].T @ scaled[lo:hi] for lo, hi in zip(first, ends)])
-    total = np.where(np.isfinite(by_plot(ll)), by_plot(ll), -1e300)
+    total = by_plot(ll * weight)
+    total = np.where(np.isfinite(total), total, -1e300)
     up = np.triu_indices(a.shape[1])
     parts = [
-        (plot_end - plot_start)[:, None],
+        by_plot(weight)[:, None],
         (total + penalty + determinant)[:, None],
         (total + penalty)[:, None],
-        np.add.reduceat(a * g[:, None], plot_start, axis=0),
+        np.add.reduceat(a * (g * weight)[:, None], plot_start, axis=0),
         h[:, up[0], up[1]],
     ]
     for values in _scalar_terms(fit, family, y, eta, z, ll):
-        summed = by_plot(values)
+        summed = by_plot(values * weight)
         parts.append(np.where(np.isfinite(summed), summed, 0.0)[:, None])
     return np.concatenate(parts, axis=1)
 
@@ -319,6 +377,11 @@ class PlotEffects:
         self.index = {p: k for k, p in enumerate(plots)}
         self.values = np.column_stack([values, np.zeros(len(values))])
 
+    def some(self, fits: Sequence[int]) -> PlotEffects:
+        out = PlotEffects((), np.zeros((0, 0)))
+        out.index, out.values = self.index, self.values[list(fits)]
+        return out
+
     def of(self, fit: int, names) -> np.ndarray:
         return self.values[fit, [self.index.get(p, -1) for p in names]]
 
@@ -326,20 +389,20 @@ class PlotEffects:
 def _batch(pdf: pd.DataFrame, rows: Rows):
     data = {c: pdf[c].to_numpy(dtype=float) for c in rows.numeric}
     data |= {c: Coded(pdf[c].to_numpy(), levels) for c, levels in rows.factors.items()}
-    return data, *(pdf[c].to_numpy(dtype=float) for c in ("__y", "__o", "__z"))
+    return data, *(pdf[c].to_numpy(dtype=float) for c in ("__y", "__o", "__z", "__w"))
 
 
 def _make_partials(fits: Sequence[Fit], rows: Rows):
     """Sums of fits without random intercepts."""
 
-    rows = replace(rows, df=None)
+    rows = rows.narrow()
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[int, np.ndarray] = {}
         for pdf in batches:
             if pdf.empty:
                 continue
-            data, y, o, z = _batch(pdf, rows)
+            data, y, o, z, weight = _batch(pdf, rows)
             mask = pdf["__m"].to_numpy()
             matrices: dict[int, np.ndarray] = {}
             for i, fit in enumerate(fits):
@@ -351,9 +414,9 @@ def _make_partials(fits: Sequence[Fit], rows: Rows):
                 if not inside.any():
                     continue
                 if inside.mean() > 0.6:
-                    vec = batch_sums(fit, a, y, o, z, None if inside.all() else inside)
+                    vec = batch_sums(fit, a, y, o, z, weight, None if inside.all() else inside)
                 else:
-                    vec = batch_sums(fit, a[inside], y[inside], o[inside], z[inside])
+                    vec = batch_sums(fit, a[inside], y[inside], o[inside], z[inside], weight[inside])
                 totals[i] = totals[i] + vec if i in totals else vec
         if totals:
             yield pd.DataFrame([(i, "", vec) for i, vec in totals.items()], columns=["fit", "plot", "stats"])
@@ -366,7 +429,7 @@ def _make_plot_partials(fits: Sequence[Fit], rows: Rows, effects=None):
 
     ``effects`` is a broadcast ``PlotEffects``; without it a column ``__v`` may hold an array for each row.
     """
-    rows = replace(rows, df=None)
+    rows = rows.narrow()
     groups: dict[tuple, list[int]] = {}
     for i, fit in enumerate(fits):
         groups.setdefault((id(fit.design), fit.train), []).append(i)
@@ -374,7 +437,7 @@ def _make_plot_partials(fits: Sequence[Fit], rows: Rows, effects=None):
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ("__plot", "__ind")):
-            data, y, o, z = _batch(pdf, rows)
+            data, y, o, z, weight = _batch(pdf, rows)
             mask, plot, ind = pdf["__m"].to_numpy(), pdf["__plot"].to_numpy(), pdf["__ind"].to_numpy()
             given = pdf["__v"].to_numpy() if "__v" in pdf else None
             out, made, a = [], None, None
@@ -385,16 +448,18 @@ def _make_plot_partials(fits: Sequence[Fit], rows: Rows, effects=None):
                 pick = np.flatnonzero((mask >> fit.train) & 1)
                 if not len(pick):
                     continue
-                part = [x[pick] for x in (a, y, o, z, plot, ind)] if len(pick) < len(pdf) else [a, y, o, z, plot, ind]
-                starts = _starts(part[4])
+                part = [a, y, o, z, weight, plot, ind]
+                if len(pick) < len(pdf):
+                    part = [x[pick] for x in part]
+                starts = _starts(part[5])
                 sizes = np.diff(np.append(starts, len(pick)))
                 for i in same:
                     if given is not None:
                         v = np.array([0.0 if given[k] is None else given[k][i] for k in pick[starts]])
                     else:
-                        v = effects.value.of(i, part[4][starts]) if effects is not None else np.zeros(len(starts))
-                    vecs = plot_sums(fits[i], *part[:4], np.repeat(v, sizes), _starts(part[4], part[5]), starts)
-                    out += [(i, p, vec) for p, vec in zip(part[4][starts], vecs)]
+                        v = effects.value.of(i, part[5][starts]) if effects is not None else np.zeros(len(starts))
+                    vecs = plot_sums(fits[i], *part[:5], np.repeat(v, sizes), _starts(part[5], part[6]), starts)
+                    out += [(i, p, vec) for p, vec in zip(part[5][starts], vecs)]
             out.sort(key=lambda row: row[1])
             if out:
                 yield pd.DataFrame(out, columns=["fit", "plot", "stats"])
@@ -511,14 +576,17 @@ def _scale_and_shape(nu, extra, slope, bend, move) -> tuple[np.ndarray, float]:
 def _tune(fit: Fit, extra: np.ndarray, n: float) -> tuple[dict, float]:
     """Next family scalars and the likelihood gain expected from the move.
 
-    ``theta`` and ``nu`` follow a parabola through the likelihoods at the neighbouring values;
+    ``theta`` follows a parabola through the likelihoods at the neighbouring values, log ``nu`` its derivatives;
     the t scale takes a scoring step; the Gaussian scale has a closed form.
     """
     aux, gain = dict(fit.aux), 0.0
     if fit.family in SHAPE:
         name, (lo, hi) = SHAPE[fit.family]
-        down, up = extra[0], extra[1]
-        slope, bend = (up - down) / (2 * SHAPE_STEP), (up + down) / SHAPE_STEP**2
+        if fit.family == "student":
+            slope, bend = extra[0], extra[1]
+        else:
+            down, up = extra[0], extra[1]
+            slope, bend = (up - down) / (2 * SHAPE_STEP), (up + down) / SHAPE_STEP**2
         move = float(np.clip(-slope / bend, -1.0, 1.0)) if bend < 0 else float(np.sign(slope)) * 0.5
         if fit.family == "student":
             scale, move = _scale_and_shape(fit.aux["nu"], extra[2:], slope, bend, move)
@@ -552,6 +620,7 @@ def fit_fixed(rows: Rows, fits: Sequence[Fit], max_iter: int = 25, tol: float =
     bounds the distance to the optimum in standard errors whatever the number of rows. The last step is
     still taken; likelihood and covariance are those of the point before it.
     """
+    rows = rows.plain
     fits = [replace(f, converged=False, error=None) for f in fits]
     settled: dict[int, tuple] = {}
     for iteration in range(1, max_iter + 1):
@@ -602,7 +671,8 @@ def score_sets(rows: Rows, tasks: Sequence[tuple[Fit, int]], kind: str) -> list[
     ``kind="binary"`` gives Brier and LogLoss, ``kind="size"`` MSE, MAE and the variance of the
     response in the test set.
     """
-    numeric, factors = rows.numeric, rows.factors
+    rows = rows.plain
+    narrow = rows.narrow()
     usable = [(i, f, t) for i, (f, t) in enumerate(tasks) if f.error is None]
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -610,9 +680,8 @@ def score_sets(rows: Rows, tasks: Sequence[tuple[Fit, int]], kind: str) -> list[
         for pdf in batches:
             if pdf.empty:
                 continue
-            data = {c: pdf[c].to_numpy(dtype=float) for c in numeric}
-            data |= {c: Coded(pdf[c].to_numpy(), levels) for c, levels in factors.items()}
-            y, o, mask = pdf["__y"].to_numpy(dtype=float), pdf["__o"].to_numpy(dtype=float), pdf["__t"].to_numpy()
+            data, y, o, _, weight = _batch(pdf, narrow)
+            mask = pdf["__t"].to_numpy()
             matrices: dict[int, np.ndarray] = {}
             for i, fit, test in usable:
                 inside = (mask >> test) & 1 == 1
@@ -621,7 +690,7 @@ def score_sets(rows: Rows, tasks: Sequence[tuple[Fit, int]], kind: str) -> list[
                 x = matrices.get(id(fit.design))
                 if x is None:
                     x = matrices[id(fit.design)] = fit.design.matrix(data, len(pdf))
-                vec = binary_or_size(LINK_MEAN[fit.family](x[inside] @ fit.beta + o[inside]), y[inside], kind)
+                vec = binary_or_size(LINK_MEAN[fit.family](x[inside] @ fit.beta + o[inside]), y[inside], weight[inside], kind)
                 totals[i] = totals[i] + vec if i in totals else vec
         if totals:
             yield pd.DataFrame([(i, v) for i, v in totals.items()], columns=["fit", "stats"])
@@ -630,14 +699,14 @@ def score_sets(rows: Rows, tasks: Sequence[tuple[Fit, int]], kind: str) -> list[
     return named_scores(sums, len(tasks), kind)
 
 
-def binary_or_size(pred: np.ndarray, obs: np.ndarray, kind: str) -> np.ndarray:
+def binary_or_size(pred: np.ndarray, obs: np.ndarray, weight: np.ndarray, kind: str) -> np.ndarray:
     """Rows, two summed losses, and the sums of the response and its square."""
     if kind == "binary":
         p = np.clip(pred, LOGLOSS_EPSILON, 1 - LOGLOSS_EPSILON)
-        losses = ((obs - pred) ** 2).sum(), -(obs * np.log(p) + (1 - obs) * np.log1p(-p)).sum()
+        losses = (obs - pred) ** 2 @ weight, -(obs * np.log(p) + (1 - obs) * np.log1p(-p)) @ weight
     else:
-        losses = ((obs - pred) ** 2).sum(), np.abs(obs - pred).sum()
-    return np.array([len(obs), *losses, obs.sum(), (obs * obs).sum()])
+        losses = (obs - pred) ** 2 @ weight, np.abs(obs - pred) @ weight
+    return np.array([weight.sum(), *losses, obs @ weight, (obs * obs) @ weight])
 
 
 def named_scores(sums: dict[int, np.ndarray], n_tasks: int, kind: str) -> list[dict]:
@@ -668,8 +737,19 @@ def _effects_pass(rows: Rows, fits: Sequence[Fit], effects: PlotEffects | None):
 
     A plot is finished by the task that holds it, unless some plot is split over tasks; then partial vectors meet by
     plot first. Totals are added by fit on Spark, so the driver reads one vector for each fit and one short row
-    for each (fit, plot), of which there are at most ``BROADCAST_CELLS``.
+    for each (fit, plot), of which there are at most ``BROADCAST_CELLS``. Fits without intercepts of individuals read
+    the rows merged over individuals.
     """
+    if rows.flat is not None:
+        sums, plots = {}, {}
+        for source, flat in ((rows.flat, True), (replace(rows, flat=None), False)):
+            chosen = [i for i, f in enumerate(fits) if (f.sd_ind == 0) == flat]
+            if chosen:
+                some = None if effects is None else effects.some(chosen)
+                found, of_plots = _effects_pass(source, [fits[i] for i in chosen], some)
+                sums |= {chosen[k]: v for k, v in found.items()}
+                plots |= {chosen[k]: v for k, v in of_plots.items()}
+        return sums, plots
     shared = None if effects is None else rows.df.sparkSession.sparkContext.broadcast(effects)
     partials = _make_plot_partials(fits, rows, shared)
     step = _make_plot_step(fits, False, shared)

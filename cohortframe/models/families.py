@@ -91,6 +91,40 @@ def student(y, eta, aux, z):
     return const - log_s - (nu + 1) / 2 * np.log1p(q), pull * r, (nu + 1) / ((nu + 3) * s2)
 
 
+def _digamma_and_slope(x: float) -> tuple[float, float]:
+    """The first two derivatives of lgamma: recurrence up to 8, asymptotic series from there."""
+    first = second = 0.0
+    while x < 8:
+        first, second, x = first - 1 / x, second + 1 / (x * x), x + 1
+    r = 1 / (x * x)
+    first += math.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    second += 1 / x + 0.5 * r + r / x * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * 5 / 66))))
+    return first, second
+
+
+def nu_constants(nu: float) -> tuple[float, float]:
+    """Derivatives in log nu of the constant of the t law."""
+    (d1, t1), (d0, t0) = _digamma_and_slope((nu + 1) / 2), _digamma_and_slope(nu / 2)
+    slope = nu / 2 * (d1 - d0) - 0.5
+    return slope, nu / 2 * (d1 - d0) + nu * nu / 4 * (t1 - t0)
+
+
+def cloglog_score(y, eta, aux, z):
+    e = np.exp(np.clip(eta, -30.0, 3.5))
+    mu = -np.expm1(-e)
+    return e * (y - mu) / mu, e * e * (1 - mu) / mu
+
+
+def student_score(y, eta, aux, z):
+    nu, (g0, g1) = aux["nu"], aux["gamma"]
+    s2 = np.exp(2 * (g0 + g1 * z))
+    r = y - eta
+    return (nu + 1) * r / (nu * s2 + r * r), (nu + 1) / ((nu + 3) * s2)
+
+
+# Score and weight alone, where they cost much less than the likelihood.
+SCORES = {"cloglog": cloglog_score, "student": student_score}
+
 FAMILIES = {
     "cloglog": cloglog,
     "logit": logit,

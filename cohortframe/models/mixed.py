@@ -117,12 +117,12 @@ def boundary_slopes(rows: Rows, fits: Sequence[Fit]) -> dict[int, tuple[float, f
     score minus the observed information, as the other parameters' slopes are zero. One pass for all fits; scores of a
     plot are added before they are squared, wherever its rows are.
     """
-    narrow = replace(rows, df=None)
+    narrow = rows.narrow()
     h = 1e-4
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ("__plot", "__ind")):
-            data, y, o, z = _batch(pdf, narrow)
+            data, y, o, z, weight = _batch(pdf, narrow)
             mask, plot, ind = pdf["__m"].to_numpy(), pdf["__plot"].to_numpy(), pdf["__ind"].to_numpy()
             out, made, x = [], None, None
             for i, fit in enumerate(fits):
@@ -136,10 +136,11 @@ def boundary_slopes(rows: Rows, fits: Sequence[Fit]) -> dict[int, tuple[float, f
                 down, mid, up = (family(y[pick], eta + s, fit.aux, zk)[1] for s in (-h, 0.0, h))
                 w = (down - up) / (2 * h)
                 groups = _starts(plot[pick], ind[pick])
-                slope = 0.5 * float((np.add.reduceat(mid, groups) ** 2 - np.add.reduceat(w, groups)).sum())
+                often = weight[pick]
+                slope = 0.5 * float((np.add.reduceat(mid, groups) ** 2 - np.add.reduceat(w, groups)) @ often[groups])
                 out.append((i, None, 0.0, slope))
                 starts = _starts(plot[pick])
-                sums = np.add.reduceat(mid, starts), np.add.reduceat(w, starts)
+                sums = np.add.reduceat(mid * often, starts), np.add.reduceat(w * often, starts)
                 out += [(i, p, float(g), float(k)) for p, g, k in zip(plot[pick][starts], *sums)]
             yield pd.DataFrame(out, columns=["fit", "plot", "g", "w"])
 
@@ -235,12 +236,14 @@ def individual_effects(rows: Rows, fits: Sequence[Fit], effects: Sequence[Effect
 
     A second stream of the batches that hold the individuals; nothing is collected.
     """
+    if rows.merged:
+        raise ValueError("rows of merged individuals have lost their names; prepare them without merge")
     shared = rows.df.sparkSession.sparkContext.broadcast(_matrix(effects))
-    narrow = replace(rows, df=None)
+    narrow = rows.narrow()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ("__plot", "__ind")):
-            data, y, o, z = _batch(pdf, narrow)
+            data, y, o, z, weight = _batch(pdf, narrow)
             mask, plot, ind = pdf["__m"].to_numpy(), pdf["__plot"].to_numpy(), pdf["__ind"].to_numpy()
             for i, fit in enumerate(fits):
                 pick = np.flatnonzero((mask >> fit.train) & 1)
@@ -264,13 +267,13 @@ def score_conditional(rows: Rows, tasks: Sequence[tuple[int, Fit, int]], effects
     training rows has effect 0.
     """
     shared = rows.df.sparkSession.sparkContext.broadcast(_matrix(effects))
-    narrow = replace(rows, df=None)
+    narrow = rows.narrow()
     usable = [(k, *t) for k, t in enumerate(tasks) if t[1].error is None]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[int, np.ndarray] = {}
         for pdf in whole_groups(batches, ("__plot", "__ind")):
-            data, y, o, z = _batch(pdf, narrow)
+            data, y, o, z, weight = _batch(pdf, narrow)
             mask, test, plot, ind = (pdf[c].to_numpy() for c in ("__m", "__t", "__plot", "__ind"))
             starts = _starts(plot, ind)
             group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pdf))))
@@ -289,7 +292,7 @@ def score_conditional(rows: Rows, tasks: Sequence[tuple[int, Fit, int]], effects
                     if fit.sd_ind > 0 and len(pick):
                         eta = eta + _modes(fit, a[pick], y[pick], o[pick], z[pick], v[pick], group[pick], len(starts))[group]
                     known[i] = LINK_MEAN[fit.family](eta)
-                vec = binary_or_size(known[i][inside], y[inside], kind)
+                vec = binary_or_size(known[i][inside], y[inside], weight[inside], kind)
                 totals[k] = totals[k] + vec if k in totals else vec
         if totals:
             yield pd.DataFrame(list(totals.items()), columns=["fit", "stats"])

@@ -170,7 +170,7 @@ def fit_random(
 
 
 def survival_rows(
-    pairs: DataFrame, levels: Sequence[str], random: bool = False, train_sets=(), test_sets=()
+    pairs: DataFrame, levels: Sequence[str], random: bool = False, train_sets=(), test_sets=(), individual: bool = True
 ) -> Rows:
     return prepare(
         pairs,
@@ -181,7 +181,8 @@ def survival_rows(
         train_sets=train_sets,
         test_sets=test_sets,
         plot="PLOTCODE" if random else None,
-        ind="IND_ID" if random else None,
+        ind="IND_ID" if random and individual else None,
+        merge=True,
     )
 
 
@@ -194,8 +195,8 @@ def fit_survival(
 ) -> tuple[Fit, DataFrame]:
     """One hazard model with random intercepts of plot and individual."""
     knots = spline_knots(pairs) if "ns(" in str(SURVIVAL_MODELS[model]) else None
-    rows = survival_rows(pairs, levels, random=True)
-    mean = rows.df.agg(F.avg("__y")).first()[0]
+    rows = survival_rows(pairs, levels, random=True, individual=individual)
+    mean = rows.means("__y")[0]
     fixed = fit_fixed(rows, [new_fit(model, survival_design(model, levels, knots), "cloglog", mean)])[0]
     out = fit_random(rows, fixed, individual)
     rows.release()
@@ -210,6 +211,7 @@ def height_bin_hazard(pairs: DataFrame, levels: Sequence[str], steps: int = 20)
     from ..functions.columns import break_midpoints
     from ..operators.distribution import quantile_bins
 
+    pairs = pairs.select("PLOTCODE", AREA, "HT", TIME, "CensusInterval", "Dead_next").persist()
     binned, breaks = quantile_bins(pairs, "HT", steps)
     bins = tuple(range(1, steps + 1))
     coded = binned.withColumn("HT_bin", F.col("bin").cast("string"))
@@ -220,11 +222,11 @@ def height_bin_hazard(pairs: DataFrame, levels: Sequence[str], steps: int = 20)
         {"HT_bin": [str(b) for b in bins], AREA: levels},
         offset=F.log("CensusInterval"),
         plot="PLOTCODE",
-        ind="IND_ID",
     )
     terms: tuple[Term, ...] = ((), ("HT_bin",), (AREA,), (TIME,))
     design = Design(terms, {"HT_bin": tuple(str(b) for b in bins), AREA: tuple(levels)})
-    mean = rows.df.agg(F.avg("__y")).first()[0]
+    pairs.unpersist()
+    mean = rows.means("__y")[0]
     fixed = fit_fixed(rows, [new_fit("height_bin", design, "cloglog", mean)])[0]
     fit, _ = fit_random(rows, fixed, individual=False)
     rows.release()
@@ -245,7 +247,7 @@ def height_bin_hazard(pairs: DataFrame, levels: Sequence[str], steps: int = 20)
 
 
 def growth_rows(
-    pairs: DataFrame, levels: Sequence[str], random: bool = False, train_sets=(), test_sets=()
+    pairs: DataFrame, levels: Sequence[str], random: bool = False, train_sets=(), test_sets=(), individual: bool = True
 ) -> Rows:
     middle = pairs.agg(F.avg(F.log("HT"))).first()[0]  # centring keeps the two scale terms apart
     return prepare(
@@ -257,7 +259,8 @@ def growth_rows(
         train_sets=train_sets,
         test_sets=test_sets,
         plot="PLOTCODE" if random else None,
-        ind="IND_ID" if random else None,
+        ind="IND_ID" if random and individual else None,
+        merge=True,
     )
 
 
@@ -266,17 +269,16 @@ def growth_design(name: str, levels: Sequence[str]) -> Design:
 
 
 def start_growth(rows: Rows, models: Sequence[str], levels: Sequence[str], trains: Sequence[tuple[int, str]]) -> list[Fit]:
-    """Least-squares start for t-error fits: coefficients and residual scale of a Gaussian fit."""
-    mean = rows.df.agg(F.avg("__y")).first()[0]
+    """Least-squares start for t-error fits: coefficients and residual scale of a Gaussian fit to the first training set."""
+    mean = rows.means("__y")[0]
     designs = {m: growth_design(m, levels) for m in models}
-    ols = fit_fixed(
-        rows,
-        [new_fit(m, designs[m], "gaussian", mean, train=t, fold=f) for m in models for t, f in trains],
-        max_iter=4,
-    )
+    first = trains[0][0]
+    ols = fit_fixed(rows, [new_fit(m, designs[m], "gaussian", mean, train=first) for m in models], max_iter=4)
     return [
         replace(
             f,
+            train=t,
+            fold=fold,
             family="student",
             aux={"nu": 5.0, "gamma": (math.log(max(0.8 * f.aux["sigma"], 1e-6)), 0.0)},
             flat_scale=f.model == "baseline",
@@ -284,6 +286,7 @@ def start_growth(rows: Rows, models: Sequence[str], levels: Sequence[str], train
             error=f.error,
         )
         for f in ols
+        for t, fold in trains
     ]
 
 
@@ -291,7 +294,9 @@ def fit_growth(
     pairs: DataFrame, levels: Sequence[str], model: str = "ht_area_time", individual: bool = True
 ) -> tuple[Fit, DataFrame]:
     """One growth model: t errors, log-linear scale, random intercepts of plot and individual."""
-    rows = growth_rows(pairs, levels, random=True)
+    pairs = pairs.select("IND_ID", "PLOTCODE", AREA, "HT", "HT_next", TIME, "CensusInterval").persist()
+    rows = growth_rows(pairs, levels, random=True, individual=individual)
+    pairs.unpersist()
     fixed = fit_fixed(rows, start_growth(rows, [model], levels, [(0, "full")]), max_iter=30, tol=1e-3)[0]
     out = fit_random(rows, fixed, individual, first=0.1)
     rows.release()
@@ -303,7 +308,7 @@ def fit_growth(
 
 def fit_poisson(df: DataFrame, y: str, design: Design, numeric: Sequence[str], factors=None, tol: float = 1e-12) -> Fit:
     rows = prepare(df, F.col(y), numeric, factors)
-    mean = rows.df.agg(F.avg("__y")).first()[0]
+    mean = rows.means("__y")[0]
     fit = fit_fixed(rows, [new_fit(y, design, "poisson", mean)], tol=tol)[0]
     rows.release()
     return fit
@@ -314,7 +319,7 @@ def fit_hurdle(cones: DataFrame, levels: Sequence[str], random: bool = True) ->
     terms = ((), ("log(HT)",), (AREA,), ("log(HT)", AREA))
     design = Design(terms, {AREA: tuple(levels)})
     zero_rows = prepare(cones, (F.col("CONE_Mature") == 0).cast("int"), ["HT"], {AREA: levels})
-    share = zero_rows.df.agg(F.avg("__y")).first()[0]
+    share = zero_rows.means("__y")[0]
     zero = fit_fixed(zero_rows, [new_fit("zero", design, "logit", share)])[0]
     zero_rows.release()
     positive = cones.filter(F.col("CONE_Mature") > 0)
@@ -324,9 +329,8 @@ def fit_hurdle(cones: DataFrame, levels: Sequence[str], random: bool = True) ->
         ["HT"],
         {AREA: levels},
         plot="PLOTCODE" if random else None,
-        ind="IND_ID" if random else None,
     )
-    mean = rows.df.agg(F.avg("__y")).first()[0]
+    mean = rows.means("__y")[0]
     count = fit_fixed(rows, [new_fit("count", design, "truncated_nbinom", mean)], max_iter=40)[0]
     if random:
         count, _ = fit_random(rows, count, individual=False)
@@ -344,7 +348,7 @@ RECRUIT_MODELS: Mapping[str, tuple[Term, ...]] = {
 def fit_recruits(recruits: DataFrame, levels: Sequence[str]) -> list[Fit]:
     """First-year recruits: NB2 with identity link, no intercept, terms scaled by plot area."""
     rows = prepare(recruits, F.col("NumRecruits"), ["SDLAREA", "CONES1", "SmallPlot"], {AREA: levels})
-    mean, area, cones = rows.df.agg(F.avg("__y"), F.avg("SDLAREA"), F.avg("CONES1")).first()
+    mean, area, cones = rows.means("__y", "SDLAREA", "CONES1")
     fits = []
     for name, terms in RECRUIT_MODELS.items():
         design = Design(terms, {AREA: tuple(levels)}, full=(AREA,))
@@ -367,7 +371,7 @@ def fit_later_recruits(seasons: DataFrame, levels: Sequence[str], random: bool =
         offset=F.log("SDLAREA") + F.log("Interval"),
         plot="PLOTCODE" if random else None,
     )
-    rate = rows.df.agg(F.sum("__y") / F.sum(F.exp("__o"))).first()[0]
+    rate = rows.df.agg(F.sum(F.col("__y") * F.col("__w")) / F.sum(F.exp("__o") * F.col("__w"))).first()[0]
     design = Design(((), (AREA,), (TIME,)), {AREA: tuple(levels)})
     fit = fit_fixed(rows, [new_fit("later_recruits", design, "nbinom", rate)], max_iter=40)[0]
     if random:
@@ -378,8 +382,8 @@ def fit_later_recruits(seasons: DataFrame, levels: Sequence[str], random: bool =
 
 def fit_first_year(cohort: DataFrame, levels: Sequence[str]) -> tuple[Fit, DataFrame]:
     """First-year survival: logit on area with a plot intercept."""
-    rows = prepare(cohort, F.col("alive3"), [], {AREA: levels}, plot="PLOTCODE", ind="IND_ID")
-    mean = rows.df.agg(F.avg("__y")).first()[0]
+    rows = prepare(cohort, F.col("alive3"), [], {AREA: levels}, plot="PLOTCODE")
+    mean = rows.means("__y")[0]
     design = Design(((), (AREA,)), {AREA: tuple(levels)})
     fixed = fit_fixed(rows, [new_fit("first_year", design, "logit", mean)])[0]
     out = fit_random(rows, fixed, individual=False)

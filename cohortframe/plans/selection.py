@@ -167,7 +167,7 @@ def select_survival(
         rows = survival_rows(pairs, levels, random, train_sets=conditions, test_sets=[f.test() for f in block])
         splines = any("ns(" in str(SURVIVAL_MODELS[m]) for m in models)
         knots = knots_by_set(pairs, conditions) if splines else [None] * len(sets)
-        mean = rows.df.agg(F.avg("__y")).first()[0]
+        mean = rows.means("__y")[0]
         shared = {m: survival_design(m, levels) for m in models if "ns(" not in str(SURVIVAL_MODELS[m])}
         fits = [
             new_fit(

@@ -324,3 +324,44 @@ def test_zero_variance_is_found_by_its_slope(spark, panel):
         assert fit.converged and effects.count() == 0
     best = dense_laplace(flat, fit.sd_plot, fit.sd_ind)[2]
     assert all(dense_laplace(flat, p, i)[2] <= best + 0.05 for p, i in ((0.01, 0.01), (0.3, 0.01), (0.01, 0.3), (0.1, 0.1)))
+
+
+def test_equal_rows_and_histories_are_merged_without_changing_a_fit(panel):
+    from cohortframe.models import mixed
+
+    copies = panel.crossJoin(panel.sparkSession.range(5).withColumnRenamed("id", "__copy"))
+    copies = copies.withColumn("IND_ID", F.col("IND_ID") + 1000 * F.col("__copy")).drop("__copy")
+    kw = dict(offset=F.log("gap"), train_sets=[F.lit(True), F.col("x") < 0.4], test_sets=[F.col("x") >= 0.4])
+    plain, merged = (
+        prepare(copies, F.col("dead"), ["x"], {"AREA": ["A", "B"]}, plot="PLOTCODE", ind="IND_ID", merge=m, **kw)
+        for m in (False, True)
+    )
+    assert (plain.df.count(), merged.df.count(), plain.flat.df.count()) == (12000, 2400, 2400)
+    flat = prepare(copies, F.col("dead"), ["x"], {"AREA": ["A", "B"]}, **kw)
+    assert flat.df.count() == 2400 and flat.df.agg(F.sum("__w")).first()[0] == 12000
+    design = Design(main_effects("x", "AREA"), {"AREA": ("A", "B")})
+    fits = [replace(Y.new_fit("m", design, "cloglog", 0.3, train=t), sd_plot=0.6, sd_ind=s) for t in range(2) for s in (0.0, 0.9)]
+    (one, first), (two, second) = (mixed.fit_effects_together(r, fits, None, 25, 1e-10) for r in (plain, merged))
+    pdf = copies.toPandas()
+    np.testing.assert_allclose(one[1].loglik, dense_laplace(pdf, 0.6, 0.9)[2], atol=1e-2)
+    for a, b, u, v in zip(one, two, first, second):
+        assert a.n == b.n and abs(a.loglik - b.loglik) < 1e-6 * abs(a.loglik)
+        np.testing.assert_allclose(a.beta, b.beta, atol=1e-6)
+        np.testing.assert_allclose([u[p] for p in sorted(u)], [v[p] for p in sorted(v)], atol=1e-6)
+    np.testing.assert_allclose(*(mixed.boundary_slopes(r, fits)[0] for r in (plain, merged)), rtol=1e-9)
+    scores = [mixed.score_conditional(r, [(1, one[1], 0)], first, "binary")[0] for r in (plain, merged)]
+    np.testing.assert_allclose(scores[0]["Brier"], scores[1]["Brier"], rtol=1e-8)
+
+
+def test_t_law_derivatives_in_nu():
+    y = np.linspace(-2.0, 3.0, 7)
+    for nu in (1.2, 5.0, 80.0):
+        def ll(move):
+            return families.student(y, np.zeros(7), {"nu": nu * math.exp(move), "gamma": (-0.3, 0.0)}, np.zeros(7))[0].sum()
+
+        from cohortframe.models.engine import Fit, _scalar_terms
+
+        fit = Fit("m", None, "student", aux={"nu": nu, "gamma": (-0.3, 0.0)})
+        slope, bend = (v.sum() for v in _scalar_terms(fit, families.student, y, np.zeros(7), np.zeros(7), None)[:2])
+        assert abs(slope - (ll(1e-4) - ll(-1e-4)) / 2e-4) < 1e-5 * (1 + abs(slope))
+        assert abs(bend - (ll(1e-3) + ll(-1e-3) - 2 * ll(0.0)) / 1e-6) < 1e-4 * (1 + abs(bend))
