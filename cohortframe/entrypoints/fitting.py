@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..evaluation.folds import full_fit
 from ..functions.terms import Design, crossed
 from ..models import closed as K, vital as Y
+from ..models.engine import merge_rows
 from ..operators import cohorts
 from ..plans.selection import select_growth, select_survival
 from ..sources import tables as D
@@ -18,9 +19,10 @@ from .registry import query, rounded
 @query("glm_cloglog")
 def _(spark, sf):
     """Fixed part of every candidate hazard model, all fitted in the same passes."""
-    pairs = survival(spark, sf).select("AREA", "HT", "TimeSinceFire", "CensusInterval", "Dead_next").persist()
-    rows = Y.survival_rows(pairs, LEVELS)
-    knots, mean = Y.spline_knots(pairs), rows.means("__y")[0]
+    seen = ["AREA", "HT", "TimeSinceFire", "CensusInterval", "Dead_next"]
+    pairs = merge_rows(survival(spark, sf), seen, "__n").persist()
+    rows = Y.survival_rows(pairs, LEVELS, weight="__n")
+    knots, mean = Y.spline_knots(pairs, weight="__n"), rows.means("__y")[0]
     pairs.unpersist()
     fits = Y.fit_fixed(
         rows, [Y.new_fit(m, Y.survival_design(m, LEVELS, knots), "cloglog", mean) for m in Y.SURVIVAL_MODELS]

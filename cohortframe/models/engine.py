@@ -133,11 +133,15 @@ def prepare(
     ind: str | None = None,
     rows_per_task: int = ROWS_PER_TASK,
     merge: bool = False,
+    weight: str | None = None,
 ) -> Rows:
     """Keep complete rows and the columns the fits need; persisted for the passes to come.
 
-    ``merge`` takes individuals of a plot with the same rows as one, with their number as weight.
+    ``merge`` takes individuals of a plot with the same rows as one, with their number as weight. ``weight`` names the column
+    of rows that ``merge_rows`` has merged already; they have no individuals.
     """
+    if weight is not None and ind is not None:
+        raise ValueError("merged rows have no individuals")
     factors = {k: tuple(v) for k, v in (factors or {}).items()}
     chosen = df.select(
         y.cast("double").alias("__y"),
@@ -149,17 +153,23 @@ def prepare(
         _row_key(df, ind).cast("long").alias("__ind"),
         *[F.col(c).cast("double").alias(c) for c in numeric],
         *[level_ordinal(c, levels).alias(c) for c, levels in factors.items()],
+        (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("__w"),
     ).dropna()
-    seen = [c for c in chosen.columns if c != "__ind"]
+    seen = [c for c in chosen.columns if c not in ("__ind", "__w")]
     if plot is None or ind is None:
-        cells = chosen.groupBy(*seen).agg(F.count(F.lit(1)).cast("double").alias("__w"))
+        cells = chosen.groupBy(*seen).agg(F.sum("__w").alias("__w"))
         return _dealt(cells.withColumn("__ind", F.xxhash64(*seen)), numeric, factors, plot is not None, rows_per_task)
-    single = _histories(chosen) if merge else chosen.withColumn("__w", F.lit(1.0))
+    single = _histories(chosen.drop("__w")) if merge else chosen
     rows = _dealt(single, numeric, factors, True, rows_per_task)
     cells = rows.df.groupBy(*seen).agg(F.sum("__w").alias("__w")).withColumn("__ind", F.xxhash64(*seen))
     return replace(rows, flat=_dealt(cells, numeric, factors, True, rows_per_task), merged=merge)
 
 
+def merge_rows(df: DataFrame, columns: Sequence[str], number: str = "__n") -> DataFrame:
+    """The distinct rows of ``columns`` with their number: one exchange of what is left after each task has merged its own."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(number))
+
+
 def _histories(df: DataFrame) -> DataFrame:
     """One individual for all of a plot that have the same rows, which then count that often."""
     seen = [c for c in df.columns if c not in ("__plot", "__ind")]

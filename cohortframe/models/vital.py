@@ -20,21 +20,23 @@ Z95 = 1.959963984540054
 SPLINE_PROBS = (0.0, 1 / 3, 2 / 3, 1.0)
 
 
-def spline_knots(df: DataFrame, value: str = "HT") -> list[float]:
+def spline_knots(df: DataFrame, value: str = "HT", weight: str | None = None) -> list[float]:
     """Boundary knots at the range, inner knots at the thirds, of the rows given."""
-    rows = exact_quantiles(df, [], value, SPLINE_PROBS).orderBy("prob").collect()
+    rows = exact_quantiles(df, [], value, SPLINE_PROBS, weight=weight).orderBy("prob").collect()
     return [float(r["quantile"]) for r in rows]
 
 
-def knots_by_set(df: DataFrame, train_sets: Sequence[Column], value: str = "HT") -> list[tuple[float, ...]]:
+def knots_by_set(
+    df: DataFrame, train_sets: Sequence[Column], value: str = "HT", weight: str | None = None
+) -> list[tuple[float, ...]]:
     """Spline knots of every training set in one job.
 
     Values are counted per set membership first, so the copies made per set are of distinct
     values, not of rows.
     """
-    counted = df.select(value, set_mask(train_sets).alias("__m")).groupBy(value, "__m").agg(
-        F.count(F.lit(1)).alias("__w")
-    )
+    times = F.lit(1).cast("long") if weight is None else F.col(weight)
+    marked = df.select(value, set_mask(train_sets).alias("__m"), times.alias("__w"))
+    counted = marked.groupBy(value, "__m").agg(F.sum("__w").alias("__w"))
     member = F.array(*[F.when(F.col("__m").bitwiseAND(F.lit(1 << i)) != 0, i) for i in range(len(train_sets))])
     per_set = counted.select(value, "__w", F.explode(F.array_compact(member)).alias("__set"))
     knots: dict[int, dict[float, float]] = {}
@@ -170,7 +172,13 @@ def fit_random(
 
 
 def survival_rows(
-    pairs: DataFrame, levels: Sequence[str], random: bool = False, train_sets=(), test_sets=(), individual: bool = True
+    pairs: DataFrame,
+    levels: Sequence[str],
+    random: bool = False,
+    train_sets=(),
+    test_sets=(),
+    individual: bool = True,
+    weight: str | None = None,
 ) -> Rows:
     return prepare(
         pairs,
@@ -183,6 +191,7 @@ def survival_rows(
         plot="PLOTCODE" if random else None,
         ind="IND_ID" if random and individual else None,
         merge=True,
+        weight=weight,
     )
 
 
@@ -247,9 +256,17 @@ def height_bin_hazard(pairs: DataFrame, levels: Sequence[str], steps: int = 20)
 
 
 def growth_rows(
-    pairs: DataFrame, levels: Sequence[str], random: bool = False, train_sets=(), test_sets=(), individual: bool = True
+    pairs: DataFrame,
+    levels: Sequence[str],
+    random: bool = False,
+    train_sets=(),
+    test_sets=(),
+    individual: bool = True,
+    weight: str | None = None,
 ) -> Rows:
-    middle = pairs.agg(F.avg(F.log("HT"))).first()[0]  # centring keeps the two scale terms apart
+    log, times = F.log("HT"), F.lit(1) if weight is None else F.col(weight)
+    mean = F.sum(log * times) / F.sum(F.when(log.isNotNull(), times))
+    middle = pairs.agg(mean).first()[0]  # centring keeps the two scale terms apart
     return prepare(
         pairs,
         F.log("HT_next"),
@@ -261,6 +278,7 @@ def growth_rows(
         plot="PLOTCODE" if random else None,
         ind="IND_ID" if random and individual else None,
         merge=True,
+        weight=weight,
     )
 
 

@@ -3,6 +3,9 @@
 Folds with the same effective training rows share one fit. Every scoring iteration is one pass
 over the panel for all (model, training set) pairs, and all test scores come from one more pass.
 
+Without random intercepts the pairs are merged over individuals at once: folds, knots and fits read the distinct rows
+with their number, so that all work after the panel follows the distinct rows.
+
 With ``random`` the candidates have intercepts of plot and individual, as they will be used: the
 variances of all models are searched together on all rows first, and those of the training sets together after that,
 each from its model's solution.
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..evaluation.folds import Fold, plan, present_censuses
 from ..evaluation.metrics import mean_over_folds, rank_sum
 from ..functions.terms import GROWTH_MODELS, SURVIVAL_MODELS
-from ..models.engine import MASK_BITS, Effects, Fit, Rows, fit_fixed, score_sets
+from ..models.engine import MASK_BITS, Effects, Fit, Rows, fit_fixed, merge_rows, score_sets
 from ..models.mixed import score_conditional, search_variances
 from ..models.vital import (
     coefficient_table,
@@ -33,7 +36,7 @@ from ..models.vital import (
 )
 
 
-KEYS = ("IND_ID", "PLOTCODE", "SITEAREA", "AREA", "CENSUS_NUM", "HT", "TimeSinceFire", "CensusInterval")
+KEYS = ("SITEAREA", "AREA", "CENSUS_NUM", "HT", "TimeSinceFire", "CensusInterval")
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,13 @@ class Selection:
     ranking: DataFrame
 
 
+def _seen(pairs: DataFrame, response: str, random: bool) -> tuple[DataFrame, str | None]:
+    """What folds and fits see of the pairs, and the column of their number where they are merged over individuals."""
+    if random:
+        return pairs.select("IND_ID", "PLOTCODE", *KEYS, response).persist(), None
+    return merge_rows(pairs, [*KEYS, response], "__n").persist(), "__n"
+
+
 def training_sets(folds: Sequence[Fold], present: Sequence[int]) -> tuple[list[Fold], list[int]]:
     """Distinct training sets and, for every fold, the one it uses."""
     seen: dict[tuple, int] = {}
@@ -157,16 +167,18 @@ def select_survival(
     random: bool = False,
 ) -> Selection:
     """Hazard models ranked by AIC, time-series and left-out-site Brier scores of population-level predictions."""
-    pairs = pairs.select(*KEYS, "Dead_next").persist()
+    pairs, weight = _seen(pairs, "Dead_next", random)
     present = present_censuses(pairs)
     folds = list(folds) if folds is not None else plan(pairs)
     metric_rows, all_fits = [], []
     for block in _chunks(folds, present):
         sets, use = training_sets(block, present)
         conditions = [f.train() for f in sets]
-        rows = survival_rows(pairs, levels, random, train_sets=conditions, test_sets=[f.test() for f in block])
+        rows = survival_rows(
+            pairs, levels, random, train_sets=conditions, test_sets=[f.test() for f in block], weight=weight
+        )
         splines = any("ns(" in str(SURVIVAL_MODELS[m]) for m in models)
-        knots = knots_by_set(pairs, conditions) if splines else [None] * len(sets)
+        knots = knots_by_set(pairs, conditions, weight=weight) if splines else [None] * len(sets)
         mean = rows.means("__y")[0]
         shared = {m: survival_design(m, levels) for m in models if "ns(" not in str(SURVIVAL_MODELS[m])}
         fits = [
@@ -208,7 +220,7 @@ def select_growth(
     Time folds are predicted with the effects of plot and individual, where these were seen in training; left-out sites
     and the fit on all rows at population level.
     """
-    pairs = pairs.select(*KEYS, "HT_next").persist()
+    pairs, weight = _seen(pairs, "HT_next", random)
     present = present_censuses(pairs)
     if folds is None:
         if len(present) <= min_train:
@@ -218,7 +230,7 @@ def select_growth(
     for block in _chunks(folds, present):
         sets, use = training_sets(block, present)
         rows = growth_rows(
-            pairs, levels, random, train_sets=[f.train() for f in sets], test_sets=[f.test() for f in block]
+            pairs, levels, random, train_sets=[f.train() for f in sets], test_sets=[f.test() for f in block], weight=weight
         )
         starts = start_growth(rows, models, levels, [(t, _label(f)) for t, f in enumerate(sets)])
         fits = _warm_fits(rows, starts, max_iter=30, tol=1e-3)

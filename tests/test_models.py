@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortframe.functions.terms import Design, NumpyOps, crossed, main_effects, natural_spline
 from cohortframe.models import closed as K, families, vital as Y
-from cohortframe.models.engine import fit_effects, fit_fixed, prepare
+from cohortframe.models.engine import fit_effects, fit_fixed, merge_rows, prepare
 
 RNG = np.random.default_rng(7)
 
@@ -365,3 +365,35 @@ def test_t_law_derivatives_in_nu():
         slope, bend = (v.sum() for v in _scalar_terms(fit, families.student, y, np.zeros(7), np.zeros(7), None)[:2])
         assert abs(slope - (ll(1e-4) - ll(-1e-4)) / 2e-4) < 1e-5 * (1 + abs(slope))
         assert abs(bend - (ll(1e-3) + ll(-1e-3) - 2 * ll(0.0)) / 1e-6) < 1e-4 * (1 + abs(bend))
+
+
+def test_rows_merged_before_folds_and_knots_change_no_fit(spark, panel):
+    copies = panel.select(F.round("x", 1).alias("HT"), "AREA", "dead", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    masks = [F.lit(True), F.col("HT") > 0]
+    merged = merge_rows(copies, ["HT", "AREA", "dead"], "n")
+    assert merged.count() == merge_rows(copies.filter("col = 0"), ["HT", "AREA", "dead"], "n").count()
+    assert Y.knots_by_set(merged, masks, weight="n") == Y.knots_by_set(copies, masks)
+    assert Y.spline_knots(merged, weight="n") == Y.spline_knots(copies)
+    design = Design(main_effects("HT"))
+    fits = []
+    for df, weight in ((copies, None), (merged, "n")):
+        rows = prepare(df, F.col("dead"), ["HT"], {"AREA": ["A", "B"]}, train_sets=masks, weight=weight)
+        fits.append(fit_fixed(rows, [Y.new_fit("m", design, "cloglog", 0.3, train=t) for t in (0, 1)]))
+    for a, b in zip(*fits):
+        assert a.n == b.n and math.isclose(a.loglik, b.loglik, rel_tol=1e-12)
+        np.testing.assert_allclose(a.beta, b.beta, rtol=1e-9)
+    with pytest.raises(ValueError, match="individuals"):
+        prepare(merged.withColumn("IND_ID", F.lit(1)), F.col("dead"), ["HT"], plot="AREA", ind="IND_ID", weight="n")
+
+
+def test_fixed_selection_keeps_distinct_pairs_only(spark):
+    from cohortframe.plans.selection import KEYS, _seen
+
+    row = ("S1", "A0", 3, 10.0, 1.5, 1.0, 0)
+    pairs = spark.createDataFrame(
+        [(i, "P1", *row) for i in range(5)] + [(9, "P2", *row[:-1], 1)], ["IND_ID", "PLOTCODE", *KEYS, "Dead_next"]
+    )
+    seen, weight = _seen(pairs, "Dead_next", False)
+    assert sorted((r["Dead_next"], r[weight]) for r in seen.collect()) == [(0, 5), (1, 1)]
+    everyone, weight = _seen(pairs, "Dead_next", True)
+    assert weight is None and everyone.count() == 6
