@@ -85,10 +85,12 @@ def _(spark, sf):
     from ..functions.columns import inverse_logit
     from ..operators.summary import observed_predicted
 
-    cohort = cohorts.cohort_first_year(D.line_panel(spark, sf))
-    fit, effects = Y.fit_first_year(cohort, LEVELS)
+    # The fit and the scores see area, plot and response only: a few rows a plot, for which the panel is read once.
+    seen = ["AREA", "PLOTCODE", "alive3"]
+    cohort = merge_rows(cohorts.cohort_first_year(D.line_panel(spark, sf)), seen, "__n").persist()
+    fit, effects = Y.fit_first_year(cohort, LEVELS, weight="__n")
     scored = Y.conditional_predictor(cohort, fit, effects).withColumn("p_hat", inverse_logit("eta"))
-    return rounded(observed_predicted(scored, ["AREA", "PLOTCODE"], "alive3", "p_hat"))
+    return rounded(observed_predicted(scored, ["AREA", "PLOTCODE"], "alive3", "p_hat", weight="__n"))
 
 
 @query("nb_identity")

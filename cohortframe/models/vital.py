@@ -398,9 +398,9 @@ def fit_later_recruits(seasons: DataFrame, levels: Sequence[str], random: bool =
     return fit
 
 
-def fit_first_year(cohort: DataFrame, levels: Sequence[str]) -> tuple[Fit, DataFrame]:
+def fit_first_year(cohort: DataFrame, levels: Sequence[str], weight: str | None = None) -> tuple[Fit, DataFrame]:
     """First-year survival: logit on area with a plot intercept."""
-    rows = prepare(cohort, F.col("alive3"), [], {AREA: levels}, plot="PLOTCODE")
+    rows = prepare(cohort, F.col("alive3"), [], {AREA: levels}, plot="PLOTCODE", weight=weight)
     mean = rows.means("__y")[0]
     design = Design(((), (AREA,)), {AREA: tuple(levels)})
     fixed = fit_fixed(rows, [new_fit("first_year", design, "logit", mean)])[0]

@@ -148,13 +148,21 @@ def site_coverage(df: DataFrame, keys: Sequence[str] = ("AREA", "SITEAREA"), val
     )
 
 
-def observed_predicted(df: DataFrame, keys: Sequence[str], observed: str, predicted: str) -> DataFrame:
-    """Observed proportion against the mean prediction per group."""
+def observed_predicted(
+    df: DataFrame, keys: Sequence[str], observed: str, predicted: str, weight: str | None = None
+) -> DataFrame:
+    """Observed proportion against the mean prediction per group; with ``weight`` a row stands for that many equal ones."""
     known = df.filter(F.col(observed).isNotNull())
+    if weight is None:
+        n, total, mean = F.count(F.lit(1)), F.sum(observed), F.avg(predicted)
+    else:
+        times, pred = F.col(weight), F.col(predicted)
+        n, total = F.sum(times), F.sum(F.col(observed) * times)
+        mean = F.try_divide(F.sum(pred * times), F.sum(F.when(pred.isNotNull(), times)))
     return known.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(observed).cast("double").alias("Observed"),
-        F.avg(predicted).alias("PredictedProp"),
+        n.alias("n"),
+        total.cast("double").alias("Observed"),
+        mean.alias("PredictedProp"),
     ).withColumn("ObservedProp", F.col("Observed") / F.col("n"))
 
 

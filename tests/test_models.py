@@ -397,3 +397,25 @@ def test_fixed_selection_keeps_distinct_pairs_only(spark):
     assert sorted((r["Dead_next"], r[weight]) for r in seen.collect()) == [(0, 5), (1, 1)]
     everyone, weight = _seen(pairs, "Dead_next", True)
     assert weight is None and everyone.count() == 6
+
+
+def test_conditional_scores_read_the_panel_once(spark, small):
+    import __spark_entry__ as entry
+    from cohortframe.entrypoints.panels import LEVELS
+    from cohortframe.functions.columns import inverse_logit
+    from cohortframe.operators import cohorts, summary
+    from cohortframe.sources import tables as D
+
+    found = entry.queries()["conditional_scores"](spark, small)
+    assert "InMemoryRelation" in found._jdf.queryExecution().optimizedPlan().toString()
+    cohort = cohorts.cohort_first_year(D.line_panel(spark, small))
+    fit, effects = Y.fit_first_year(cohort, LEVELS)
+    scored = Y.conditional_predictor(cohort, fit, effects).withColumn("p_hat", inverse_logit("eta"))
+    single = summary.observed_predicted(scored, ["AREA", "PLOTCODE"], "alive3", "p_hat")
+    want = {(r["AREA"], r["PLOTCODE"]): r for r in single.collect()}
+    rows = found.collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        one = want[r["AREA"], r["PLOTCODE"]]
+        assert (r["n"], r["Observed"]) == (one["n"], one["Observed"])
+        assert abs(r["PredictedProp"] - one["PredictedProp"]) < 2e-6
