@@ -74,7 +74,7 @@ _NONE = 2**31 - 1  # the rank of a pair that is no token
 
 def fold_merges(table: Column, word: Column) -> Column:
     """The parts (byte strings) of a word after all merges; ranks of neighbours are kept and mended where a merge was."""
-    parts = F.split(word, "(?s)(?!^)(?=.)")
+    parts = F.split(word, "")
     size = F.char_length(word)
 
     def pair_rank(a: Column, b: Column) -> Column:
@@ -115,7 +115,7 @@ def fold_merges(table: Column, word: Column) -> Column:
 def word_ids(ranks: dict[bytes, int], pattern: str, word: Column) -> Column:
     """The ids of a word."""
     pieces = F.regexp_extract_all(word, F.lit(_unicode(pattern)), F.lit(0))
-    as_bytes = F.transform(pieces, lambda p: F.decode(F.encode(p, "UTF-8"), "ISO-8859-1"))
+    as_bytes = F.transform(pieces, lambda p: F.decode(p.cast("binary"), "ISO-8859-1"))
     # One reference to the literal, however often the fold looks into it.
     return _let(
         rank_literal(ranks),
@@ -164,7 +164,7 @@ def block_words(narrow: DataFrame) -> DataFrame:
 
 
 def _block_table(folder: str, block: int, piece: dict[str, bytes]) -> dict[bytes, str]:
-    """The words of a block: bytes -> ids as text."""
+    """The words of a block: bytes that the ids decode to -> ids as text."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
@@ -193,7 +193,6 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
         for batch in batches:
             if table is None and len(batch):
                 table = _block_table(folder, batch.column(0)[0].as_py(), piece)
-                decoded: dict[str, bytes] = {}
             for first, data, offsets in byte_slices(batch.column(2)):
                 n = len(offsets) - 1
                 counts = np.zeros(n, np.int64)
@@ -205,14 +204,9 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
                     size = np.array([x.count(" ") + 1 for x in of], np.int64)
                     counts = np.bincount(row, size[code], n).astype(np.int64)
                     edge = np.searchsorted(row, np.arange(n + 1))
-                    for x in of:
-                        if x not in decoded:
-                            decoded[x] = b"".join([piece[i] for i in x.split(" ")])
-                    back = [decoded[x] for x in of]
+                    # The table's keys are decoded from the ids, so a word found there is its own decoding.
                     listed_codes = code.tolist()
-                    texts, raw = [of[k] for k in listed_codes], [back[k] for k in listed_codes]
-                    if len(decoded) > SEEN_WORDS:
-                        decoded.clear()
+                    texts, raw = [of[k] for k in listed_codes], [found[k] for k in listed_codes]
                 spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
                 yield pa.RecordBatch.from_arrays(
                     [

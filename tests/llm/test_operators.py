@@ -415,6 +415,15 @@ def test_byte_bpe(docs, odd, nothing):
     assert byte_bpe.encode_decode(nothing, ranks, public_tokenizers.PATTERN).collect() == []
 
 
+def test_byte_bpe_cuts_words_into_bytes_without_a_regular_expression(spark):
+    every = bytes(range(256)).decode("latin-1")
+    words = spark.createDataFrame([(every,), (every[::-1],), ("\n\n",), ("é",)], "word string")
+    cut = words.select("word", byte_bpe.fold_merges(byte_bpe.rank_literal({b"\n\n": 1}), F.col("word")).alias("parts"))
+    assert "(?" not in cut._jdf.queryExecution().analyzed().toString()
+    for r in cut.collect():
+        assert r["parts"] == ([r["word"]] if r["word"] == "\n\n" else list(r["word"]))
+
+
 def test_toxicity(spark, small, docs, odd, nothing):
     assert toxicity.fold("1D1OT Сlown c1own ｌoser") == "idiot ciown ciown ioser"
     lexicon = toxicity.Lexicon({"idiot.": 3.0, "iow": 2.0, "ciown.": 2.0}, curve=(-2.0, 3.0, 0.5))
