@@ -424,6 +424,28 @@ def test_byte_bpe_cuts_words_into_bytes_without_a_regular_expression(spark):
         assert r["parts"] == ([r["word"]] if r["word"] == "\n\n" else list(r["word"]))
 
 
+def test_byte_bpe_finds_places_without_leaving_loops_by_exceptions(spark):
+    ranks = {b"aa": 1, b"bc": 2, b"ab": 3, b"aab": 4, b"abc": 0, b"cab": 5, b"\xe9a": 6, b"abca": 7}
+
+    def plain(word):
+        parts = [word] if word in ranks or not word else [word[i : i + 1] for i in range(len(word))]
+        while len(parts) > 1:
+            low, i = min((ranks.get(a + b, 99), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if low == 99:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [p.decode("latin-1") for p in parts or [b""]]
+
+    random = np.random.default_rng(8)
+    words = {"".join(random.choice(list("aabc\xe9"), n)) for n in range(30) for _ in range(20)}
+    cut = spark.createDataFrame([(w,) for w in words], "word string").select(
+        "word", byte_bpe.fold_merges(byte_bpe.rank_literal(ranks), F.col("word")).alias("parts")
+    )
+    assert "array_position" not in cut._jdf.queryExecution().analyzed().toString()
+    for r in cut.collect():
+        assert r["parts"] == plain(r["word"].encode("latin-1"))
+
+
 def test_toxicity(spark, small, docs, odd, nothing):
     assert toxicity.fold("1D1OT Сlown c1own ｌoser") == "idiot ciown ciown ioser"
     lexicon = toxicity.Lexicon({"idiot.": 3.0, "iow": 2.0, "ciown.": 2.0}, curve=(-2.0, 3.0, 0.5))
